@@ -84,15 +84,16 @@ def cut_between_keywords(c: str | Column, keywords: list[str], extra: int, label
     the trimmed cut is longer than the keyword by more than ``extra`` characters.
     """
     c = _c(c)
-
-    def one(word: str) -> Column:
-        at = find(c, word)
-        after = at + F.lit(len(word))
-        ends = [F.nullif(find(c, o, after), F.lit(0)) for o in keywords if o != word]
-        stop = F.coalesce(F.least(*ends), F.length(c) + F.lit(1))
-        cut = strip_ws(F.substr(c, at, stop - at))
-        keep = F.when(F.length(cut) > len(word) + extra, cut)
-        return F.when(at > 0, F.struct(F.lit(word.title()).alias(label), keep.alias("forecast")))
-
-    found = F.array(*[one(w) for w in keywords])
-    return F.filter(found, lambda s: s["forecast"].isNotNull())
+    words = F.array(*[F.lit(w) for w in keywords])
+    spots = F.transform(
+        F.filter(words, lambda w: c.contains(w)),
+        lambda w: F.struct(w.alias("word"), find(c, w).alias("at")))
+
+    def cut(s: Column) -> Column:
+        after = s["at"] + F.length(s["word"])
+        ends = F.transform(words, lambda o: F.when(o != s["word"], F.nullif(find(c, o, after), F.lit(0))))
+        stop = F.coalesce(F.array_min(ends), F.length(c) + F.lit(1))
+        return strip_ws(F.substr(c, s["at"], stop - s["at"]))
+
+    cuts = F.transform(spots, lambda s: F.struct(F.initcap(s["word"]).alias(label), cut(s).alias("forecast")))
+    return F.filter(cuts, lambda s: F.length(s["forecast"]) > F.length(s[label]) + extra)

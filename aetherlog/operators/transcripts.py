@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aetherlog import dims
+from aetherlog.schemas import ALERT
 from aetherlog.functions.text import (
     SPACE, contains_any, cut_between_keywords, rx, snippet, strip_ws, word_count, word_to_number,
 )
@@ -89,14 +90,18 @@ def area(low: Column) -> Column:
 
 
 def alerts(low: Column) -> Column:
+    """Listed alerts in rule order, each at most once, with the area of the text."""
+
     def one(phrase: str, kind: str) -> Column:
         gap = rx(low, rf"{phrase}(\s+){kind}")
         name = F.concat(F.lit(phrase.title()), gap, F.lit(kind.title()))
-        return F.when(gap.isNotNull(), F.struct(F.lit(kind).alias("type"), name.alias("name"), area(low).alias("area")))
+        return F.when(gap.isNotNull(), F.struct(F.lit(kind).alias("type"), name.alias("name")))
 
-    found = F.filter(F.array(*[one(p, k) for p, k in dims.ALERT_RULES]), lambda a: a.isNotNull())
+    hits = F.filter(F.array(*[one(p, k) for p, k in dims.ALERT_RULES]), lambda a: a.isNotNull())
+    found = F.transform(hits, lambda a: F.struct(
+        a["type"].alias("type"), a["name"].alias("name"), area(low).alias("area")))
     kinds = sorted({k for _, k in dims.ALERT_RULES})
-    none = F.array().cast("array<struct<type:string,name:string,area:string>>")
+    none = F.array().cast(f"array<struct<{ALERT.replace(' STRING', ':string').replace(', ', ',')}>>")
     return F.when(contains_any(low, kinds), found).otherwise(none)
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from aetherlog.plans import signal_queries  # noqa: F401
+from aetherlog.plans import signal_queries, text_queries  # noqa: F401
 from aetherlog.plans.registry import ORACLE, QUERIES  # noqa: F401
