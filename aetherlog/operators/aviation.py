@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aetherlog import dims
 from aetherlog.functions.display import micros
 from aetherlog.functions.text import rx_all, safe_double, safe_int, strip_ws
-from aetherlog.plans.blocked import running, time_block
+from aetherlog.plans.blocked import carry_in_sessions, running, time_block
 
 STATE_FIELDS = ["flight", "altitude", "speed", "track", "position", "vert_rate", "squawk"]
 
@@ -45,18 +45,10 @@ def _with_position(updates: DataFrame) -> DataFrame:
     return updates.withColumn("position", pos)
 
 
-def _flag_new_sighting(updates: DataFrame, gap_s: int, block_s: int) -> DataFrame:
-    at = micros("ts")
-    seen = running(updates, ["hex"], ["ts", "seq"], time_block("ts", block_s), _prev=("lag", at))
-    gap = at - F.col("_prev")
-    return seen.withColumn("_new", F.col("_prev").isNull() | (gap > gap_s * 1000000)).drop("_prev")
-
-
 def sightings(updates: DataFrame, gap_s: int = dims.AIRCRAFT_TTL_S, block_s: int = 3600) -> DataFrame:
     """Number the sightings of each aircraft; a silence longer than the gap starts a new one."""
-    flagged = _flag_new_sighting(updates, gap_s, block_s)
-    return running(flagged, ["hex"], ["ts", "seq"], time_block("ts", block_s),
-                   sighting=("sum", F.col("_new").cast("bigint"))).drop("_new")
+    return carry_in_sessions(
+        updates, ["hex"], ["ts", "seq"], micros("ts"), gap_s * 1000000, time_block("ts", block_s), "sighting", {})
 
 
 def merge_state(updates: DataFrame, key: list[str]) -> DataFrame:
@@ -85,24 +77,13 @@ def live_aircraft(updates: DataFrame, as_of: Column, ttl_s: int = dims.AIRCRAFT_
 
 def aircraft_track(updates: DataFrame, gap_s: int = dims.AIRCRAFT_TTL_S, block_s: int = 3600) -> DataFrame:
     """The full state after every update: each field carried forward within its sighting."""
-    flagged = _flag_new_sighting(_with_position(updates), gap_s, block_s)
-    at = micros("ts")
-    specs = {
-        f"_{c}": ("last", F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))
-        for c in STATE_FIELDS
-    }
-    filled = running(
-        flagged, ["hex"], ["ts", "seq"], time_block("ts", block_s),
-        sighting=("sum", F.col("_new").cast("bigint")),
-        _since=("last", F.when(F.col("_new"), at)),
-        **specs,
-    )
-    # a value from before the sighting began is forgotten
-    now = {c: F.when(F.col(f"_{c}.at") >= F.col("_since"), F.col(f"_{c}.v")) for c in STATE_FIELDS}
-    keep = [c for c in updates.columns if c not in (*STATE_FIELDS, "lat", "lon")]
+    rows = _with_position(updates).drop("lat", "lon")
+    filled = carry_in_sessions(
+        rows, ["hex"], ["ts", "seq"], micros("ts"), gap_s * 1000000, time_block("ts", block_s),
+        "sighting", {c: F.col(c) for c in STATE_FIELDS})
     return filled.select(
-        *keep, "sighting", *[now[c].alias(c) for c in STATE_FIELDS if c != "position"],
-        now["position"]["lat"].alias("lat"), now["position"]["lon"].alias("lon"))
+        *[c for c in filled.columns if c != "position"],
+        F.col("position.lat").alias("lat"), F.col("position.lon").alias("lon"))
 
 
 def positioned(aircraft: DataFrame) -> DataFrame:

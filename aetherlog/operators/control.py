@@ -107,12 +107,11 @@ def tuning_sessions(events: DataFrame, key: list[str] = ["station"], order: list
     kind, blk = F.col("kind"), time_block("ts", block_s)
     switch = kind.isin("apt_enter", "apt_exit")
     known = events.filter(switch | kind.isin("tune", "stop"))
-    modes = running(known, key, order, blk, _apt=("last", F.when(switch, kind == "apt_enter")))
+    entered = F.when(switch, kind == "apt_enter")
+    modes = running(known, key, order, blk, _apt=("last", entered), _was=("before", entered))
     apt = F.coalesce("_apt", F.lit(False))
     chosen = F.when(~switch & ~apt, F.struct(F.when(kind == "tune", F.col("preset_id")).alias("id")))
-    state = running(
-        modes.withColumn("_apt", apt), key, order, blk,
-        _base=("last", chosen), _was=("lag", F.col("_apt")))
+    state = running(modes.withColumn("_apt", apt), key, order, blk, _base=("last", chosen))
     was = F.coalesce("_was", F.lit(False))
     changes = state.filter(F.when(switch, F.col("_apt") != was).otherwise(~F.col("_apt")))
     ends = running(changes, key, order, blk, end_ts=("lead", F.col("ts")))

@@ -70,14 +70,11 @@ def crash_sequences(
     max_retries: int = dims.MAX_AUTO_RETRIES, block_s: int = 3600,
 ) -> DataFrame:
     """Number of each crash since the last reconnect, and whether it is retried."""
-    blk = time_block("ts", block_s)
-    counted = running(health, key, order, blk, _n=("sum", (F.col("kind") == "crash").cast("bigint")))
-    base = running(counted, key, order, blk, _at_reset=("last", F.when(F.col("kind") == "reconnect", F.col("_n"))))
-    crash_no = F.col("_n") - F.coalesce("_at_reset", F.lit(0))
-    return base.filter(F.col("kind") == "crash").withColumns({
-        "crash_no": crash_no,
-        "action": F.when(crash_no <= max_retries, "retry").otherwise("exhausted"),
-    }).drop("_n", "_at_reset")
+    crash = (F.col("kind") == "crash").cast("bigint")
+    counted = running(health, key, order, time_block("ts", block_s),
+                      crash_no=("since", crash, F.col("kind") == "reconnect"))
+    retry = F.when(F.col("crash_no") <= max_retries, "retry").otherwise("exhausted")
+    return counted.filter(F.col("kind") == "crash").withColumn("action", retry)
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

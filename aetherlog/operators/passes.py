@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aetherlog import dims
@@ -31,15 +29,20 @@ def parse_tle(
     """
     full = lines.withColumn("value", strip_ws("value")).filter(F.length("value") > 0)
     rows = numbered(full, key, ["line_no"], index_block("line_no", block_lines), "at")
-    blk = index_block("at", block_lines)
-    ahead = running(rows, key, ["at"], blk, line1=("lead", F.col("value")))
-    ahead = running(ahead, key, ["at"], blk, line2=("lead", F.col("line1")))
+    # two lines are borrowed from the next block
+    at, own = F.col("at"), index_block("at", block_lines)
+    reach = F.array_distinct(F.array(own, index_block(at - 2, block_lines)))
+    spread = rows.withColumns({"_own": own, "_blk": F.explode(reach)}).filter(F.col("_blk") >= 0)
+    w = Window.partitionBy(*key, "_blk").orderBy("at")
+    ahead = spread.withColumns({"line1": F.lead("value", 1).over(w), "line2": F.lead("value", 2).over(w)})
     record = F.col("line1").startswith("1 ") & F.col("line2").startswith("2 ")
-    odd = ahead.withColumn("_rec", F.coalesce(record, F.lit(False))).withColumn("_odd", F.col("at") % 2)
-    near = running(odd, [*key, "_odd"], ["at"], blk, _before=("lag", F.col("_rec")))
-    opens = F.col("_rec") & ~F.coalesce("_before", F.lit(False))
-    runs = running(near, [*key, "_odd"], ["at"], blk, _open=("last", F.when(opens, F.col("at"))))
-    real = runs.filter(F.col("_rec") & (F.floor((F.col("at") - F.col("_open")) / 2) % 2 == 0))
+    flagged = ahead.filter(F.col("_own") == F.col("_blk")).withColumns({
+        "_rec": F.coalesce(record, F.lit(False)), "_odd": at % 2})
+    # the line of the same parity where the last run of records ended
+    ended = ("last", F.when(~F.col("_rec"), at))
+    runs = running(flagged, [*key, "_odd"], ["at"], index_block("at", block_lines), _end=ended)
+    place = (at - F.coalesce("_end", F.col("_odd") - 2)) / 2
+    real = runs.filter(F.col("_rec") & (place % 2 == 1))
     name = F.col("value")
     hits = [F.when(name.contains(s) & ~name.contains(dims.EXCLUDED_NAME_PART), F.lit(s)) for s in tracked]
     found = real.withColumn("satellite", F.coalesce(*hits)).filter(F.col("satellite").isNotNull())
@@ -60,16 +63,15 @@ def detect_passes(
 ) -> DataFrame:
     """Each maximal run of samples above the horizon is a pass.
 
-    The start of a run is carried forward as its id; runs are then summed up
+    Runs are told apart by the sample that ended the one before and are summed up
     with partial aggregation, so a long pass or a busy satellite is no hot task.
     """
-    blk, order = time_block("ts", block_s), ["ts"]
-    up = F.col("elevation") > horizon
-    prev = running(samples.select(*key, "ts", "elevation"), key, order, blk, _was=("lag", up))
-    begins = up & ~F.coalesce("_was", F.lit(False))
-    runs = running(prev, key, order, blk, _aos=("last", F.when(begins, F.col("ts"))))
-    per = runs.filter(up).groupBy(*key, "_aos").agg(
-        F.max("ts").alias("los"), F.max("elevation").alias("_max"))
+    up = F.coalesce(F.col("elevation") > horizon, F.lit(False))
+    rows = samples.select(*key, "ts", "elevation")
+    # all samples of a pass share the newest sample below the horizon
+    runs = running(rows, key, ["ts"], time_block("ts", block_s), _down=("last", F.when(~up, F.col("ts"))))
+    per = runs.filter(up).groupBy(*key, "_down").agg(
+        F.min("ts").alias("_aos"), F.max("ts").alias("los"), F.max("elevation").alias("_max"))
     return per.select(
         *key, F.col("_aos").alias("aos"), "los", F.round("_max", 1).alias("max_elevation"),
         F.round((micros("los") - micros("_aos")) / SECOND).cast("bigint").alias("duration_s"))

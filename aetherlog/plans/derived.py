@@ -80,7 +80,7 @@ class Tables:
         return e.select(
             F.col("event_type").alias("station"),
             F.when(F.col("user_id") % 2 == 0, "NOAA 15").otherwise("NOAA 19").alias("satellite"),
-            "ts", (F.col("value") - 30.0).alias("elevation"))
+            "ts", (F.floor(F.col("value") * 10) / 10.0 - 30.0).alias("elevation"))
 
     def passes(self) -> DataFrame:
         from aetherlog.operators.passes import detect_passes
@@ -186,7 +186,7 @@ def _minute_of_january(n: F.Column) -> F.Column:
 
 def derive_utterances(orders: DataFrame) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    num, num2 = (100 + o * 7 % 900).cast("string"), (o % 97 + 1).cast("string")
+    num, num2 = (100 + o * 7 % 40).cast("string"), (o % 97 + 1).cast("string")
     who, who2 = _pick(_AIRLINE_NAMES, c), _pick(_AIRLINE_NAMES, c + 3)
     text = (
         F.when(o % 4 == 0, F.concat(who, F.lit(" "), num, F.lit(" cleared to land runway 34 left")))
@@ -281,7 +281,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         WHEN 2 THEN 'N' || num || 'ab contact tower'
         ELSE upper({_sql_pick(_AIRLINE_NAMES, 'o_custkey')}) || ' ' || num || ' follow ' || {_sql_pick(_AIRLINE_NAMES, '(o_custkey + 3)')} || ' ' || CAST(o_orderkey % 97 + 1 AS VARCHAR)
         END AS text
-        FROM (SELECT *, CAST(100 + o_orderkey * 7 % 900 AS VARCHAR) AS num FROM orders)"""),
+        FROM (SELECT *, CAST(100 + o_orderkey * 7 % 40 AS VARCHAR) AS num FROM orders)"""),
     "weather": ([], f"""SELECT o_orderkey AS transcript_id, CAST(o_custkey % 10 AS VARCHAR) AS stream_id,
         to_timestamp(1704067200 + (o_orderkey % 43200) * 60) AT TIME ZONE 'UTC' AS ts, {_sql_pick(_PRESET_IDS, 'o_custkey')} AS preset_id,
         CASE WHEN o_orderkey % 2 = 0 THEN 'SDR' ELSE 'WEBSTREAM' END AS source,
@@ -299,7 +299,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         {_sql_pick(['miles per hour', 'mph', 'knots', 'knts'], 'o_custkey')} AS unit FROM orders)"""),
     "low": (["weather"], "SELECT *, lower(text) AS t FROM weather"),
     "samples": (["ev"], """SELECT event_type AS station, CASE WHEN user_id % 2 = 0 THEN 'NOAA 15' ELSE 'NOAA 19' END AS satellite,
-        ts, us, value - 30.0 AS elevation FROM ev"""),
+        ts, us, floor(value * 10) / 10.0::DOUBLE - 30.0::DOUBLE AS elevation FROM ev"""),
     "passes": (["samples"], """SELECT station, satellite, min(ts) AS aos, max(ts) AS los, min(us) AS aos_us, max(us) AS los_us,
         round(max(elevation), 1) AS max_elevation, CAST(round((max(us) - min(us)) / 1000000) AS BIGINT) AS duration_s
         FROM (SELECT *, sum(CASE WHEN up AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY station, satellite ORDER BY us) AS island
