@@ -15,7 +15,7 @@ from aetherlog.plans.store import stored
 # Updates are sparse here (a few per aircraft and day), so a day takes the place of ten minutes.
 GAP = 86400
 GAP_US = GAP * 1000000
-NOW, BEFORE = "2024-01-20 00:00:00", "2024-01-15 00:00:00"
+NOW, BEFORE, SOON = "2024-01-20 00:00:00", "2024-01-15 00:00:00", "2024-01-03 00:00:00"
 _FIELDS = ["flight", "altitude", "speed", "track", "lat", "lon", "vert_rate", "squawk"]
 _COLS = ", ".join(_FIELDS)
 
@@ -209,6 +209,6 @@ def _(t):
     return A.highlightable(_matched(t), A.live_aircraft(t.updates(), _at(NOW), GAP)).select("transcript_id", "hex", "flight", "matched_callsign")
 
 
-@query("str_10_active_highlights", "track", "utterances", gap_us=GAP_US, sql=_ASOF + f" SELECT transcript_id, hex FROM spoken_of WHERE ts BETWEEN TIMESTAMP '{NOW}' - INTERVAL 10 HOURS AND TIMESTAMP '{NOW}'")
+@query("str_10_active_highlights", "track", "utterances", gap_us=GAP_US, sql=_ASOF + f" SELECT transcript_id, hex FROM spoken_of WHERE ts BETWEEN TIMESTAMP '{SOON}' - INTERVAL 10 HOURS AND TIMESTAMP '{SOON}'")
 def _(t):
-    return A.active_highlights(_asof(t), _at(NOW), 36000).select("transcript_id", "hex")
+    return A.active_highlights(_asof(t), _at(SOON), 36000).select("transcript_id", "hex")
