@@ -73,7 +73,7 @@ def read_tle(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
     A catalogue file is a few megabytes at most, hence one row per file.
     """
-    files = spark.read.option("wholetext", "true").text(paths).select(
+    files = spark.read.text(paths, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
     newest = files.groupBy().agg(F.max_by(F.struct("file", "value"), F.struct("mtime", "file")).alias("f"))
     return frame_lines(newest.filter(F.col("f").isNotNull()).select("f.file", "f.value"))
