@@ -7,11 +7,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: every character Python's str.strip() and str.split() treat as white space.
+# Every character Python's str.strip() and str.split() treat as white space,
+# as a pattern and as plain text.
 SPACE = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+SPACE_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _c(c: str | Column) -> Column:
@@ -20,7 +26,7 @@ def _c(c: str | Column) -> Column:
 
 def strip_ws(c: str | Column) -> Column:
     """Remove all leading and trailing white space (``trim`` removes blanks only)."""
-    return F.regexp_replace(_c(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(_c(c), F.lit(SPACE_CHARS))
 
 
 def title(c: str | Column) -> Column:
@@ -57,14 +63,19 @@ def rx_all(c: str | Column, pattern: str, group: int = 1) -> Column:
 
 
 def safe_int(c: str | Column) -> Column:
-    """Integer or NULL; unlike a cast from decimal text, ``12.5`` is not an integer."""
-    s = strip_ws(c)
-    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("int"))
+    """Integer or NULL; ``12.5`` is not an integer."""
+    return strip_ws(c).try_cast("int")
 
 
 def safe_double(c: str | Column) -> Column:
-    s = strip_ws(c)
-    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+    """Decimal number or NULL; the suffixes and hex forms Java would take are not numbers."""
+    c = _c(c)
+    return F.when(c.rlike(rf"^[0-9+.eE{SPACE[1:-1]}-]+$"), strip_ws(c).try_cast("double"))
+
+
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once; NULL stays NULL."""
+    return F.get(F.transform(F.filter(F.array(value), lambda v: v.isNotNull()), fn), F.lit(0))
 
 
 def word_to_number(c: str | Column, words: dict[str, int]) -> Column:
@@ -85,15 +96,18 @@ def cut_between_keywords(c: str | Column, keywords: list[str], extra: int, label
     """
     c = _c(c)
     words = F.array(*[F.lit(w) for w in keywords])
-    spots = F.transform(
-        F.filter(words, lambda w: c.contains(w)),
-        lambda w: F.struct(w.alias("word"), find(c, w).alias("at")))
-
-    def cut(s: Column) -> Column:
-        after = s["at"] + F.length(s["word"])
-        ends = F.transform(words, lambda o: F.when(o != s["word"], F.nullif(find(c, o, after), F.lit(0))))
-        stop = F.coalesce(F.array_min(ends), F.length(c) + F.lit(1))
-        return strip_ws(F.substr(c, s["at"], stop - s["at"]))
-
-    cuts = F.transform(spots, lambda s: F.struct(F.initcap(s["word"]).alias(label), cut(s).alias("forecast")))
-    return F.filter(cuts, lambda s: F.length(s["forecast"]) > F.length(s[label]) + extra)
+    present = F.filter(words, lambda w: c.contains(w))
+
+    def cuts(hits: Column) -> Column:
+        spots = F.transform(hits, lambda w: F.struct(w.alias("word"), find(c, w).alias("at")))
+
+        def cut(s: Column) -> Column:
+            after = s["at"] + F.length(s["word"])
+            ends = F.transform(hits, lambda o: F.when(o != s["word"], F.nullif(find(c, o, after), F.lit(0))))
+            stop = F.coalesce(F.array_min(ends), F.length(c) + F.lit(1))
+            return strip_ws(F.substr(c, s["at"], stop - s["at"]))
+
+        found = F.transform(spots, lambda s: F.struct(F.initcap(s["word"]).alias(label), cut(s).alias("forecast")))
+        return F.filter(found, lambda s: F.length(s["forecast"]) > F.length(s[label]) + extra)
+
+    return let(present, cuts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aetherlog import dims
 from aetherlog.functions.display import micros
-from aetherlog.functions.text import rx_all, safe_double, safe_int, strip_ws
+from aetherlog.functions.text import rx_all, safe_double, strip_ws
 from aetherlog.plans.blocked import carry_in_sessions, running, time_block
 
 STATE_FIELDS = ["flight", "altitude", "speed", "track", "position", "vert_rate", "squawk"]
@@ -15,27 +15,24 @@ STATE_FIELDS = ["flight", "altitude", "speed", "track", "position", "vert_rate",
 
 def parse_sbs(lines: DataFrame, value: str = "value") -> DataFrame:
     """Telemetry lines to typed updates; a bad or missing number is NULL, never an error."""
-    f = F.split(F.col(value), ",")
-
-    def field(i: int) -> Column:
-        return F.nullif(strip_ws(F.get(f, F.lit(i))), F.lit(""))
-
-    lat, lon = safe_double(field(14)), safe_double(field(15))
-    pair = lat.isNotNull() & lon.isNotNull()
+    # the split and the trims get columns of their own, so that each runs once per line
+    fields = {"hex": 4, "flight": 10, "altitude": 11, "speed": 12, "track": 13, "lat": 14, "lon": 15, "vert_rate": 16, "squawk": 17}
     keep = [c for c in lines.columns if c != value]
-    rows = lines.filter((F.get(f, F.lit(0)) == "MSG") & (F.size(f) >= 11) & field(4).isNotNull())
-    return rows.select(
-        *keep,
-        F.upper(field(4)).alias("hex"),
-        field(10).alias("flight"),
-        safe_int(field(11)).alias("altitude"),
-        safe_double(field(12)).alias("speed"),
-        safe_double(field(13)).alias("track"),
-        F.when(pair, lat).alias("lat"),
-        F.when(pair, lon).alias("lon"),
-        safe_int(field(16)).alias("vert_rate"),
-        field(17).alias("squawk"),
-    )
+    split = lines.filter(F.col(value).startswith("MSG,")).select(*keep, F.split(F.col(value), ",").alias("_f"))
+    text = split.filter(F.size("_f") >= 11).select(
+        *keep, *[strip_ws(F.get("_f", F.lit(i))).alias(n) for n, i in fields.items()])
+    typed = text.filter(F.length("hex") > 0).select(
+        *keep, F.upper("hex").alias("hex"), _given("flight").alias("flight"),
+        _given("altitude").try_cast("int").alias("altitude"), safe_double("speed").alias("speed"),
+        safe_double("track").alias("track"), safe_double("lat").alias("lat"), safe_double("lon").alias("lon"),
+        _given("vert_rate").try_cast("int").alias("vert_rate"), _given("squawk").alias("squawk"))
+    # a position needs both numbers
+    return typed.withColumns({
+        "lat": F.when(F.col("lon").isNotNull(), F.col("lat")), "lon": F.when(F.col("lat").isNotNull(), F.col("lon"))})
+
+
+def _given(c: str) -> Column:
+    return F.nullif(F.col(c), F.lit(""))
 
 
 # --- state ---------------------------------------------------------------------------

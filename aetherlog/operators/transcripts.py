@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from aetherlog import dims
 from aetherlog.schemas import ALERT
 from aetherlog.functions.text import (
-    SPACE, contains_any, cut_between_keywords, rx, snippet, strip_ws, word_count, word_to_number,
+    SPACE, contains_any, cut_between_keywords, let, rx, snippet, strip_ws, word_count, word_to_number,
 )
 
 
@@ -46,41 +46,43 @@ def drop_hallucinations(t: DataFrame, text: str = "text") -> DataFrame:
 
 def temperature(low: Column) -> Column:
     hit = F.coalesce(*[rx(low, p) for p in dims.TEMPERATURE_PATTERNS])
-    return F.when(hit.isNotNull(), F.struct(hit.try_cast("int").alias("value"), F.lit("F").alias("unit")))
+    gated = F.when(contains_any(low, ["temperature", "currently"]), hit)
+    return let(gated, lambda v: F.struct(v.try_cast("int").alias("value"), F.lit("F").alias("unit")))
 
 
 def wind(low: Column) -> Column:
-    amount = rf"(\d+)(?:\s+to\s+(\d+))?\s*({dims.SPEED_UNITS})"
-    named_first = rf"winds?\s+({dims.DIRECTIONS})\s+(?:at\s+)?{amount}"
-    direction_first = rf"({dims.DIRECTIONS})\s+winds?\s+{amount}"
-
-    def fields(pattern: str) -> Column:
-        speed = F.coalesce(rx(low, pattern, 3), rx(low, pattern, 2))
+    amount = rf"\d+(?:\s+to\s+\d+)?\s*(?:{dims.SPEED_UNITS})"
+    named_first = rf"winds?\s+(?:{dims.DIRECTIONS})\s+(?:at\s+)?{amount}"
+    direction_first = rf"(?:{dims.DIRECTIONS})\s+winds?\s+{amount}"
+    calm = r"winds?\s+light\s+and\s+variable"
+    # "wind(s) <number>" must occur for the second pattern, and is much quicker to look for
+    second = F.when(low.rlike(r"winds?\s+\d"), rx(low, direction_first, 0))
+    # the first pattern found anywhere decides; its parts are read from the short match
+    match = F.when(low.contains("wind"), F.coalesce(rx(low, named_first, 0), second, rx(low, calm, 0)))
+
+    def fields(m: Column) -> Column:
+        speed = F.coalesce(rx(m, r"\sto\s+(\d+)"), rx(m, r"(\d+)"), F.lit("0"))
         return F.struct(
             speed.try_cast("int").alias("speed"),
-            rx(low, pattern, 1).alias("direction"),
-            F.when(rx(low, pattern, 4).contains("knot"), "knots").otherwise("mph").alias("unit"),
+            F.coalesce(rx(m, rf"({dims.DIRECTIONS})\s"), F.lit("variable")).alias("direction"),
+            F.when(m.contains("knot"), "knots").otherwise("mph").alias("unit"),
         )
 
-    calm = F.struct(F.lit(0).alias("speed"), F.lit("variable").alias("direction"), F.lit("mph").alias("unit"))
-    return (
-        F.when(low.rlike(named_first), fields(named_first))
-        .when(low.rlike(direction_first), fields(direction_first))
-        .when(low.rlike(r"winds?\s+light\s+and\s+variable"), calm)
-    )
+    return let(match, fields)
 
 
 def visibility(low: Column) -> Column:
-    digits = rx(low, r"visibility\s+(\d+)\s*(?:to\s+\d+\s+)?miles?")
+    digits = rx(low, r"visibility\s+(\d+)\s*(?:to\s+\d+\s+)?miles?").try_cast("double")
     # only the first "visibility <word> mile" counts, listed or not
     word = word_to_number(rx(low, r"visibility\s+(\w+)\s+miles?"), dims.NUMBER_WORDS)
-    value = (
-        F.when(digits.isNotNull(), digits.try_cast("double"))
-        .when(low.rlike(r"visibility\s+one\s+quarter\s+miles?"), 0.25)
-        .when(low.rlike(r"visibility\s+one\s+half\s+miles?"), 0.5)
-        .otherwise(word.cast("double"))
+    value = F.coalesce(
+        digits,
+        F.when(low.rlike(r"visibility\s+one\s+quarter\s+miles?"), 0.25),
+        F.when(low.rlike(r"visibility\s+one\s+half\s+miles?"), 0.5),
+        word.cast("double"),
     )
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit("miles").alias("unit")))
+    gated = F.when(low.contains("visibility"), value)
+    return let(gated, lambda v: F.struct(v.alias("value"), F.lit("miles").alias("unit")))
 
 
 def area(low: Column) -> Column:
@@ -89,20 +91,18 @@ def area(low: Column) -> Column:
     return F.coalesce(*hits, F.lit(""))
 
 
-def alerts(low: Column) -> Column:
+def alerts(low: Column, place: Column) -> Column:
     """Listed alerts in rule order, each at most once, with the area of the text."""
+    none = F.array().cast(f"array<struct<{ALERT.replace(' STRING', ':string').replace(', ', ',')}>>")
 
     def one(phrase: str, kind: str) -> Column:
         gap = rx(low, rf"{phrase}(\s+){kind}")
         name = F.concat(F.lit(phrase.title()), gap, F.lit(kind.title()))
-        return F.when(gap.isNotNull(), F.struct(F.lit(kind).alias("type"), name.alias("name")))
+        alert = F.struct(F.lit(kind).alias("type"), name.alias("name"), place.alias("area"))
+        return F.when(low.contains(phrase) & gap.isNotNull(), F.array(alert)).otherwise(none)
 
-    hits = F.filter(F.array(*[one(p, k) for p, k in dims.ALERT_RULES]), lambda a: a.isNotNull())
-    found = F.transform(hits, lambda a: F.struct(
-        a["type"].alias("type"), a["name"].alias("name"), area(low).alias("area")))
     kinds = sorted({k for _, k in dims.ALERT_RULES})
-    none = F.array().cast(f"array<struct<{ALERT.replace(' STRING', ':string').replace(', ', ',')}>>")
-    return F.when(contains_any(low, kinds), found).otherwise(none)
+    return F.when(contains_any(low, kinds), F.concat(*[one(p, k) for p, k in dims.ALERT_RULES])).otherwise(none)
 
 
 def marine(low: Column) -> Column:
@@ -120,18 +120,23 @@ def confidence(temp: Column, wnd: Column, vis: Column) -> Column:
 
 def is_priority(text: str | Column) -> Column:
     low = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.coalesce(contains_any(low, dims.PRIORITY_WORDS), F.lit(False))
+    # one pattern, so that a filter pushed below other columns reads the text once
+    return F.coalesce(low.rlike("|".join(dims.PRIORITY_WORDS)), F.lit(False))
 
 
 # --- table-level jobs --------------------------------------------------------------
 
-def _low(text: str) -> Column:
-    return F.lower(F.coalesce(F.col(text), F.lit("")))
+LOW, AREA = "_low", "_area"
+
+
+def _lowered(t: DataFrame, text: str) -> DataFrame:
+    """Lower-cased text as a column of its own, so that it is worked out once per row."""
+    return t.withColumn(LOW, F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _add(name: str, fn: Callable[[Column], Column]):
     def job(t: DataFrame, text: str = "text") -> DataFrame:
-        return t.withColumn(name, fn(_low(text)))
+        return _lowered(t, text).withColumn(name, fn(F.col(LOW))).drop(LOW)
 
     job.__name__ = f"extract_{name}"
     job.__doc__ = f"Add the ``{name}`` column."
@@ -141,26 +146,33 @@ def _add(name: str, fn: Callable[[Column], Column]):
 extract_temperature = _add("temperature", temperature)
 extract_wind = _add("wind", wind)
 extract_visibility = _add("visibility", visibility)
-extract_alerts = _add("alerts", alerts)
 extract_area = _add("area", area)
+
+
+def extract_alerts(t: DataFrame, text: str = "text") -> DataFrame:
+    """Add the ``alerts`` column."""
+    placed = _lowered(t, text).withColumn(AREA, area(F.col(LOW)))
+    return placed.withColumn("alerts", alerts(F.col(LOW), F.col(AREA))).drop(LOW, AREA)
+
+
 extract_marine = _add("marine", marine)
 extract_forecast = _add("forecast", forecast)
 
 
 def weather_reports(t: DataFrame, text: str = "text", parsed_at: str | Column = "ts") -> DataFrame:
     """Add the whole report as columns; blank or NULL text gives an empty report."""
-    low = _low(text)
+    low = F.col(LOW)
     blank = F.length(strip_ws(low)) == 0
-    fields = t.withColumns({
+    fields = _lowered(t, text).withColumn(AREA, area(low)).withColumns({
         "temperature": temperature(low), "wind": wind(low), "visibility": visibility(low),
-        "alerts": alerts(low), "marine": marine(low), "forecast": forecast(low),
+        "alerts": alerts(low, F.col(AREA)), "marine": marine(low), "forecast": forecast(low),
     })
     at = F.col(parsed_at) if isinstance(parsed_at, str) else parsed_at
     return fields.withColumns({
         "raw_transcript": F.when(blank, "").otherwise(F.col(text)),
         "parsed_at": at,
         "confidence": confidence(F.col("temperature"), F.col("wind"), F.col("visibility")),
-    })
+    }).drop(LOW, AREA)
 
 
 def priority_alerts(t: DataFrame, text: str = "text") -> DataFrame:
@@ -183,14 +195,15 @@ def post_process(
 
 
 def alert_log(reports: DataFrame, presets: DataFrame) -> DataFrame:
-    """One row per alert of each priority report."""
-    hot = priority_alerts(reports, "raw_transcript")
-    with_freq = hot.join(presets.select(F.col("id").alias("preset_id"), "freq"), "preset_id", "left")
+    """One row per alert. An alert phrase holds a priority word, so every alert is of a priority report."""
+    rows = reports.select(
+        "stream_id", F.col("parsed_at").alias("ts"), "preset_id", "source",
+        snippet("raw_transcript", dims.SNIPPET_CHARS).alias("snippet"), F.explode_outer("alerts").alias("a"))
+    # a plain explode would make Spark work the alerts out a second time to filter on their number
+    rows = rows.filter(F.col("a").isNotNull())
+    with_freq = rows.join(presets.select(F.col("id").alias("preset_id"), "freq"), "preset_id", "left")
     return with_freq.select(
-        "stream_id", F.col("parsed_at").alias("ts"), F.coalesce("freq", F.lit("")).alias("freq"),
-        "source", F.explode("alerts").alias("a"),
-        snippet("raw_transcript", dims.SNIPPET_CHARS).alias("snippet"),
-    ).select("stream_id", "ts", "freq", "a.type", "a.name", "a.area", "source", "snippet")
+        "stream_id", "ts", F.coalesce("freq", F.lit("")).alias("freq"), "a.type", "a.name", "a.area", "source", "snippet")
 
 
 def alert_banner(alerts_col: str | Column = "alerts", raw: str | Column = "raw_transcript") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,13 +82,21 @@ def read_tle(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 # --- dimensions ------------------------------------------------------------------------------
 
+def _dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A fixed table as a local relation: Spark knows its size and broadcasts it by itself."""
+    types = {"STRING": pa.string(), "INT": pa.int32()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = [pa.array(list(values), types[t]) for values, (_, t) in zip(zip(*rows), fields)]
+    return spark.createDataFrame(pa.table(columns, names=[n for n, _ in fields]))
+
+
 def presets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(dims.PRESETS, schemas.PRESETS)
+    return _dimension(spark, dims.PRESETS, schemas.PRESETS)
 
 
 def categories(spark: SparkSession) -> DataFrame:
     rows = [(c, i, label) for i, (c, label) in enumerate(dims.CATEGORIES)]
-    return spark.createDataFrame(rows, schemas.CATEGORIES)
+    return _dimension(spark, rows, schemas.CATEGORIES)
 
 
 # --- images and tables -------------------------------------------------------------------------

@@ -17,30 +17,26 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from aetherlog import dims
 
-_PART = "n INT, sumsq DOUBLE"
-
-
 def _with_key(df: DataFrame, key: list[str], fields: list[tuple[str, T.DataType]]) -> T.StructType:
     cols = [T.StructField(k, df.schema[k].dataType) for k in key]
     return T.StructType(cols + [T.StructField(n, t) for n, t in fields])
 
 
-class _Frames:
-    """Partial frames waiting to become whole, kept in a state map."""
+class _Waiting:
+    """Values by number that wait in state for their turn; one read and one write per batch."""
 
-    def __init__(self, handle: StatefulProcessorHandle):
-        self.map = handle.getMapState("parts", "frame_idx BIGINT", _PART)
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.state = handle.getValueState(name, "at ARRAY<BIGINT>, n ARRAY<BIGINT>, sumsq ARRAY<DOUBLE>")
 
     def load(self) -> dict[int, tuple[int, float]]:
-        self.stored = {k[0]: (v[0], v[1]) for k, v in self.map.iterator()} if self.map.exists() else {}
-        return dict(self.stored)
+        if not self.state.exists():
+            return {}
+        at, n, sumsq = self.state.get()
+        return {i: (c, s) for i, c, s in zip(at, n, sumsq)}
 
-    def save(self, parts: dict[int, tuple[int, float]]) -> None:
-        for idx in self.stored.keys() - parts.keys():
-            self.map.removeKey((idx,))
-        for idx, part in parts.items():
-            if self.stored.get(idx) != part:
-                self.map.updateValue((idx,), part)
+    def save(self, waiting: dict[int, tuple[int, float]]) -> None:
+        values = list(waiting.values())
+        self.state.update((list(waiting), [n for n, _ in values], [s for _, s in values]))
 
 
 def _merge(parts: dict[int, tuple[int, float]], pdf: pd.DataFrame) -> list[int]:
@@ -59,7 +55,7 @@ class VadSegments(StatefulProcessor):
         self.key, self.silence = key, silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = _Frames(handle)
+        self.frames = _Waiting(handle, "parts")
         self.open = handle.getValueState("open", "next BIGINT, start BIGINT, quiet INT, n BIGINT, sumsq DOUBLE")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -93,13 +89,12 @@ class FixedSegments(StatefulProcessor):
         self.key, self.length, self.step = key, length, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = _Frames(handle)
-        self.segments = handle.getMapState("segments", "seg_no BIGINT", "frames INT, sumsq DOUBLE")
+        self.frames = _Waiting(handle, "parts")
+        self.segments = _Waiting(handle, "segments")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts, out = self.frames.load(), []
-        stored = {k[0]: (v[0], v[1]) for k, v in self.segments.iterator()} if self.segments.exists() else {}
-        segments = dict(stored)
+        segments = self.segments.load()
         for pdf in rows:
             for idx in _merge(parts, pdf):
                 if parts[idx][0] != dims.FRAME_SAMPLES:
@@ -113,11 +108,7 @@ class FixedSegments(StatefulProcessor):
                         at = seg * self.step
                         rms = (total / (self.length * dims.FRAME_SAMPLES)) ** 0.5
                         out.append((*key, seg, at, at + self.length - 1, rms))
-        for seg in stored.keys() - segments.keys():
-            self.segments.removeKey((seg,))
-        for seg, value in segments.items():
-            if stored.get(seg) != value:
-                self.segments.updateValue((seg,), value)
+        self.segments.save(segments)
         self.frames.save(parts)
         if out:
             yield pd.DataFrame(out, columns=[*self.key, "seg_no", "start_idx", "end_idx", "rms"])
