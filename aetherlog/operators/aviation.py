@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aetherlog import dims
 from aetherlog.functions.display import micros
 from aetherlog.functions.text import rx_all, safe_double, strip_ws
-from aetherlog.plans.blocked import carry_in_sessions, running, time_block
+from aetherlog.plans.blocked import carry_in_sessions, time_block
 
 STATE_FIELDS = ["flight", "altitude", "speed", "track", "position", "vert_rate", "squawk"]
 
@@ -141,22 +141,34 @@ def aircraft_detail(aircraft: DataFrame) -> DataFrame:
 def callsigns(text: str | Column) -> Column:
     """Callsigns in a transcript, normalised and duplicate-free: airlines, codes, N-numbers."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    spoken = rf"(?i)\b({'|'.join(dims.AIRLINES)})\s+(\d{{1,4}})\b"
-    coded = r"\b([A-Z]{3})\s*(\d{1,4})\b"
+    spoken = rf"(?i)\b(?:{'|'.join(dims.AIRLINES)})\s+\d{{1,4}}\b"
+    coded = r"\b[A-Z]{3}\s*\d{1,4}\b"
     tail = r"(?i)\b(N\d{1,5}[A-Z]{0,2})\b"
     codes = F.create_map(*[F.lit(x) for kv in dims.AIRLINES.items() for x in kv])
-    named = F.zip_with(
-        rx_all(t, spoken, 1), rx_all(t, spoken, 2),
-        lambda who, n: F.concat(F.coalesce(F.try_element_at(codes, F.lower(who)), F.upper(who)), n))
-    plain = F.zip_with(rx_all(t, coded, 1), rx_all(t, coded, 2), lambda who, n: F.concat(who, n))
+
+    def named(m: Column) -> Column:
+        who = F.regexp_replace(m, r"\s+\d+$", "")
+        code = F.coalesce(F.try_element_at(codes, F.lower(who)), F.upper(who))
+        return F.concat(code, F.regexp_extract(m, r"\d+$", 0))
+
+    # each family is searched once; the parts are read from the short matches
+    spoken_names = F.transform(rx_all(t, spoken, 0), named)
+    plain = F.transform(rx_all(t, coded, 0), lambda m: F.regexp_replace(m, r"\s+", ""))
     own = F.transform(rx_all(t, tail, 1), lambda n: F.upper(n))
-    return F.array_distinct(F.concat(named, plain, own))
+    return F.array_distinct(F.concat(spoken_names, plain, own))
 
 
 def extract_callsigns(t: DataFrame, text: str = "text") -> DataFrame:
     return t.withColumn("callsigns", callsigns(text))
 
 
+def spoken_callsigns(t: DataFrame, *keep: str) -> DataFrame:
+    """One row ``(keep..., pos, callsign)`` per callsign of each transcript."""
+    rows = t.select(*keep, F.posexplode_outer("callsigns").alias("pos", "callsign"))
+    # a plain explode would make Spark extract the callsigns a second time to filter on their number
+    return rows.filter(F.col("callsign").isNotNull())
+
+
 def _substrings(c: Column) -> Column:
     n = F.length(c)
     return F.array_distinct(F.flatten(F.transform(
@@ -213,8 +225,7 @@ def aircraft_as_of(
     states = track.withColumn("flight_key", flight_key())
     named = states.filter(F.col("flight_key").isNotNull()).select(
         "hex", "flight_key", F.floor(micros("ts") / age).cast("bigint").alias("bin")).distinct()
-    spoken = transcripts.filter(F.size("callsigns") > 0).select("transcript_id", "ts", "callsigns")
-    calls = spoken.select("transcript_id", "ts", "callsigns", F.explode("callsigns").alias("callsign"))
+    calls = spoken_callsigns(transcripts, "transcript_id", "ts", "callsigns")
     now = F.floor(micros("ts") / age).cast("bigint")
     candidates = (
         calls.join(matching_names(calls, named), "callsign")
@@ -223,18 +234,21 @@ def aircraft_as_of(
         .select("hex", "ts", "transcript_id", "callsigns").distinct()
     )
     state_cols = ["flight", "altitude", "speed", "track", "lat", "lon", "vert_rate", "squawk", "flight_key", "ts"]
-    state = F.struct(*[F.col(c) for c in state_cols])
     none = F.lit(None)
-    union = states.select(
-        "hex", "ts", F.lit(0).alias("_side"), "seq", state.alias("_state"),
-        none.cast(transcripts.schema["transcript_id"].dataType).alias("transcript_id"),
-        none.cast("array<string>").alias("callsigns"),
-    ).unionByName(candidates.select(
-        "hex", "ts", F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("seq"),
-        none.cast(states.select(state.alias("s")).schema["s"].dataType).alias("_state"),
-        "transcript_id", "callsigns"))
+    # a block is at least as long as a state stays valid, so only the block before matters:
+    # its last state is put in front of the next block
+    blk = time_block("ts", max(block_s, max_age_s))
+    full = states.select("hex", blk.alias("_blk"), "ts", "seq", F.struct(*state_cols).alias("_state"))
+    last = full.groupBy("hex", "_blk").agg(F.max_by(F.struct("ts", "seq", "_state"), F.struct("ts", "seq")).alias("l"))
+    known = full.union(last.select("hex", F.col("_blk") + 1, "l.ts", "l.seq", "l._state")).select(
+        "*", F.lit(0).alias("_side"), none.cast(transcripts.schema["transcript_id"].dataType).alias("transcript_id"),
+        none.cast("array<string>").alias("callsigns"))
+    asked = candidates.select(
+        "hex", blk.alias("_blk"), "ts", F.lit(0).cast("bigint").alias("seq"),
+        none.cast(full.schema["_state"].dataType).alias("_state"), F.lit(1).alias("_side"), "transcript_id", "callsigns")
     # updates come before transcripts of the same instant
-    filled = running(union, ["hex"], ["ts", "_side", "seq"], time_block("ts", block_s), _now=("last", F.col("_state")))
+    w = Window.partitionBy("hex", "_blk").orderBy("ts", "_side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    filled = known.unionByName(asked).withColumn("_now", F.last("_state", ignorenulls=True).over(w))
     s = F.col("_now")
     fresh = filled.filter((F.col("_side") == 1) & (micros("ts") - micros(s["ts"]) <= age))
     return fresh.withColumn("matched_callsign", _first_match(F.col("callsigns"), s["flight_key"])).filter(

@@ -57,7 +57,7 @@ def _spoken(t):
 
 
 def _calls(t):
-    return _spoken(t).select("transcript_id", F.posexplode("callsigns").alias("pos", "callsign"))
+    return A.spoken_callsigns(_spoken(t), "transcript_id")
 
 
 # --- parsing and state ------------------------------------------------------------------------
@@ -152,7 +152,7 @@ _MATCH = _LATEST + _CALLS + """, matched AS (SELECT transcript_id, hex, flight,
 
 def _matched(t):
     state = M.latest(A.aircraft_state(t.updates(), GAP), ["hex"], ["sighting"]).select("hex", "flight")
-    return A.match_flights(_calls(t), state)
+    return A.match_flights(_calls(t), stored(state, "flights"))
 
 
 @query("jn_3_match_flights", "track", "utterances", gap_us=GAP_US, sql=_MATCH + " SELECT * FROM matched")
