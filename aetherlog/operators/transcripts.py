@@ -194,13 +194,18 @@ def post_process(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def alert_rows(t: DataFrame, *keep: str | Column) -> DataFrame:
+    """One row ``(keep..., a)`` per alert of tables with an ``alerts`` column."""
+    rows = t.select(*keep, F.explode_outer("alerts").alias("a"))
+    # a plain explode would make Spark work the alerts out a second time to filter on their number
+    return rows.filter(F.col("a").isNotNull())
+
+
 def alert_log(reports: DataFrame, presets: DataFrame) -> DataFrame:
     """One row per alert. An alert phrase holds a priority word, so every alert is of a priority report."""
-    rows = reports.select(
-        "stream_id", F.col("parsed_at").alias("ts"), "preset_id", "source",
-        snippet("raw_transcript", dims.SNIPPET_CHARS).alias("snippet"), F.explode_outer("alerts").alias("a"))
-    # a plain explode would make Spark work the alerts out a second time to filter on their number
-    rows = rows.filter(F.col("a").isNotNull())
+    rows = alert_rows(
+        reports, "stream_id", F.col("parsed_at").alias("ts"), "preset_id", "source",
+        snippet("raw_transcript", dims.SNIPPET_CHARS).alias("snippet"))
     with_freq = rows.join(presets.select(F.col("id").alias("preset_id"), "freq"), "preset_id", "left")
     return with_freq.select(
         "stream_id", "ts", F.coalesce("freq", F.lit("")).alias("freq"), "a.type", "a.name", "a.area", "source", "snippet")

@@ -51,9 +51,9 @@ def _(t):
     return t.inference_log().groupBy(D.backend_label("backend").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sc_23_rounding", "ev", sql="SELECT seq, round(value / 7.0::DOUBLE, 1) AS one, round(value / 7.0::DOUBLE, 3) AS three FROM ev")
+@query("sc_23_rounding", "ev", sql="SELECT seq, round(value * 1.41421356::DOUBLE, 1) AS one, round(value * 1.41421356::DOUBLE, 3) AS three FROM ev")
 def _(t):
-    v = F.col("value") / 7.0
+    v = F.col("value") * 1.41421356
     return t.events().select("seq", D.round1(v).alias("one"), D.round3(v).alias("three"))
 
 
