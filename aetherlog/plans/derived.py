@@ -268,7 +268,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         TRY_CAST(nullif(trim(f[17]), '') AS INTEGER) AS vert_rate, nullif(trim(f[18]), '') AS squawk
         FROM (SELECT *, string_split(value, ',') AS f FROM sbs_lines)
         WHERE f[1] = 'MSG' AND len(f) >= 11 AND trim(f[5]) <> ''"""),
-    "sighted": (["updates"], """SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY hex ORDER BY us, seq) AS sighting
+    "sighted": (["updates"], """SELECT *, CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY hex ORDER BY us, seq) AS BIGINT) AS sighting
         FROM (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY hex ORDER BY us, seq) > {gap_us}, true) AS fresh FROM updates)"""),
     "track": (["sighted"], "SELECT ts, us, seq, hex, sighting, " + ", ".join(
         f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ["flight", "altitude", "speed", "track", "lat", "lon", "vert_rate", "squawk"]

@@ -80,7 +80,7 @@ def _(t):
     return t.passes()
 
 
-@query("agg_9_pass_summary", "passes", sql="""SELECT station, satellite, count(*) AS passes, max(max_elevation) AS best, sum(duration_s) AS seconds FROM passes GROUP BY 1, 2""")
+@query("agg_9_pass_summary", "passes", sql="""SELECT station, satellite, count(*) AS passes, max(max_elevation) AS best, CAST(sum(duration_s) AS BIGINT) AS seconds FROM passes GROUP BY 1, 2""")
 def _(t):
     return t.passes().groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("passes"), F.max("max_elevation").alias("best"), F.sum("duration_s").alias("seconds"))

@@ -257,7 +257,7 @@ def _(t):
     return T.transcript_feed(labelled, ("ts", "transcript_id")).select("transcript_id", "line")
 
 
-@query("src_2_frame_lines", sql=f"""SELECT doc_id, count(*) AS lines, sum(length(line)) AS chars FROM (SELECT doc_id, {_strip('line')} AS line
+@query("src_2_frame_lines", sql=f"""SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, {_strip('line')} AS line
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE line <> '' GROUP BY 1""")
 def _(t):
     lines = readers.frame_lines(t.read("documents").select("doc_id", F.col("text").alias("value")))
