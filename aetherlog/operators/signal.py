@@ -41,23 +41,27 @@ def rms(sumsq: str | Column, n: str | Column) -> Column:
     return F.when(n > 0, F.sqrt(sumsq / n)).otherwise(0.0)
 
 
-def frames(chunks: DataFrame, key: str = "stream_id", chunk_bytes: int = dims.CHUNK_BYTES) -> DataFrame:
-    """Whole frames of each stream. Frames straddle chunks, so partial sums are merged.
+def frame_parts(chunks: DataFrame, key: str = "stream_id", chunk_bytes: int = dims.CHUNK_BYTES) -> DataFrame:
+    """Partial frames ``(key, seq, frame_idx, n, sumsq)`` of each chunk; works on streams too.
 
     Chunks are ``chunk_bytes`` long except the last, so the first sample of
     chunk ``seq`` is known without looking at its neighbours.
     """
     size = dims.FRAME_SAMPLES
     placed = chunks.select(
-        key, (F.col("seq") * (chunk_bytes // 2)).alias("first"),
+        key, "seq", (F.col("seq") * (chunk_bytes // 2)).alias("first"),
         F.floor(F.length("pcm") / 2).alias("samples"), "pcm")
     parts = placed.select(
-        key, "first", "samples", F.posexplode(frame_energy("pcm", "first")).alias("at", "sumsq"),
+        key, "seq", "first", "samples", F.posexplode(frame_energy("pcm", "first")).alias("at", "sumsq"),
     ).withColumn("frame_idx", F.floor(F.col("first") / size).cast("bigint") + F.col("at"))
     begins = F.greatest(F.col("first"), F.col("frame_idx") * size)
     ends = F.least(F.col("first") + F.col("samples"), (F.col("frame_idx") + 1) * size)
-    parts = parts.select(key, "frame_idx", (ends - begins).alias("n"), "sumsq")
-    merged = parts.groupBy(key, "frame_idx").agg(
+    return parts.select(key, "seq", "frame_idx", (ends - begins).alias("n"), "sumsq")
+
+
+def frames(chunks: DataFrame, key: str = "stream_id", chunk_bytes: int = dims.CHUNK_BYTES) -> DataFrame:
+    """Whole frames of each stream. Frames straddle chunks, so partial sums are merged."""
+    merged = frame_parts(chunks, key, chunk_bytes).groupBy(key, "frame_idx").agg(
         F.sum("n").cast("int").alias("n"), F.sum("sumsq").alias("sumsq"))
     return merged.filter(F.col("n") == dims.FRAME_SAMPLES).withColumn("rms", rms("sumsq", "n"))
 

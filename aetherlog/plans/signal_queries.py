@@ -135,3 +135,9 @@ def _(t):
         return lambda audio: [hashlib.md5(a.hex().upper().encode()).hexdigest()[:12] for a in audio]
 
     return S.transcribe(S.segment_audio(chunks, spans), backend).select("stream_id", "start_idx", "text")
+
+
+@query("udf_5_frame_energy_parts", sql=_SAMPLES + """ SELECT stream_id, seq, (seq * 2048 + i) // 1600 AS frame_idx, count(*) AS n, CAST(sum(x * x) AS DOUBLE) AS sumsq
+    FROM samples GROUP BY 1, 2, 3""")
+def _(t):
+    return S.frame_parts(_chunks(t))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aetherlog.operators import aviation as A
 from aetherlog.operators import metrics as M
+from aetherlog.operators import signal as S
 from aetherlog.plans import aviation_queries as AQ
 from aetherlog.plans import derived
 from aetherlog.plans import signal_queries as SQ
@@ -13,6 +14,7 @@ from aetherlog.plans import text_queries as TQ
 from aetherlog.plans.blocked import numbered, time_block
 from aetherlog.plans.registry import query
 from aetherlog.session import shared_folder
+from aetherlog.sources import readers, sinks
 from aetherlog.streaming import aircraft, feeds, segments
 
 
@@ -115,3 +117,54 @@ def _(t):
     events = spark.read.parquet(f"{path}/events").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
     log = spark.read.parquet(f"{path}/alert_log").agg(F.lit("alert_log").alias("event"), F.count(F.lit(1)).alias("n"))
     return events.union(log.select("event", "n"))
+
+
+@query("str_8_bounded_batches", "utterances", sql="SELECT stream_id, count(*) AS n, count(DISTINCT transcript_id) AS ids FROM utterances GROUP BY 1")
+def _(t):
+    """A rate limit cuts the input into batches; nothing is dropped."""
+    out = feeds.drained(_stream_of(t.utterances(), "utterances"), "bounded")
+    return out.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("transcript_id").alias("ids"))
+
+
+@query("str_12_out_of_order", "status", sql="SELECT station, seq, ts, preset_id FROM status QUALIFY row_number() OVER (PARTITION BY station ORDER BY us DESC, seq DESC) = 1")
+def _(t):
+    """Rows arrive in any order; the newest by event time wins all the same."""
+    s = _stream_of(t.status(), "status")
+    newest = s.groupBy("station").agg(F.max_by(F.struct("seq", "ts", "preset_id"), F.struct("ts", "seq")).alias("r"))
+    last = M.latest(feeds.drained(newest, "newest", "update"), ["station"], ["batch_id"])
+    return last.select("station", "r.seq", "r.ts", "r.preset_id")
+
+
+@query("udf_3_batch_handler", "utterances", sql=AQ._CALLS + " SELECT transcript_id, callsign FROM calls")
+def _(t):
+    """A handler called with each batch of transcripts."""
+    spark, path = t.spark, shared_folder(t.spark, "callsigns")
+
+    def on_batch(batch, batch_id: int) -> None:
+        calls = A.spoken_callsigns(A.extract_callsigns(batch), "transcript_id")
+        calls.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    feeds.start(_stream_of(t.utterances(), "utterances", 2), on_batch=on_batch).awaitTermination()
+    return spark.read.parquet(path).select("transcript_id", "callsign")
+
+
+@query("udf_4_event_sink", "inference_log", sql="""SELECT 'inference_stats' AS event, CAST(stream_id AS VARCHAR) AS key, max(ts) AS ts,
+    '{"chunks_processed":' || count(*) FILTER (NOT skipped) || ',"chunks_skipped_silence":' || count(*) FILTER (skipped) || '}' AS payload
+    FROM inference_log GROUP BY stream_id""")
+def _(t):
+    """Typed events through the sink and back."""
+    log, path = t.inference_log(), shared_folder(t.spark, "events")
+    newest = log.groupBy("stream_id").agg(F.max("ts").alias("ts"))
+    stats = M.inference_totals(log).join(newest, "stream_id")
+    sinks.write_events(sinks.as_events(
+        stats, "inference_stats", "stream_id", "ts", ["chunks_processed", "chunks_skipped_silence"]), path)
+    return t.spark.read.parquet(path).select("event", "key", "ts", "payload")
+
+
+@query("udtf_1_chunks_to_segments", sql=SQ._FRAMES + """ SELECT stream_id, seg * 10 AS start_idx, seg * 10 + 9 AS end_idx
+    FROM (SELECT stream_id, unnest(range(0, count(*) // 10)) AS seg FROM pcm_frames GROUP BY 1)""")
+def _(t):
+    """A stream of chunks to segments; at this threshold every frame is silent, so each tenth one cuts."""
+    chunks = _stream_of(readers.pcm_chunks(t.recordings()), "chunks", 3)
+    return feeds.drained(segments.stream_vad_segments(S.frame_parts(chunks), silence=1e9), "chunk-segments").select(
+        "stream_id", "start_idx", "end_idx")

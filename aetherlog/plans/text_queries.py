@@ -272,6 +272,13 @@ def _(t):
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.count("preset_id").alias("with_preset"))
 
 
+@query("set_1_union", "weather", "utterances", sql="""SELECT transcript_id, 'radio' AS source, preset_id FROM weather
+    UNION ALL SELECT transcript_id, 'web', NULL FROM utterances""")
+def _(t):
+    return readers.union_sources(
+        radio=t.weather().select("transcript_id", "preset_id"), web=t.utterances().select("transcript_id"))
+
+
 @query("src_7_transcripts", "weather", sql="SELECT stream_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM weather GROUP BY 1")
 def _(t):
     return t.weather().groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
