@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aetherlog import dims
 from aetherlog.functions.display import micros
-from aetherlog.functions.text import rx_all, safe_double, strip_ws
+from aetherlog.functions.text import SPACE, rx_all, safe_double, strip_ws
 from aetherlog.plans.blocked import carry_in_sessions, time_block
 
 STATE_FIELDS = ["flight", "altitude", "speed", "track", "position", "vert_rate", "squawk"]
@@ -15,13 +15,14 @@ STATE_FIELDS = ["flight", "altitude", "speed", "track", "position", "vert_rate",
 
 def parse_sbs(lines: DataFrame, value: str = "value") -> DataFrame:
     """Telemetry lines to typed updates; a bad or missing number is NULL, never an error."""
-    # the split and the trims get columns of their own, so that each runs once per line
     fields = {"hex": 4, "flight": 10, "altitude": 11, "speed": 12, "track": 13, "lat": 14, "lon": 15, "vert_rate": 16, "squawk": 17}
     keep = [c for c in lines.columns if c != value]
-    split = lines.filter(F.col(value).startswith("MSG,")).select(*keep, F.split(F.col(value), ",").alias("_f"))
-    text = split.filter(F.size("_f") >= 11).select(
-        *keep, *[strip_ws(F.get("_f", F.lit(i))).alias(n) for n, i in fields.items()])
-    typed = text.filter(F.length("hex") > 0).select(
+    # one look at each line: a message, a non-blank aircraft id, at least 11 fields
+    usable = rf"^MSG,(?:[^,]*,){{3}}{SPACE}*[^,{SPACE[1:-1]}][^,]*(?:,[^,]*){{6}}"
+    # the split and the trims get columns of their own, so that each runs once per line
+    split = lines.filter(F.col(value).rlike(usable)).select(*keep, F.split(F.col(value), ",").alias("_f"))
+    text = split.select(*keep, *[strip_ws(F.get("_f", F.lit(i))).alias(n) for n, i in fields.items()])
+    typed = text.select(
         *keep, F.upper("hex").alias("hex"), _given("flight").alias("flight"),
         _given("altitude").try_cast("int").alias("altitude"), safe_double("speed").alias("speed"),
         safe_double("track").alias("track"), safe_double("lat").alias("lat"), safe_double("lon").alias("lon"),
