@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aetherlog.llm import line_dedup, sharding
 from aetherlog.llm import quality_rules as rules
 
 
@@ -18,11 +19,20 @@ def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("transcript_id"), "text", F.col("lang").alias("language"), F.col("source").alias("stream_id"))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_transcripts(spark, folder))
+    return out.select(F.col("transcript_id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.md5("text").alias("text_md5"))
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.minimax_shards(_transcripts(spark, folder)).withColumnRenamed("transcript_id", "doc_id")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     out = rules.quality_rules(_transcripts(spark, folder))
     return out.select(F.col("transcript_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_sharding, op8_quality_rules)}
+ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.reference_sql()}
