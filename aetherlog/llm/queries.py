@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aetherlog.llm import line_dedup, sharding
+from aetherlog.llm import line_dedup, pieces, sharding
 from aetherlog.llm import quality_rules as rules
 
 
@@ -34,5 +34,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_sharding, op8_quality_rules)}
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    out = pieces.encode(_transcripts(spark, folder), keep=("transcript_id",))
+    return out.withColumnRenamed("transcript_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece)}
 ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.reference_sql()}

@@ -96,7 +96,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
 
 
 def minimax_shards(transcripts: DataFrame, key: str = "transcript_id", text: str = "text", shards: int = 8,
-                   rows_per_cell: int = 100_000) -> DataFrame:
+                   rows_per_cell: int = 1000) -> DataFrame:
     """Put every transcript into one of ``shards`` contiguous shards of nearly equal size.
 
     Returns key, size, text_crc32, law, shard, slot, grown_shard. ``size`` is the text's UTF-8 bytes plus 1 (null: 1).
