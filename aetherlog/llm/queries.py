@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aetherlog.llm import decontamination, line_dedup, pieces, sharding
+from aetherlog.llm import decontamination, jaccard, line_dedup, pieces, sharding
 from aetherlog.llm import quality_rules as rules
 
 
@@ -30,6 +30,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("transcript_id").alias("doc_id"), F.col("reference_id").alias("item_id"), "start", "stop", "edits")
 
 
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_transcripts(_transcripts(spark, folder)).withColumnRenamed("transcript_id", "doc_id")
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(_transcripts(spark, folder))
     return out.select(F.col("transcript_id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.md5("text").alias("text_md5"))
@@ -51,5 +55,5 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("transcript_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece)}
 ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.reference_sql()}
