@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aetherlog.llm import decontamination, jaccard, line_dedup, pieces, sharding
+from aetherlog.llm import decontamination, extraction, jaccard, line_dedup, pieces, sharding, warc
 from aetherlog.llm import quality_rules as rules
 
 
@@ -24,12 +24,29 @@ def _benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("reference_id"), "text")
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/pages.parquet")
+
+
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    captures = _pages(spark, folder).select(F.col("page_id").alias("capture_id"), F.col("url").alias("stream_url"), F.col("html").alias("payload"))
+    records = warc.read_archives(warc.write_archives(captures), payload=False)
+    kind = dict(captures.dtypes)["capture_id"]
+    return records.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """One row per benchmark item found in a document."""
     out = decontamination.leaked_references(_transcripts(spark, folder), _benchmark(spark, folder))
     return out.select(F.col("transcript_id").alias("doc_id"), F.col("reference_id").alias("item_id"), "start", "stop", "edits")
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract_pages(_pages(spark, folder))
+
+
 def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_transcripts(_transcripts(spark, folder)).withColumnRenamed("transcript_id", "doc_id")
 
@@ -55,5 +72,5 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("transcript_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece)}
-ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.reference_sql()}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece)}
+ORACLE: dict[str, str] = {"op1_warc": warc.reference_sql(), "op5_line_dedup": line_dedup.reference_sql()}
