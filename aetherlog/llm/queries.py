@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aetherlog.llm import decontamination, extraction, jaccard, line_dedup, pieces, sharding, warc
+from aetherlog.llm import decontamination, extraction, jaccard, line_dedup, pieces, repeats, sharding, warc
 from aetherlog.llm import quality_rules as rules
 
 
@@ -72,5 +72,11 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("transcript_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece)}
+def op10_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    out = repeats.remove_repeats(_transcripts(spark, folder))
+    return out.select(F.col("transcript_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece, op10_suffix_repeats)}
 ORACLE: dict[str, str] = {"op1_warc": warc.reference_sql(), "op5_line_dedup": line_dedup.reference_sql()}
