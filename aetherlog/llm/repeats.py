@@ -131,7 +131,7 @@ def _merged(row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 def _contexts(buckets: int, match_bytes: int):
     """Of a group: the distinct stretches of text around repeated anchors, by bucket.
 
-    A stretch is sent once, for the smallest key of the group that has it. For the other transcripts that have it, all of it is a repeat.
+    A stretch is sent for the smallest key of the group that has it. For the other transcripts that have it, all of it is a repeat.
     """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ("bucket", "g", "values", "keys", "starts", "counts", "body", "cut")
@@ -160,6 +160,7 @@ def _contexts(buckets: int, match_bytes: int):
         later = number[row] > number[row[rep]][which]
         crow, cfirst, cstop = _merged(row[later], first[later], last[later] + match_bytes)
         cut = np.stack([number[crow], cfirst - offsets[crow], cstop - offsets[crow]]).astype(np.int64).tobytes() if len(crow) else None
+        rep = np.flatnonzero(~later)  # all places where the smallest key has it
         bucket = ((value[rep] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         by_bucket = np.argsort(bucket, kind="stable")
         rep, edges = rep[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
@@ -244,11 +245,10 @@ def _factors(match_bytes: int):
         first_copy = np.empty(len(value), np.int64)
         first_copy[order] = rep
         copy = (first_copy != np.arange(len(value))) & (key != key[first_copy])
-        kept = order[head]
         # stretches whose anchor has other stretches, too: their strings are compared
-        own = value[kept]
-        mixed = np.concatenate([own[1:] == own[:-1], [False]]) | np.concatenate([[False], own[1:] == own[:-1]])
-        kept = kept[mixed]
+        news = np.concatenate([[True], v[1:] != v[:-1]])
+        several = np.add.reduceat(head.astype(np.int64), np.flatnonzero(news))[np.cumsum(news) - 1] > 1
+        kept = order[several & ~copy[order]]
         gs, ks, a, z = [g[copy]], [key[copy]], [start[copy]], [start[copy] + size[copy]]
         # whole anchors together, a bounded number of strings at a time
         edges = np.flatnonzero(np.concatenate([[True], value[kept][1:] != value[kept][:-1]])) if len(kept) else np.zeros(0, np.int64)
