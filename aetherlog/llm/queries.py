@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aetherlog.llm import decontamination, extraction, jaccard, line_dedup, pieces, repeats, sharding, warc
+from aetherlog.llm import quality_classifier as classifier
 from aetherlog.llm import quality_rules as rules
 
 
@@ -60,6 +61,13 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.minimax_shards(_transcripts(spark, folder)).withColumnRenamed("transcript_id", "doc_id")
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _transcripts(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("transcript_id"), "quality")
+    out = classifier.score_transcripts(docs, classifier.train(docs, labels))
+    return out.withColumnRenamed("transcript_id", "doc_id")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     out = rules.quality_rules(_transcripts(spark, folder))
     return out.select(F.col("transcript_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -78,5 +86,5 @@ def op10_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op8_quality_rules, op9_sentencepiece, op10_suffix_repeats)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op7_quality_classifier, op8_quality_rules, op9_sentencepiece, op10_suffix_repeats)}
 ORACLE: dict[str, str] = {"op1_warc": warc.reference_sql(), "op5_line_dedup": line_dedup.reference_sql()}
