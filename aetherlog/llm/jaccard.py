@@ -284,10 +284,11 @@ def remaining_links(sets: DataFrame, comp: DataFrame, percent: int, shard_rows:
     member = stored(token.join(lead.select("token", "grp"), "token").select("grp", "rep", "comp").distinct(), "jaccard-groups")
     width = member.groupBy("grp").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
     dealt = member.join(width, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), "shards"))
-    everywhere = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
-    assigned = everywhere.select("grp", "shard", "rep", "comp", (F.col("shard") <= F.col("own")).alias("query"),
-                                 (F.col("shard") == F.col("own")).alias("own"))
-    return _links(assigned.filter("query OR own").drop("own"), sets, percent)
+    # a task gets two shards at most: the first one's sets are searched for the second one's
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    assigned = pairs.select("grp", (low * F.col("shards") + high).alias("shard"), "rep", "comp", (F.col("own") == high).alias("query"))
+    return _links(assigned, sets, percent)
 
 
 def similar_transcripts(transcripts: DataFrame, key: str = "transcript_id", text: str = "text", words: int = WORDS,
