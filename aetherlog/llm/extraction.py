@@ -27,6 +27,7 @@ PAGE_PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
     "promoted promotion related replies reply search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+LEAVES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li option p pre summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _CLOSES_P = BLOCK - {"br", "body", "html", "head"}
 _PARTS = re.compile(r"[^a-z]+")
@@ -53,7 +54,7 @@ class PageLines(HTMLParser):
         self._fresh()
 
     def _fresh(self) -> None:
-        path = tuple(n for _, n, _ in self.open)
+        path = tuple(n for t, n, _ in self.open if t in BLOCK and t not in LEAVES)
         self.line = _Line(path, any(t == "li" for t, _, _ in self.open))
 
     def _break(self) -> None:
@@ -152,7 +153,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     Lines whose smoothed ratio reaches the standard deviation of all ratios are the content cluster. They decide which
     region of the page is the article: the article or main element with most of the cluster's text, else the innermost element that
     holds most of it. Of an explicit region every line is kept, however short; without one, the lines from the cluster's first
-    to its last, lists of links left out.
+    to its last and those beside them in the same element, lists of links left out.
     """
     page = PageLines()
     for i in range(0, len(html), FEED):
@@ -176,7 +177,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         region = max((n for n in weight if weight[n] >= 0.7 * total), default=0)  # a later number lies deeper
         inside = np.array([not region or region in x.path for _, x in found])
         at = np.flatnonzero(content & inside)
-        inside &= (np.arange(len(found)) >= at[0]) & (np.arange(len(found)) <= at[-1])
+        homes = {found[i][1].path for i in at}
+        inside &= np.array([at[0] <= i <= at[-1] or x.path in homes for i, (_, x) in enumerate(found)])
         links = np.array([x.item and x.linked >= 0.9 * len(t) for t, x in found])
         inside &= ~(links & (np.append(links[1:], False) | np.append(False, links[:-1])))
     return " ".join(t for (t, _), keep in zip(found, inside) if keep)

@@ -27,6 +27,7 @@ _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:capture:"
 _INDEX = "ARRAY<STRUCT<record_id: STRING, frame: INT, offset: BIGINT, length: BIGINT>>"
+_URI = "".join(map(chr, range(33, 127)))  # everything else in a url is percent-encoded
 _UNDATED = "1970-01-01T00:00:00Z"
 
 
@@ -49,7 +50,7 @@ def _record(record_id: str, url: str | None, date: str, payload: bytes, size: in
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{record_id}>",
              f"WARC-Date: {date}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + quote(url, safe="".join(chr(c) for c in range(33, 127) if c != 37)))
+        lines.append("WARC-Target-URI: " + quote(url, safe=_URI))
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_URN}{refers_to}>"]
@@ -91,12 +92,13 @@ class ArchiveWriter:
 
 
 def write_archives(captures: DataFrame, key: str = "capture_id", url: str = "stream_url", payload: str = "payload",
-                   date: str | None = None, min_bytes: int = 0, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+                   date: str | None = None, min_bytes: int = 0, level: int = 3, archive_bytes: int = ARCHIVE_BYTES,
+                   frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """One row per archive: archive (name), content (its bytes), records (the index entries).
 
     Every capture becomes a record: a revisit if a capture with a smaller key has the same payload of at least ``min_bytes`` bytes, else a
     response. Payloads are text or bytes; null counts as empty. ``date`` names a column of WARC dates (null or none: the epoch). A null
-    url leaves out its header. Rows with a repeated key become a record each. An empty table gives no archive.
+    url leaves out its header; blanks, control and other than ASCII characters in it are percent-encoded. Rows with a repeated key become a record each. An empty table gives no archive.
     The result is written to the shared folder and read back.
     """
     types = record_types(captures, key, payload, min_bytes).select(
@@ -112,7 +114,7 @@ def write_archives(captures: DataFrame, key: str = "capture_id", url: str = "str
         F.col("__to").cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = ArchiveWriter(level)
+        writer = ArchiveWriter(level, frame_bytes)
 
         def finish() -> pa.RecordBatch:
             content = writer.finish()
@@ -130,7 +132,7 @@ def write_archives(captures: DataFrame, key: str = "capture_id", url: str = "str
                 writer.add(name, _record(name, target, day or _UNDATED, content or b"", size, digest, quote(to, safe="") if to is not None else None))
                 if writer.total >= archive_bytes:
                     yield finish()
-                    writer = ArchiveWriter(level)
+                    writer = ArchiveWriter(level, frame_bytes)
         if writer.index:
             yield finish()
 
@@ -181,7 +183,7 @@ def _result(headers: dict[str, str], block: bytes, payload: bool) -> tuple:
         raise ValueError("damaged payload of " + headers["WARC-Record-ID"])
     own, to = (unquote(headers[h][1:-1].removeprefix(_URN)) if h in headers else None for h in ("WARC-Record-ID", "WARC-Refers-To"))
     target = headers.get("WARC-Target-URI")
-    return own or None, None if target is None else unquote(target), headers["WARC-Type"], to, length, digest, body if payload and not revisit else None
+    return own or None, target, headers["WARC-Type"], to, length, digest, body if payload and not revisit else None
 
 
 _FIELDS = ("record_id STRING, target_uri STRING, record_type STRING, refers_to STRING, payload_bytes BIGINT, "
