@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aetherlog.llm.chunks import Piece, buffers, pieces
 from aetherlog.llm.shared import text_bytes
 
-GROUP_BYTES = 8 << 20    # text that one task holds at a time
-BUCKET_BYTES = 16 << 20  # text for each bucket of anchors
+GROUP_BYTES = 4 << 20    # text that one task holds at a time
+BUCKET_BYTES = 8 << 20  # text for each bucket of anchors
 _PIECE = 1 << 19
 _LOW = np.uint64(63)
 
@@ -27,7 +28,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, match_bytes: int) -> tuple[np
 
     The anchor of a string is its gram with the smallest hash. Each start of a string belongs to one anchor.
     """
-    gram = match_bytes // 2 + 1
+    gram = max(match_bytes // 2 + 1, match_bytes - 60)  # at most 61 grams a string: places are kept modulo 64
     width = match_bytes - gram + 1
     parts = []
     for a, b in pieces(offsets, _PIECE):
@@ -128,6 +129,10 @@ def _merged(row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return row[head], first[head], np.maximum.reduceat(stop, head)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype(np.int64).tobytes(), 1)
+
+
 def _contexts(buckets: int, match_bytes: int):
     """Of a group: the distinct stretches of text around repeated anchors, by bucket.
 
@@ -165,6 +170,7 @@ def _contexts(buckets: int, match_bytes: int):
         by_bucket = np.argsort(bucket, kind="stable")
         rep, edges = rep[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         out: dict[str, list] = {n: [] for n in names}
+        packer = zstandard.ZstdCompressor(level=1)
         g = left.column("g")[0].as_py()
         for b in np.flatnonzero(np.diff(edges)):
             r = rep[edges[b]:edges[b + 1]]
@@ -172,8 +178,8 @@ def _contexts(buckets: int, match_bytes: int):
             ends = np.cumsum(size)
             take = np.arange(ends[-1]) + np.repeat(first[r] - (ends - size), size)
             for n, v in zip(names, (
-                    int(b), g, value[r].tobytes(), number[row[r]].astype(np.int64).tobytes(), (first[r] - offsets[row[r]]).astype(np.int64).tobytes(),
-                    (last[r] - first[r] + 1).astype(np.int32).tobytes(), data[take].tobytes(), None)):
+                    int(b), g, value[r].tobytes(), _packed(number[row[r]]), _packed(first[r] - offsets[row[r]]),
+                    (last[r] - first[r] + 1).astype(np.uint8).tobytes(), packer.compress(data[take].tobytes()), None)):
                 out[n].append(v)
         if cut is not None and not out["bucket"]:
             raise AssertionError("a repeat without a first copy")
@@ -227,9 +233,12 @@ def _factors(match_bytes: int):
     def run(table: pa.Table) -> pa.Table:
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        value, key, start = joined("values", np.uint64), joined("keys", np.int64), joined("starts", np.int64)
-        count, body = joined("counts", np.int32).astype(np.int64), joined("body", np.uint8)
-        g = np.repeat(np.array(table.column("g").to_pylist(), np.int64), [len(k) // 8 for k in table.column("keys").to_pylist()])
+
+        def unpacked(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(zstandard.decompress(x) for x in table.column(name).to_pylist()), kind)
+        value, key, start = joined("values", np.uint64), unpacked("keys", np.int64), unpacked("starts", np.int64)
+        count, body = joined("counts", np.uint8).astype(np.int64), unpacked("body", np.uint8)
+        g = np.repeat(np.array(table.column("g").to_pylist(), np.int64), [len(v) // 8 for v in table.column("values").to_pylist()])
         size = count + match_bytes - 1
         place = np.cumsum(size) - size
         # equal stretches: only the smallest key's one can be new
