@@ -6,12 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aetherlog import dims
-from aetherlog.functions.display import micros
-from aetherlog.plans.bins import point_in_interval
 from aetherlog.plans.blocked import running, time_block
 
-SECOND = 1000000
-
 
 # --- presets -----------------------------------------------------------------------------
 
@@ -75,19 +71,23 @@ def view_rules(status: DataFrame, presets: DataFrame) -> DataFrame:
     })
 
 
-def validate_requests(req: DataFrame, presets: DataFrame, locks: DataFrame, mode: str = "SDR", bin_s: int = 900) -> DataFrame:
-    """Reason code of each tune request.
+def validate_requests(
+    req: DataFrame, presets: DataFrame, locks: DataFrame, mode: str = "SDR", block_s: int = 3600,
+) -> DataFrame:
+    """Reason code of each tune request; equal requests each get one.
 
-    ``locks`` are satellite recordings ``(station, lock_start, lock_end)``.
+    ``locks`` are satellite recordings ``(station, lock_start, lock_end)``. A request is locked if the latest end of
+    all recordings begun so far lies behind it: a running maximum over both tables, not a join.
     """
     p = presets.select(
         F.col("id").alias("preset_id"), F.lit(True).alias("_known"),
         (F.coalesce(F.length("stream_url"), F.lit(0)) > 0).alias("_url"))
-    at, lo, hi = micros("ts"), micros("lock_start"), micros("lock_end")
-    held = point_in_interval(
-        req, locks.select("station", "lock_start", "lock_end"), ["station"], at, lo, hi,
-        bin_s * SECOND, (at >= lo) & (at < hi), "left")
-    per = held.groupBy(*req.columns).agg(F.max("lock_start").isNotNull().alias("_locked"))
+    none = F.lit(None)
+    asked = req.select("station", "ts", F.lit(1).alias("_side"), none.cast("timestamp").alias("_end"), F.struct(*req.columns).alias("_req"))
+    held = locks.select("station", F.col("lock_start").alias("ts"), F.lit(0).alias("_side"), F.col("lock_end").alias("_end"),
+                        none.cast(asked.schema["_req"].dataType).alias("_req"))
+    walked = running(held.unionByName(asked), ["station"], ["ts", "_side"], time_block("ts", block_s), _until=("max", F.col("_end")))
+    per = walked.filter(F.col("_side") == 1).select("_req.*", F.coalesce(F.col("_until") > F.col("ts"), F.lit(False)).alias("_locked"))
     no_stream = F.lit(mode == "WEBSTREAM") & ~F.col("_url")
     return per.join(p, "preset_id", "left").withColumn(
         "reason",

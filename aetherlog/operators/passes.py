@@ -59,17 +59,21 @@ def stale(df: DataFrame, as_of: Column, ts: str = "fetched_at", hours: int = dim
 # --- passes --------------------------------------------------------------------------------
 
 def detect_passes(
-    samples: DataFrame, key: list[str] = ["satellite"], horizon: float = 0.0, block_s: int = 3600,
+    samples: DataFrame, key: list[str] = ["satellite"], horizon: float = 0.0, block_s: int = 3600, order: list[str] = [],
 ) -> DataFrame:
     """Each maximal run of samples above the horizon is a pass.
 
+    Samples of one instant are taken in the order of the columns in ``order``, then by elevation, so the result
+    does not depend on the order of the rows.
+
     Runs are told apart by the sample that ended the one before and are summed up
     with partial aggregation, so a long pass or a busy satellite is no hot task.
     """
     up = F.coalesce(F.col("elevation") > horizon, F.lit(False))
-    rows = samples.select(*key, "ts", "elevation")
+    sequence = ["ts", *order, "_height"]
+    rows = samples.select(*key, "elevation", "ts", *order, F.coalesce("elevation", F.lit(float("-inf"))).alias("_height"))
     # all samples of a pass share the newest sample below the horizon
-    runs = running(rows, key, ["ts"], time_block("ts", block_s), _down=("last", F.when(~up, F.col("ts"))))
+    runs = running(rows, key, sequence, time_block("ts", block_s), _down=("last", F.when(~up, F.struct(*sequence))))
     per = runs.filter(up).groupBy(*key, "_down").agg(
         F.min("ts").alias("_aos"), F.max("ts").alias("los"), F.max("elevation").alias("_max"))
     return per.select(
@@ -100,30 +104,55 @@ def next_passes(p: DataFrame, n: int = 5, ties: tuple[str, ...] = ()) -> DataFra
     return p.orderBy("aos", "satellite", *ties).limit(n)
 
 
-def _pass_near_tick(passes: DataFrame, ticks: DataFrame, before_s: int, after_s: int, open_end: bool) -> DataFrame:
-    """Ticks at most ``before_s`` ahead of and ``after_s`` past the start of a pass."""
+def tick_grid(ticks: DataFrame, key: list[str] = [], every_s: int = dims.PASS_CHECK_S, tick: str = "tick") -> DataFrame:
+    """Ticks on the grid of the pass check: one per key and slot, so a notice time holds a fixed number of them."""
+    slot = F.floor(micros(tick) / (every_s * SECOND)).cast("bigint")
+    return ticks.select(*key, slot.alias("slot")).distinct().select(
+        *key, "slot", F.timestamp_micros(F.col("slot") * every_s * SECOND).alias("tick"))
+
+
+def _pass_near_tick(passes: DataFrame, ticks: DataFrame, key: list[str], before_s: int, after_s: int, open_end: bool) -> DataFrame:
+    """Ticks at most ``before_s`` ahead of and ``after_s`` past the start of a pass of the same ``key``."""
     at, tick = micros("aos"), micros("tick")
     test = (at - tick <= before_s * SECOND) & ((at - tick > 0) if open_end else (at - tick >= -after_s * SECOND))
     return point_in_interval(
-        ticks, passes, [], tick, at - before_s * SECOND, at + after_s * SECOND,
+        ticks, passes, key, tick, at - before_s * SECOND, at + after_s * SECOND,
         max(before_s + after_s, 1) * SECOND, test)
 
 
-def upcoming(passes: DataFrame, ticks: DataFrame, notice_s: int = dims.NOTICE_S) -> DataFrame:
-    """Ticks inside the notice time before a pass."""
-    hits = _pass_near_tick(passes, ticks, notice_s, 0, True)
+def upcoming(passes: DataFrame, ticks: DataFrame, notice_s: int = dims.NOTICE_S, station: list[str] = []) -> DataFrame:
+    """Ticks inside the notice time before a pass; ``station`` names what ticks and passes have in common.
+
+    Rows out are ticks per notice time: with ticks on the grid at most 20 per pass.
+    """
+    hits = _pass_near_tick(passes, ticks, station, notice_s, 0, True)
     return hits.withColumn("minutes_until", minutes_until("aos", "tick"))
 
 
-def notices(passes: DataFrame, ticks: DataFrame, key: list[str] = ["satellite", "aos"]) -> DataFrame:
-    """One notice per pass, at the first tick inside the notice time."""
-    hits = upcoming(passes, ticks)
-    first = hits.groupBy(*key).agg(F.min_by(F.struct(*hits.columns), "tick").alias("h"))
-    return first.select("h.*")
+def notices(
+    passes: DataFrame, ticks: DataFrame, notice_s: int = dims.NOTICE_S, station: list[str] = [], block_s: int = 3600,
+) -> DataFrame:
+    """One notice per pass, at the first tick inside the notice time.
+
+    One ordered walk over ticks and passes, newest first, hands each pass the tick that follows
+    the beginning of its notice time; no pair of a pass with its other ticks is built.
+    """
+    key = station or ["_all"]
+    p, c = (df if station else df.withColumn("_all", F.lit(0)) for df in (passes, ticks))
+    none = F.lit(None)
+    due = micros("aos") - notice_s * SECOND
+    left = c.select(*key, (-micros("tick")).alias("_t"), F.lit(0).alias("_side"), F.struct("tick").alias("_tick"))
+    row = F.struct(*[x for x in p.columns if x not in key])
+    right = p.select(*key, (-due).alias("_t"), F.lit(1).alias("_side"), row.alias("_pass"))
+    both = left.withColumn("_pass", none.cast(right.schema["_pass"].dataType)).unionByName(
+        right.withColumn("_tick", none.cast(left.schema["_tick"].dataType)))
+    walked = running(both, key, ["_t", "_side"], index_block("_t", block_s * SECOND), _next=("last", F.col("_tick")))
+    found = walked.filter(F.col("_side") == 1).select(*station, "_pass.*", F.col("_next.tick").alias("tick"))
+    return found.filter(micros("aos") - micros("tick") > 0).withColumn("minutes_until", minutes_until("aos", "tick"))
 
 
-def starting(passes: DataFrame, ticks: DataFrame, tolerance_s: int = dims.START_TOLERANCE_S) -> DataFrame:
-    return _pass_near_tick(passes, ticks, tolerance_s, tolerance_s, False)
+def starting(passes: DataFrame, ticks: DataFrame, tolerance_s: int = dims.START_TOLERANCE_S, station: list[str] = []) -> DataFrame:
+    return _pass_near_tick(passes, ticks, station, tolerance_s, tolerance_s, False)
 
 
 def select_recordings(
@@ -165,15 +194,19 @@ def latest_image(images: DataFrame, by: str = "name") -> DataFrame:
 
 
 def images_with_pass(
-    images: DataFrame, passes: DataFrame, key: list[str] = ["satellite"], bin_s: int = 3600,
+    images: DataFrame, passes: DataFrame, key: list[str] = ["satellite"], location: str = "", bin_s: int = 3600,
 ) -> DataFrame:
-    """Attach the pass an image was taken in; 0 elevation when there is none."""
+    """Attach the pass an image was taken in; 0 elevation when there is none. Equal rows stay as many as they are.
+
+    ``location`` is where the station stands.
+    """
     two_min = 120 * SECOND
     p = passes.select(*key, "aos", "los", "max_elevation")
     at, lo, hi = micros("pass_ts"), micros("aos") - two_min, micros("los")
-    joined = point_in_interval(images, p, key, at, lo, hi, bin_s * SECOND, (at >= lo) & (at <= hi), "left")
-    per = joined.groupBy(*images.columns).agg(F.max_by("max_elevation", "aos").alias("max_elevation"))
-    return per.withColumns({
+    counted = images.groupBy(*images.columns).agg(F.count(F.lit(1)).alias("_n"))
+    joined = point_in_interval(counted, p, key, at, lo, hi, bin_s * SECOND, (at >= lo) & (at <= hi), "left")
+    per = joined.groupBy(*counted.columns).agg(F.max_by("max_elevation", "aos").alias("max_elevation"))
+    return per.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).drop("_n").withColumns({
         "max_elevation": F.coalesce("max_elevation", F.lit(0.0)),
-        "location": F.lit(dims.OBSERVER_LOCATION),
+        "location": F.lit(location),
     })

@@ -178,9 +178,11 @@ def segment_mode(presets: DataFrame) -> DataFrame:
 
 # --- segment audio for a transcription backend ---------------------------------------------
 
-def segment_audio(chunks: DataFrame, segments: DataFrame, key: list[str] = ["stream_id"]) -> DataFrame:
-    """The bytes of each segment, as ordered chunk slices; at most 30 s per segment."""
-    size, frame_bytes = dims.CHUNK_BYTES, dims.FRAME_SAMPLES * 2
+def segment_audio(
+    chunks: DataFrame, segments: DataFrame, key: list[str] = ["stream_id"], chunk_bytes: int = dims.CHUNK_BYTES,
+) -> DataFrame:
+    """The bytes of each segment, as ordered chunk slices; at most 30 s per segment. Chunks are ``chunk_bytes`` long."""
+    size, frame_bytes = chunk_bytes, dims.FRAME_SAMPLES * 2
     lo, hi = F.col("start_idx") * frame_bytes, (F.col("end_idx") + 1) * frame_bytes
     spans = segments.withColumn("seq", F.explode(F.sequence(
         F.floor(lo / size).cast("bigint"), F.floor((hi - 1) / size).cast("bigint"))))

@@ -51,14 +51,10 @@ def temperature(low: Column) -> Column:
 
 
 def wind(low: Column) -> Column:
-    amount = rf"\d+(?:\s+to\s+\d+)?\s*(?:{dims.SPEED_UNITS})"
-    named_first = rf"winds?\s+(?:{dims.DIRECTIONS})\s+(?:at\s+)?{amount}"
-    direction_first = rf"(?:{dims.DIRECTIONS})\s+winds?\s+{amount}"
-    calm = r"winds?\s+light\s+and\s+variable"
     # "wind(s) <number>" must occur for the second pattern, and is much quicker to look for
-    second = F.when(low.rlike(r"winds?\s+\d"), rx(low, direction_first, 0))
+    second = F.when(low.rlike(r"winds?\s+\d"), rx(low, dims.WIND_DIRECTION_FIRST, 0))
     # the first pattern found anywhere decides; its parts are read from the short match
-    match = F.when(low.contains("wind"), F.coalesce(rx(low, named_first, 0), second, rx(low, calm, 0)))
+    match = F.when(low.contains("wind"), F.coalesce(rx(low, dims.WIND_NAMED_FIRST, 0), second, rx(low, dims.WIND_CALM, 0)))
 
     def fields(m: Column) -> Column:
         speed = F.coalesce(rx(m, r"\sto\s+(\d+)"), rx(m, r"(\d+)"), F.lit("0"))
@@ -72,13 +68,13 @@ def wind(low: Column) -> Column:
 
 
 def visibility(low: Column) -> Column:
-    digits = rx(low, r"visibility\s+(\d+)\s*(?:to\s+\d+\s+)?miles?").try_cast("double")
+    digits = rx(low, dims.VISIBILITY_DIGITS).try_cast("double")
     # only the first "visibility <word> mile" counts, listed or not
-    word = word_to_number(rx(low, r"visibility\s+(\w+)\s+miles?"), dims.NUMBER_WORDS)
+    word = word_to_number(rx(low, dims.VISIBILITY_WORD), dims.NUMBER_WORDS)
     value = F.coalesce(
         digits,
-        F.when(low.rlike(r"visibility\s+one\s+quarter\s+miles?"), 0.25),
-        F.when(low.rlike(r"visibility\s+one\s+half\s+miles?"), 0.5),
+        F.when(low.rlike(dims.VISIBILITY_QUARTER), 0.25),
+        F.when(low.rlike(dims.VISIBILITY_HALF), 0.5),
         word.cast("double"),
     )
     gated = F.when(low.contains("visibility"), value)
@@ -194,6 +190,20 @@ def post_process(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+WEATHER_PARSER = "noaa"
+
+
+def heard_reports(t: DataFrame, presets: DataFrame, text: str = "text", parsed_at: str | Column = "ts") -> DataFrame:
+    """Weather reports of what was heard: stripped, not invented, and only of presets with the weather parser.
+
+    Transcripts of all other presets, unknown ones too, give no report. Adds the preset's ``freq``.
+    """
+    tuned = presets.filter(F.col("parser") == WEATHER_PARSER).select(F.col("id").alias("preset_id"), F.col("freq").alias("_freq"))
+    clean = drop_hallucinations(t, text).withColumn(text, strip_ws(text))
+    gated = clean.join(tuned, "preset_id").withColumn("freq", F.coalesce("_freq", F.lit(""))).drop("_freq")
+    return weather_reports(gated, text, parsed_at)
+
+
 def alert_rows(t: DataFrame, *keep: str | Column) -> DataFrame:
     """One row ``(keep..., a)`` per alert of tables with an ``alerts`` column."""
     rows = t.select(*keep, F.explode_outer("alerts").alias("a"))
@@ -201,14 +211,17 @@ def alert_rows(t: DataFrame, *keep: str | Column) -> DataFrame:
     return rows.filter(F.col("a").isNotNull())
 
 
-def alert_log(reports: DataFrame, presets: DataFrame) -> DataFrame:
-    """One row per alert. An alert phrase holds a priority word, so every alert is of a priority report."""
+def alert_log(reports: DataFrame) -> DataFrame:
+    """One row per alert of heard reports. An alert phrase holds a priority word, so every alert is of a priority report."""
     rows = alert_rows(
-        reports, "stream_id", F.col("parsed_at").alias("ts"), "preset_id", "source",
+        reports, "stream_id", F.col("parsed_at").alias("ts"), "freq", "source",
         snippet("raw_transcript", dims.SNIPPET_CHARS).alias("snippet"))
-    with_freq = rows.join(presets.select(F.col("id").alias("preset_id"), "freq"), "preset_id", "left")
-    return with_freq.select(
-        "stream_id", "ts", F.coalesce("freq", F.lit("")).alias("freq"), "a.type", "a.name", "a.area", "source", "snippet")
+    return rows.select("stream_id", "ts", "freq", "a.type", "a.name", "a.area", "source", "snippet")
+
+
+def active_banner(alerts_col: str | Column = "alerts", raw: str | Column = "raw_transcript") -> Column:
+    """The banner after a report: hidden (NULL) unless the report is a priority alert, listed alerts or not."""
+    return F.when(is_priority(raw), alert_banner(alerts_col, raw))
 
 
 def alert_banner(alerts_col: str | Column = "alerts", raw: str | Column = "raw_transcript") -> Column:
@@ -233,8 +246,10 @@ def weather_card(reports: DataFrame) -> DataFrame:
     })
 
 
-def recent_transcripts(t: DataFrame, n: int = 3, key: str = "stream_id", order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """The newest ``n`` transcripts per station.
+def recent_transcripts(
+    reports: DataFrame, n: int = 3, key: str = "stream_id", order: tuple[str, ...] = ("ts",), text: str = "raw_transcript",
+) -> DataFrame:
+    """The newest ``n`` reports' transcripts per station; empty ones are not listed.
 
     Spark turns ``rank <= n`` into a per-task group limit below the shuffle,
     so a hot station sends ``n`` rows per task, not all of them.
@@ -242,7 +257,7 @@ def recent_transcripts(t: DataFrame, n: int = 3, key: str = "stream_id", order:
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
-    return t.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    return reports.filter(F.length(text) > 0).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
 def transcript_feed(t: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:

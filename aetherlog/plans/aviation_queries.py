@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from aetherlog import dims
 from aetherlog.functions import text as X
 from aetherlog.operators import aviation as A
-from aetherlog.operators import metrics as M
 from aetherlog.operators import transcripts as T
 from aetherlog.plans.registry import query
-from aetherlog.plans.store import stored
+from aetherlog.session import shared_folder
+from aetherlog.sources import readers
 
 # Updates are sparse here (a few per aircraft and day), so a day takes the place of ten minutes.
 GAP = 86400
 GAP_US = GAP * 1000000
 NOW, BEFORE, SOON = "2024-01-20 00:00:00", "2024-01-15 00:00:00", "2024-01-03 00:00:00"
+HEARD = "2024-01-02 00:00:00"  # the derived transcripts of every size reach this moment
 _FIELDS = ["flight", "altitude", "speed", "track", "lat", "lon", "vert_rate", "squawk"]
 _COLS = ", ".join(_FIELDS)
 
@@ -67,6 +68,16 @@ def _(t):
     return t.updates().select("seq", "ts", "hex", *_FIELDS)
 
 
+@query("src_2_telemetry_files", "updates", sql="""SELECT hex, count(*) AS n, min(make_timestamp(us // 1000 * 1000)) AS first_ts, max(make_timestamp(us // 1000 * 1000)) AS last_ts,
+    count(flight) AS named FROM updates GROUP BY 1""")
+def _(t):
+    """Telemetry lines from text files: each line's own time, as the line says it."""
+    path = shared_folder(t.spark, "telemetry")
+    t.sbs_lines().select("value").write.text(path)
+    return A.parse_sbs(readers.read_sbs(t.spark, path)).groupBy("hex").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("flight").alias("named"))
+
+
 @query("sc_8_safe_numbers", "sbs_lines", sql="""SELECT seq, TRY_CAST(trim(string_split(value, ',')[12]) AS INTEGER) AS as_int,
     TRY_CAST(nullif(trim(string_split(value, ',')[13]), '') AS DOUBLE) AS as_double FROM sbs_lines""")
 def _(t):
@@ -145,14 +156,16 @@ def _(t):
     return _calls(t).select("callsign").distinct()
 
 
-_LATEST = _STATE + """, latest AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY hex ORDER BY sighting DESC) = 1)"""
-_MATCH = _LATEST + _CALLS + """, matched AS (SELECT transcript_id, hex, flight, arg_min(callsign, pos) AS matched_callsign FROM calls, latest
-    WHERE trim(flight) <> '' AND (contains(upper(trim(flight)), callsign) OR contains(callsign, upper(trim(flight)))) GROUP BY 1, 2, 3)"""
+# Transcripts of the last day before the snapshot, matched with the aircraft in the air at it.
+_MATCH = _live("aloft", HEARD) + _CALLS + f""", matched AS (SELECT transcript_id, hex, flight, arg_min(callsign, pos) AS matched_callsign FROM calls, aloft
+    WHERE trim(flight) <> '' AND (contains(upper(trim(flight)), callsign) OR contains(callsign, upper(trim(flight))))
+    AND transcript_id IN (SELECT transcript_id FROM utterances WHERE us > {_us(HEARD)} - {GAP_US} AND us <= {_us(HEARD)}) GROUP BY 1, 2, 3)"""
 
 
 def _matched(t):
-    state = M.latest(A.aircraft_state(t.updates(), GAP), ["hex"], ["sighting"]).select("hex", "flight")
-    return A.match_flights(_calls(t), stored(state, "flights"))
+    recent = _spoken(t).filter((F.col("ts") > _at(HEARD) - F.expr("INTERVAL 1 DAY")) & (F.col("ts") <= _at(HEARD)))
+    aloft = A.live_aircraft(t.updates(), _at(HEARD), GAP).select("hex", "flight")
+    return A.match_flights(A.spoken_callsigns(recent, "transcript_id"), aloft)
 
 
 @query("jn_3_match_flights", "track", "utterances", gap_us=GAP_US, sql=_MATCH + " SELECT * FROM matched")
@@ -176,7 +189,7 @@ spoken_of AS (SELECT h.transcript_id, h.ts, h.hex, {", ".join("any_value(u." + c
 
 
 def _asof(t):
-    return A.aircraft_as_of(_spoken(t), stored(A.aircraft_track(t.updates(), GAP), "track"), GAP)
+    return A.aircraft_as_of(_spoken(t), A.aircraft_track(t.updates(), GAP), GAP)
 
 
 @query("jn_4_aircraft_as_of", "track", "utterances", gap_us=GAP_US, sql=_ASOF + f" SELECT transcript_id, ts, hex, {_COLS}, seen, matched_callsign FROM spoken_of")
@@ -211,4 +224,8 @@ def _(t):
 
 @query("str_10_active_highlights", "track", "utterances", gap_us=GAP_US, sql=_ASOF + f" SELECT transcript_id, hex FROM spoken_of WHERE ts BETWEEN TIMESTAMP '{SOON}' - INTERVAL 10 HOURS AND TIMESTAMP '{SOON}'")
 def _(t):
-    return A.active_highlights(_asof(t), _at(SOON), 36000).select("transcript_id", "hex")
+    # the time band of the highlights reaches both sides before they are matched
+    since = _at(SOON) - F.expr("INTERVAL 10 HOURS")
+    heard = _spoken(t).filter(F.col("ts").between(since, _at(SOON)))
+    track = A.aircraft_track(t.updates(), GAP).filter(F.col("ts").between(since - F.expr("INTERVAL 1 DAY"), _at(SOON)))
+    return A.active_highlights(A.aircraft_as_of(heard, track, GAP), _at(SOON), 36000).select("transcript_id", "hex")

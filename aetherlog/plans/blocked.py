@@ -8,7 +8,8 @@ two steps:
    ordinary window, so a long series spreads over many tasks;
 2. between blocks, on one summary row per block, to get the value carried in.
 
-The rows are shuffled once, by key and block. The summaries are small, and the
+The rows are shuffled once, by key and block, and read twice: the partial sums of
+the summaries are taken before the shuffle. The summaries are small, and the
 join that brings the carried value back uses the partitioning of step 1.
 """
 
@@ -45,6 +46,7 @@ def running(
     - ``sum``: running sum up to and including the row (NULL counts as 0);
     - ``since``: ``(kind, value, reset)``, sum of the values after the newest row with ``reset``;
     - ``last``: newest non-NULL value up to and including the row;
+    - ``max``: largest value up to and including the row;
     - ``before``: newest non-NULL value of the rows before;
     - ``lag`` / ``lead``: value of the row before / after, NULL at the ends.
 
@@ -80,6 +82,11 @@ def running(
             merged[name] = F.when(
                 F.col(here).isNotNull(), so_far - F.col(here)
             ).otherwise(so_far + F.col(carry) - F.coalesce(F.col(f"_k_{name}"), zero))
+        elif kind == "max":
+            local[here] = F.max(value).over(up_to)
+            totals.append(F.max(value).alias(total))
+            carried.append(F.max(total).over(earlier).alias(carry))
+            merged[name] = F.greatest(here, carry)
         elif kind == "last":
             local[here] = F.last(value, ignorenulls=True).over(up_to)
         elif kind == "before":

@@ -80,20 +80,21 @@ class Tables:
         return e.select(
             F.col("event_type").alias("station"),
             F.when(F.col("user_id") % 2 == 0, "NOAA 15").otherwise("NOAA 19").alias("satellite"),
-            "ts", (F.floor(F.col("value") * 10) / 10.0 - 30.0).alias("elevation"))
+            "ts", "seq", (F.floor(F.col("value") * 10) / 10.0 - 30.0).alias("elevation"))
 
     def passes(self) -> DataFrame:
         from aetherlog.operators.passes import detect_passes
 
-        return detect_passes(self.samples(), ["station", "satellite"])
+        return detect_passes(self.samples(), ["station", "satellite"], order=["seq"])
 
     def ticks(self) -> DataFrame:
-        """Clock ticks: the times of the click events."""
-        return self.events().filter(F.col("event_type") == "click").select(
-            F.col("ts").alias("tick"), F.col("seq").alias("tick_id"))
+        """Clock ticks of each station, on the grid of the pass check: the slots in which it has events."""
+        from aetherlog.operators.passes import tick_grid
+
+        return tick_grid(derive_ticks(self.events()), ["station"]).withColumnRenamed("slot", "tick_id")
 
     def images(self) -> DataFrame:
-        e = self.events().filter(F.col("event_type") == "purchase")
+        e = self.events()
         sat = F.when(F.col("user_id") % 2 == 0, "NOAA-15").otherwise("NOAA-19")
         return e.select(
             F.col("event_type").alias("station"), F.col("seq").alias("image_id"),
@@ -150,6 +151,10 @@ def derive_events(e: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
 
 
+def derive_ticks(e: DataFrame) -> DataFrame:
+    return e.select(F.col("event_type").alias("station"), F.col("ts").alias("tick"))
+
+
 def preset_of(n: F.Column) -> F.Column:
     """A preset id; every 16th is one that does not exist."""
     return _pick([p[0] for p in dims.PRESETS] + ["no-such-preset"], n)
@@ -162,12 +167,13 @@ def derive_sbs_lines(e: DataFrame) -> DataFrame:
     def only(kind: str, value: F.Column) -> F.Column:
         return F.when(t == kind, value.cast("string")).otherwise("")
 
+    made = F.date_format("ts", "yyyy/MM/dd,HH:mm:ss.SSS")
     two = F.lpad((seq % 100).cast("string"), 2, "0")
     fields = [
         F.when(seq % 50 == 0, "STA").otherwise("MSG"), F.lit("3,1,1"),
         F.when(seq % 50 == 2, "").otherwise(F.concat(F.lit(" "), F.lower(F.lpad(F.hex(user), 6, "a")))),
-        F.lit("1,2024/01/01,00:00:00.000,2024/01/01,00:00:00.000"),
-        only("signup", F.concat(_pick(_CODES, user), (100 + user % 900).cast("string"), F.lit("  "))),
+        F.concat(F.lit("1,"), made, F.lit(","), made),
+        only("signup", F.concat(_pick(_CODES, user), (100 + user % 9000).cast("string"), F.lit("  "))),
         F.when(seq % 50 == 3, "abc").otherwise(only("click", cents)),
         only("view", F.floor(cents / 10)),
         only("error", seq % 360),
@@ -186,11 +192,12 @@ def _minute_of_january(n: F.Column) -> F.Column:
 
 def derive_utterances(orders: DataFrame) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    num, num2 = (100 + o * 7 % 40).cast("string"), (o % 97 + 1).cast("string")
-    who, who2 = _pick(_AIRLINE_NAMES, c), _pick(_AIRLINE_NAMES, c + 3)
+    v = F.floor(c / 10)  # ten customers speak of one user's flight
+    num, num2 = (100 + v % 9000).cast("string"), (o % 97 + 1).cast("string")
+    who, who2 = _pick(_AIRLINE_NAMES, v), _pick(_AIRLINE_NAMES, c + 3)
     text = (
         F.when(o % 4 == 0, F.concat(who, F.lit(" "), num, F.lit(" cleared to land runway 34 left")))
-        .when(o % 4 == 1, F.concat(_pick(_CODES, c), F.lit(" "), num, F.lit(" turn left heading 270")))
+        .when(o % 4 == 1, F.concat(_pick(_CODES, v), F.lit(" "), num, F.lit(" turn left heading 270")))
         .when(o % 4 == 2, F.concat(F.lit("N"), num, F.lit("ab contact tower")))
         .otherwise(F.concat(F.upper(who), F.lit(" "), num, F.lit(" follow "), who2, F.lit(" "), num2)))
     ts = _minute_of_january(o)
@@ -214,6 +221,7 @@ def derive_weather(orders: DataFrame) -> DataFrame:
         temp, wind, F.lit(" visibility "), _pick(_VISIBILITY, o * 3 + c), F.lit(" "), alert, F.lit(" for "),
         _pick(_PLACES, o), F.lit(" "), _pick(_PERIODS, o), F.lit(" rain likely "), _pick(_PERIODS, c),
         F.lit(" fair skies "), _pick(_PLACES, c), F.lit(" seas 3 to 5 feet"))
+    text = F.when(o % 6 == 0, F.concat(F.lit("\t"), text, F.lit("  "))).otherwise(text)
     ts = _minute_of_january(o)
     return orders.select(
         o.alias("transcript_id"), (c % 10).cast("string").alias("stream_id"), ts.alias("ts"), preset_of(c).alias("preset_id"),
@@ -242,7 +250,7 @@ _PRESET_IDS = [p[0] for p in dims.PRESETS] + ["no-such-preset"]
 _ONLY = "CASE WHEN event_type = '{0}' THEN CAST({1} AS VARCHAR) ELSE '' END"
 
 CTES: dict[str, tuple[list[str], str]] = {
-    "presets": ([], "SELECT * FROM (VALUES " + _PRESET_ROWS + ") AS p(id, label, freq, mode, category, squelch, parser, stream_url, note, device_index)"),
+    "presets": ([], "SELECT * FROM (VALUES " + _PRESET_ROWS + ") AS p(id, label, freq, mode, category, squelch, parser, stream_url, device_index)"),
     "categories": ([], "SELECT * FROM (VALUES " + ", ".join(
         f"('{c}', {i}, '{label}')" for i, (c, label) in enumerate(dims.CATEGORIES)) + ") AS c(category, ord, category_label)"),
     "ev": ([], "SELECT event_id AS seq, ts, epoch_us(ts) AS us, user_id, event_type, value, props FROM events"),
@@ -252,8 +260,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "sbs_lines": (["ev"], f"""SELECT CASE WHEN seq % 50 = 1 THEN 'MSG,3,1,1,ABC,1,a,b' ELSE concat_ws(',',
         CASE WHEN seq % 50 = 0 THEN 'STA' ELSE 'MSG' END, '3,1,1',
         CASE WHEN seq % 50 = 2 THEN '' ELSE ' ' || lower(lpad(hex(user_id), 6, 'a')) END,
-        '1,2024/01/01,00:00:00.000,2024/01/01,00:00:00.000',
-        {_ONLY.format('signup', _sql_pick(_CODES, 'user_id') + " || CAST(100 + user_id % 900 AS VARCHAR) || '  '")},
+        '1,' || strftime(ts, '%Y/%m/%d,%H:%M:%S.%g') || ',' || strftime(ts, '%Y/%m/%d,%H:%M:%S.%g'),
+        {_ONLY.format('signup', _sql_pick(_CODES, 'user_id') + " || CAST(100 + user_id % 9000 AS VARCHAR) || '  '")},
         CASE WHEN seq % 50 = 3 THEN 'abc' ELSE {_ONLY.format('click', 'cents')} END,
         {_ONLY.format('view', 'cents // 10')}, {_ONLY.format('error', 'seq % 360')},
         {_ONLY.format('purchase', "'47.' || lpad(CAST(seq % 100 AS VARCHAR), 2, '0')")},
@@ -276,15 +284,16 @@ CTES: dict[str, tuple[list[str], str]] = {
     "utterances": ([], f"""SELECT o_orderkey AS transcript_id, o_custkey % 10 AS stream_id,
         to_timestamp(1704067200 + (o_orderkey % 43200) * 60) AT TIME ZONE 'UTC' AS ts, (1704067200 + (o_orderkey % 43200) * 60) * 1000000 AS us,
         CASE o_orderkey % 4
-        WHEN 0 THEN {_sql_pick(_AIRLINE_NAMES, 'o_custkey')} || ' ' || num || ' cleared to land runway 34 left'
-        WHEN 1 THEN {_sql_pick(_CODES, 'o_custkey')} || ' ' || num || ' turn left heading 270'
+        WHEN 0 THEN {_sql_pick(_AIRLINE_NAMES, '(o_custkey // 10)')} || ' ' || num || ' cleared to land runway 34 left'
+        WHEN 1 THEN {_sql_pick(_CODES, '(o_custkey // 10)')} || ' ' || num || ' turn left heading 270'
         WHEN 2 THEN 'N' || num || 'ab contact tower'
-        ELSE upper({_sql_pick(_AIRLINE_NAMES, 'o_custkey')}) || ' ' || num || ' follow ' || {_sql_pick(_AIRLINE_NAMES, '(o_custkey + 3)')} || ' ' || CAST(o_orderkey % 97 + 1 AS VARCHAR)
+        ELSE upper({_sql_pick(_AIRLINE_NAMES, '(o_custkey // 10)')}) || ' ' || num || ' follow ' || {_sql_pick(_AIRLINE_NAMES, '(o_custkey + 3)')} || ' ' || CAST(o_orderkey % 97 + 1 AS VARCHAR)
         END AS text
-        FROM (SELECT *, CAST(100 + o_orderkey * 7 % 40 AS VARCHAR) AS num FROM orders)"""),
+        FROM (SELECT *, CAST(100 + (o_custkey // 10) % 9000 AS VARCHAR) AS num FROM orders)"""),
     "weather": ([], f"""SELECT o_orderkey AS transcript_id, CAST(o_custkey % 10 AS VARCHAR) AS stream_id,
         to_timestamp(1704067200 + (o_orderkey % 43200) * 60) AT TIME ZONE 'UTC' AS ts, {_sql_pick(_PRESET_IDS, 'o_custkey')} AS preset_id,
         CASE WHEN o_orderkey % 2 = 0 THEN 'SDR' ELSE 'WEBSTREAM' END AS source,
+        CASE WHEN o_orderkey % 6 = 0 THEN chr(9) ELSE '' END ||
         CASE o_orderkey % 5 WHEN 0 THEN 'conditions unknown ' WHEN 1 THEN 'Currently ' || CAST(o_custkey % 100 AS VARCHAR) || ' '
         ELSE 'Temperature is ' || CAST(o_custkey % 100 AS VARCHAR) || ' degrees ' END ||
         CASE o_orderkey % 3 WHEN 0 THEN 'winds ' || way || ' at ' || spd || ' ' || unit
@@ -294,21 +303,22 @@ CTES: dict[str, tuple[list[str], str]] = {
         {_sql_pick([p for p, _ in dims.ALERT_RULES] + ['calm'], 'o_orderkey')} ||
         CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE ' ' END || {_sql_pick(_KINDS, 'o_custkey')} || ' for ' ||
         {_sql_pick(_PLACES, 'o_orderkey')} || ' ' || {_sql_pick(_PERIODS, 'o_orderkey')} || ' rain likely ' ||
-        {_sql_pick(_PERIODS, 'o_custkey')} || ' fair skies ' || {_sql_pick(_PLACES, 'o_custkey')} || ' seas 3 to 5 feet' AS text
+        {_sql_pick(_PERIODS, 'o_custkey')} || ' fair skies ' || {_sql_pick(_PLACES, 'o_custkey')} || ' seas 3 to 5 feet' ||
+        CASE WHEN o_orderkey % 6 = 0 THEN '  ' ELSE '' END AS text
         FROM (SELECT *, {_sql_pick(_DIRECTIONS, 'o_orderkey')} AS way, CAST(o_orderkey % 40 AS VARCHAR) AS spd,
         {_sql_pick(['miles per hour', 'mph', 'knots', 'knts'], 'o_custkey')} AS unit FROM orders)"""),
     "low": (["weather"], "SELECT *, lower(text) AS t FROM weather"),
     "samples": (["ev"], """SELECT event_type AS station, CASE WHEN user_id % 2 = 0 THEN 'NOAA 15' ELSE 'NOAA 19' END AS satellite,
-        ts, us, floor(value * 10) / 10.0::DOUBLE - 30.0::DOUBLE AS elevation FROM ev"""),
+        ts, us, seq, floor(value * 10) / 10.0::DOUBLE - 30.0::DOUBLE AS elevation FROM ev"""),
     "passes": (["samples"], """SELECT station, satellite, min(ts) AS aos, max(ts) AS los, min(us) AS aos_us, max(us) AS los_us,
         round(max(elevation), 1) AS max_elevation, CAST(round((max(us) - min(us)) / 1000000) AS BIGINT) AS duration_s
-        FROM (SELECT *, sum(CASE WHEN up AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY station, satellite ORDER BY us) AS island
+        FROM (SELECT *, sum(CASE WHEN up AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY station, satellite ORDER BY us, seq) AS island
               FROM (SELECT *, elevation > 0 AS up,
-                    coalesce(lag(elevation > 0) OVER (PARTITION BY station, satellite ORDER BY us), false) AS was FROM samples))
+                    coalesce(lag(elevation > 0) OVER (PARTITION BY station, satellite ORDER BY us, seq), false) AS was FROM samples))
         WHERE up GROUP BY station, satellite, island"""),
-    "ticks": (["ev"], "SELECT ts AS tick, us AS tick_us, seq AS tick_id FROM ev WHERE event_type = 'click'"),
+    "ticks": (["ev"], "SELECT DISTINCT event_type AS station, us // 30000000 AS tick_id, us // 30000000 * 30000000 AS tick_us, make_timestamp(us // 30000000 * 30000000) AS tick FROM ev"),
     "image_files": (["ev"], """SELECT event_type AS station, seq AS image_id, '/data/apt/' || CASE WHEN user_id % 2 = 0 THEN 'NOAA-15' ELSE 'NOAA-19' END
-        || '_' || strftime(ts, '%Y-%m-%dT%H%MZ') || '.png' AS path FROM ev WHERE event_type = 'purchase'"""),
+        || '_' || strftime(ts, '%Y-%m-%dT%H%MZ') || '.png' AS path FROM ev"""),
     "images": (["image_files"], """SELECT station, image_id, path, filename, replace(split_part(stem, '_', 1), '-', ' ') AS satellite,
         CASE WHEN strpos(stem, '_') > 0 THEN substr(stem, strpos(stem, '_') + 1) ELSE '' END AS pass_time,
         '/static/images/apt/' || filename AS url,

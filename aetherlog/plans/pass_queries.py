@@ -111,23 +111,23 @@ def _(t):
     return P.next_passes(P.passes_within(t.passes(), _now(), 24), 5, ("station",))
 
 
-_UPCOMING = ", upcoming AS (SELECT p.*, tick, tick_us, tick_id FROM ticks JOIN passes p ON aos_us - tick_us > 0 AND aos_us - tick_us <= 600000000)"
+_UPCOMING = ", upcoming AS (SELECT p.*, tick, tick_us, tick_id FROM ticks k JOIN passes p ON k.station = p.station AND aos_us - tick_us > 0 AND aos_us - tick_us <= 600000000)"
 _UNTIL = "round((aos_us - tick_us) / 1000000.0::DOUBLE / 60.0::DOUBLE, 1)"
 
 
 @query("jn_9_upcoming", "passes", "ticks", sql=_UPCOMING + f" SELECT station, satellite, aos, tick_id, {_UNTIL} AS minutes_until FROM upcoming")
 def _(t):
-    return P.upcoming(t.passes(), t.ticks()).select(*KEY, "aos", "tick_id", "minutes_until")
+    return P.upcoming(t.passes(), t.ticks(), station=["station"]).select(*KEY, "aos", "tick_id", "minutes_until")
 
 
 @query("sc_16_minutes_until", "passes", "ticks", sql=_UPCOMING + f" SELECT station, satellite, aos, max({_UNTIL}) AS first_notice FROM upcoming GROUP BY 1, 2, 3")
 def _(t):
-    return P.notices(t.passes(), t.ticks(), [*KEY, "aos"]).select(*KEY, "aos", F.col("minutes_until").alias("first_notice"))
+    return P.notices(t.passes(), t.ticks(), station=["station"]).select(*KEY, "aos", F.col("minutes_until").alias("first_notice"))
 
 
-@query("jn_10_starting", "passes", "ticks", sql="SELECT station, satellite, aos, tick_id FROM ticks JOIN passes ON abs(aos_us - tick_us) <= 10000000")
+@query("jn_10_starting", "passes", "ticks", sql="SELECT p.station, satellite, aos, tick_id FROM ticks k JOIN passes p ON k.station = p.station AND abs(aos_us - tick_us) <= 10000000")
 def _(t):
-    return P.starting(t.passes(), t.ticks()).select(*KEY, "aos", "tick_id")
+    return P.starting(t.passes(), t.ticks(), station=["station"]).select(*KEY, "aos", "tick_id")
 
 
 def _recordings(busy_s: int) -> str:
@@ -218,9 +218,9 @@ def _(t):
     return P.image_history(P.parse_image_name(t.images()), 5).select("filename", "satellite", "pass_time", "url")
 
 
-@query("jn_13_images_with_pass", "images", "passes", sql="""SELECT i.image_id, i.filename, coalesce(arg_max(p.max_elevation, p.aos_us), 0.0) AS max_elevation, '47.6740N, 122.1215W' AS location
+@query("jn_13_images_with_pass", "images", "passes", sql="""SELECT i.image_id, i.filename, coalesce(arg_max(p.max_elevation, p.aos_us), 0.0) AS max_elevation, '47.67N, 122.12W' AS location
     FROM images i LEFT JOIN passes p ON p.station = i.station AND p.satellite = i.satellite
     AND epoch_us(i.pass_ts) BETWEEN p.aos_us - 120000000 AND p.los_us GROUP BY 1, 2""")
 def _(t):
     images = P.parse_image_name(t.images()).select("station", "satellite", "image_id", "filename", "pass_ts")
-    return P.images_with_pass(images, t.passes(), KEY).select("image_id", "filename", "max_elevation", "location")
+    return P.images_with_pass(images, t.passes(), KEY, "47.67N, 122.12W").select("image_id", "filename", "max_elevation", "location")

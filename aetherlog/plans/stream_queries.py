@@ -13,16 +13,27 @@ from aetherlog.plans import signal_queries as SQ
 from aetherlog.plans import text_queries as TQ
 from aetherlog.plans.blocked import numbered, time_block
 from aetherlog.plans.registry import query
+from aetherlog.plans.store import stored
 from aetherlog.session import shared_folder
 from aetherlog.sources import readers, sinks
 from aetherlog.streaming import aircraft, feeds, segments
 
 
-def _stream_of(df, purpose: str, files: int = 4):
-    """Write a derived table as several files and read them one per micro-batch."""
+def _stream_of(df, purpose: str, files: int = 4, order: str | None = None):
+    """Write a derived table as several files, in the order of a column if there is one, and read one per micro-batch."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.repartition(files).write.parquet(path)
+    if order is None:
+        df.repartition(files).write.parquet(path)
+    else:  # one file after the other, as a station would close them
+        rows = stored(df.withColumn("_slice", F.unix_micros(order)), purpose + "-rows")
+        edges = rows.approxQuantile("_slice", [i / files for i in range(1, files)], 0.01)
+        last = None
+        for edge in [*edges, None]:
+            part = rows if last is None else rows.filter(F.col("_slice") > last)
+            part = part if edge is None else part.filter(F.col("_slice") <= edge)
+            part.drop("_slice").coalesce(1).write.mode("append").parquet(path)
+            last = edge
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -82,11 +93,14 @@ def _(t):
     return newest.filter(~F.col("expired")).select("hex", *AQ._FIELDS, "seen")
 
 
-@query("str_4_pass_notices", "passes", "ticks", sql="""SELECT DISTINCT station, satellite, aos FROM ticks JOIN passes ON aos_us - tick_us > 0 AND aos_us - tick_us <= 600000000""")
+@query("str_4_pass_notices", "passes", "ticks", sql="""SELECT k.station, satellite, aos, max(round((aos_us - tick_us) / 1000000.0::DOUBLE / 60.0::DOUBLE, 1)) AS minutes_until FROM ticks k
+    JOIN passes p ON k.station = p.station AND aos_us - tick_us > 0 AND aos_us - tick_us <= 600000000 GROUP BY 1, 2, 3""")
 def _(t):
-    ticks = _events(t).filter(F.col("event_type") == "click").select(F.col("ts").alias("tick"))
+    """Ticks of several batches; each pass keeps the notice of its first tick."""
+    ticks = _stream_of(t.ticks().select("station", "tick"), "ticks", order="tick")
     key = ["station", "satellite", "aos"]
-    return feeds.drained(feeds.stream_pass_notices(t.passes(), ticks, key), "notices").select(*key)
+    changes = feeds.drained(feeds.stream_pass_notices(t.passes(), ticks, key, ["station"]), "notices", "update")
+    return M.latest(changes, key, ["batch_id"]).select(*key, "minutes_until")
 
 
 @query("str_5_edge_feed", "status", sql="SELECT station, count(*) FILTER (running) AS up, count(*) AS n FROM status GROUP BY 1")
@@ -107,16 +121,18 @@ def _(t):
     return spark.read.parquet(path).select("transcript_id", "hex", "matched_callsign")
 
 
-@query("str_7_weather_feed", "low", sql=TQ._ALERTS + f""" SELECT event, count(*) AS n FROM (SELECT 'weather_update' AS event FROM weather
-    UNION ALL SELECT 'priority_alert' FROM weather WHERE {TQ._PRIORITY} UNION ALL SELECT 'alert_log' FROM alerts) GROUP BY 1""")
+@query("str_7_weather_feed", "weather", "presets", sql=TQ._HEARD_FIELDS + TQ._HEARD_ALERTS + f""" SELECT event, key, ts, alert_names, said FROM ({TQ._EVENT})
+    UNION ALL SELECT 'alert_log', w.stream_id, w.ts, a.name || '@' || a.area, substr(w.text, 1, 200) FROM alerts a JOIN heard w USING (transcript_id)""")
 def _(t):
+    """Transcripts of several batches through the handler; every payload is opened and compared."""
     spark, path = t.spark, shared_folder(t.spark, "weather")
-    orders = t.read("orders")
-    raw = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.folder)
-    feeds.start(derived.derive_weather(raw), on_batch=feeds.weather_handler(t.presets(), path)).awaitTermination()
-    events = spark.read.parquet(f"{path}/events").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
-    log = spark.read.parquet(f"{path}/alert_log").agg(F.lit("alert_log").alias("event"), F.count(F.lit(1)).alias("n"))
-    return events.union(log.select("event", "n"))
+    heard = _stream_of(t.weather(), "transcripts", 3, "ts")
+    feeds.start(heard, on_batch=feeds.weather_handler(t.presets(), path)).awaitTermination()
+    events = TQ._opened(spark.read.parquet(f"{path}/events")).select("event", "key", "ts", "alert_names", "said")
+    log = spark.read.parquet(f"{path}/alert_log").select(
+        F.lit("alert_log").alias("event"), F.col("stream_id").alias("key"), "ts", F.concat("name", F.lit("@"), "area").alias("alert_names"),
+        F.col("snippet").alias("said"))
+    return events.union(log)
 
 
 @query("str_8_bounded_batches", "utterances", sql="SELECT stream_id, count(*) AS n, count(DISTINCT transcript_id) AS ids FROM utterances GROUP BY 1")

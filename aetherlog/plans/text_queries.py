@@ -9,8 +9,10 @@ from aetherlog.functions import display as D
 from aetherlog.functions import text as X
 from aetherlog.operators import control as C
 from aetherlog.operators import metrics as M
+from aetherlog.operators import passes as P
 from aetherlog.operators import transcripts as T
 from aetherlog.plans.registry import query
+from aetherlog.session import shared_folder
 from aetherlog.sources import readers, sinks
 
 # Python-style strip in RE2
@@ -208,39 +210,117 @@ def _(t):
     return T.weather_card(T.weather_reports(t.weather())).select("transcript_id", "temp_text", "wind_text", "vis_text")
 
 
-@query("snk_2_alert_log", "low", "presets", sql=_ALERTS + """ SELECT w.stream_id, w.ts, coalesce(p.freq, '') AS freq, a.type, a.name, a.area, w.source,
-    substr(w.text, 1, 200) AS snippet FROM alerts a JOIN weather w USING (transcript_id) LEFT JOIN presets p ON p.id = w.preset_id""")
+# Only presets with the weather parser give reports; their texts are stripped first.
+_HEARD = f""", heard AS (SELECT w.* REPLACE ({_strip('w.text')} AS text), p.freq, lower({_strip('w.text')}) AS t0 FROM weather w
+    JOIN presets p ON p.id = w.preset_id WHERE p.parser = 'noaa')"""
+# the same fields and alerts as above, over the heard transcripts alone
+_HEARD_LOW = _HEARD + ", hlow AS (SELECT * EXCLUDE (t0), t0 AS t FROM heard)"
+_HEARD_FIELDS = _HEARD_LOW + _FIELDS.replace("FROM low)", "FROM hlow)")
+_HEARD_ALERTS = _ALERTS.replace("FROM low)", "FROM hlow)")
+
+
+@query("snk_2_alert_log", "weather", "presets", sql=_HEARD_LOW + _HEARD_ALERTS + """ SELECT w.stream_id, w.ts, w.freq, a.type, a.name, a.area, w.source,
+    substr(w.text, 1, 200) AS snippet FROM alerts a JOIN heard w USING (transcript_id)""")
+def _(t):
+    return T.alert_log(T.heard_reports(t.weather(), t.presets()))
+
+
+_EVENT = f"""SELECT 'weather_update' AS event, stream_id AS key, ts, temperature, wind_speed, wind_direction, visibility, {_CONF} AS confidence,
+    coalesce(a.names, '') AS alert_names, text AS said, NULL AS freq, NULL AS source FROM fields f
+    LEFT JOIN (SELECT transcript_id, string_agg(name || '@' || area, ';' ORDER BY rule) AS names FROM alerts GROUP BY 1) a USING (transcript_id)
+    UNION ALL SELECT 'priority_alert', stream_id, ts, NULL, NULL, NULL, NULL, NULL, coalesce(a.names, ''), substr(text, 1, 200), freq, source FROM fields f
+    LEFT JOIN (SELECT transcript_id, string_agg(name || '@' || area, ';' ORDER BY rule) AS names FROM alerts GROUP BY 1) a USING (transcript_id)
+    WHERE {_PRIORITY}"""
+_PAYLOAD = ("temperature struct<value:int>, wind struct<speed:int,direction:string>, visibility struct<value:double>, confidence string, "
+            "alerts array<struct<name:string,area:string>>, raw_transcript string, raw_snippet string, freq string, source string, "
+            "parsed_at timestamp, timestamp timestamp")
+
+
+def _opened(events):
+    """The payloads' fields, so that they are compared and not only counted."""
+    p = events.withColumn("p", F.from_json("payload", _PAYLOAD)).withColumn("at", F.coalesce("p.parsed_at", "p.timestamp"))
+    names = F.transform("p.alerts", lambda a: F.concat(a["name"], F.lit("@"), a["area"]))
+    return p.select(
+        "event", "key", F.col("at").alias("ts"), F.col("p.temperature.value").alias("temperature"), F.col("p.wind.speed").alias("wind_speed"),
+        F.col("p.wind.direction").alias("wind_direction"), F.col("p.visibility.value").alias("visibility"), "p.confidence",
+        F.array_join(names, ";").alias("alert_names"), F.coalesce("p.raw_transcript", "p.raw_snippet").alias("said"), "p.freq", "p.source")
+
+
+@query("snk_1_weather_events", "weather", "presets", sql=_HEARD_FIELDS + _HEARD_ALERTS + " " + _EVENT)
+def _(t):
+    return _opened(sinks.weather_events(T.heard_reports(t.weather(), t.presets())))
+
+
+@query("snk_1_transcript_events", "weather", "presets", sql=f"""SELECT stream_id AS key, ts, '{{"timestamp":"' || strftime(ts, '%H:%M:%S') || '","freq":"' || coalesce(p.freq, '') || '","label":"' || coalesce(p.label, '')
+    || '","text":"' || {_strip('w.text')} || '","rms":' || CAST(transcript_id % 100 AS VARCHAR) || '.5}}' AS payload FROM weather w LEFT JOIN presets p ON p.id = w.preset_id""")
 def _(t):
-    return T.alert_log(T.weather_reports(t.weather()), t.presets())
+    heard = t.weather().withColumn("rms", F.col("transcript_id") % 100 + 0.5)
+    return sinks.transcript_events(heard, t.presets()).select("key", "ts", "payload")
 
 
-@query("snk_1_weather_events", "weather", sql=f"""SELECT 'weather_update' AS event, stream_id AS key, count(*) AS n FROM weather GROUP BY 2
-    UNION ALL SELECT 'priority_alert', stream_id, count(*) FROM weather WHERE {_PRIORITY} GROUP BY 2""")
+@query("snk_1_signal_events", "ev", sql="""SELECT event_type AS key, ts, '{"rms":' || CAST(seq % 1000 AS VARCHAR) || '.5,"freq":"' || CASE WHEN seq % 2 = 0 THEN '162.550M' ELSE '' END || '"}' AS payload FROM ev""")
 def _(t):
-    return sinks.weather_events(T.weather_reports(t.weather())).groupBy("event", "key").agg(F.count(F.lit(1)).alias("n"))
+    levels = t.events().select(F.col("event_type").alias("stream_id"), "ts", (F.col("seq") % 1000 + 0.5).alias("rms"),
+                               F.when(F.col("seq") % 2 == 0, "162.550M").alias("freq"))
+    return sinks.signal_level_events(levels).select("key", "ts", "payload")
+
+
+@query("snk_1_pass_events", "passes", "ticks", sql="""SELECT satellite AS key, to_timestamp(tick_us / 1000000) AT TIME ZONE 'UTC' AS ts, CASE satellite WHEN 'NOAA 15' THEN '137.6200M' WHEN 'NOAA 19' THEN '137.9125M' ELSE '' END AS frequency,
+    aos, max_elevation, duration_s AS duration, round((aos_us - tick_us) / 1000000.0::DOUBLE / 60.0::DOUBLE, 1) AS minutes_until FROM (SELECT p.*, min(tick_us) AS tick_us FROM passes p
+    JOIN ticks k ON k.station = p.station AND aos_us - tick_us > 0 AND aos_us - tick_us <= 600000000 GROUP BY ALL)""")
+def _(t):
+    due = P.with_frequency(P.notices(t.passes(), t.ticks(), station=["station"]))
+    fields = "satellite string, frequency string, aos timestamp, max_elevation double, duration bigint, minutes_until double"
+    return sinks.pass_events(due).select("key", "ts", F.from_json("payload", fields).alias("p")).select(
+        "key", "ts", "p.frequency", "p.aos", "p.max_elevation", "p.duration", "p.minutes_until")
+
+
+@query("snk_1_image_events", "images", "passes", sql="""SELECT satellite AS key, pass_ts AS ts, url, pass_time, max_elevation, 'here' AS location FROM (
+    SELECT i.image_id, i.satellite, i.pass_ts, i.url, i.pass_time, coalesce(arg_max(p.max_elevation, p.aos_us), 0.0) AS max_elevation
+    FROM images i LEFT JOIN passes p ON p.station = i.station AND p.satellite = i.satellite
+    AND epoch_us(i.pass_ts) BETWEEN p.aos_us - 120000000 AND p.los_us GROUP BY ALL)""")
+def _(t):
+    images = P.images_with_pass(P.parse_image_name(t.images()), t.passes(), ["station", "satellite"], "here")
+    fields = "url string, pass_time string, max_elevation double, location string"
+    return sinks.image_events(images).select("key", "ts", F.from_json("payload", fields).alias("p")).select("key", "ts", "p.*")
+
+
+@query("snk_1_status_events", "status", "presets", sql="""SELECT CAST(station AS VARCHAR) AS key, ts, seq, running, coalesce(p.freq, '') AS freq, coalesce(p.label, '') AS label,
+    greatest(0, least(100, s.squelch)) AS squelch, sdr_connected, adsb_enabled FROM status s LEFT JOIN presets p ON p.id = s.preset_id""")
+def _(t):
+    status = C.effective_tuning(t.status()).withColumn("squelch", F.col("effective_squelch")).withColumn("gain", F.col("seq").cast("string"))
+    fields = "running boolean, freq string, label string, squelch int, gain string, sdr_connected boolean, adsb_enabled boolean"
+    opened = sinks.status_events(status, t.presets()).select("key", "ts", F.from_json("payload", fields).alias("p"))
+    return opened.select("key", "ts", F.col("p.gain").cast("bigint").alias("seq"), "p.running", "p.freq", "p.label", "p.squelch",
+                         "p.sdr_connected", "p.adsb_enabled")
+
+
+_BANNERS = _BANNER.replace("FROM weather w", "FROM heard w")
 
 
-@query("str_11_active_banner", "low", sql=_BANNER + """ SELECT stream_id, transcript_id, CASE WHEN transcript_id IN (SELECT transcript_id FROM alerts) THEN banner END AS banner
-    FROM banner QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY ts DESC, transcript_id DESC) = 1""")
+@query("str_11_active_banner", "weather", "presets", sql=_HEARD_LOW + _HEARD_ALERTS + _BANNERS.replace(_ALERTS, "") + f""" SELECT b.stream_id, transcript_id,
+    CASE WHEN {_PRIORITY} THEN banner END AS banner FROM banner b JOIN heard USING (transcript_id)
+    QUALIFY row_number() OVER (PARTITION BY b.stream_id ORDER BY b.ts DESC, transcript_id DESC) = 1""")
 def _(t):
-    """The banner of the newest report; it goes away with a report without alerts."""
-    newest = M.latest(t.weather(), ["stream_id"], ["ts", "transcript_id"])
-    r = T.weather_reports(newest)
-    return r.select("stream_id", "transcript_id", F.when(F.size("alerts") > 0, T.alert_banner()).alias("banner"))
+    """The banner of the newest report; it goes away with a report that is no priority alert."""
+    newest = M.latest(T.heard_reports(t.weather(), t.presets()), ["stream_id"], ["ts", "transcript_id"])
+    return newest.select("stream_id", "transcript_id", T.active_banner().alias("banner"))
 
 
-@query("agg_10_latest_weather", "low", sql=_FIELDS + """ SELECT stream_id, transcript_id, temperature, wind_speed, visibility FROM fields
+@query("agg_10_latest_weather", "weather", "presets", sql=_HEARD_FIELDS + """ SELECT stream_id, transcript_id, temperature, wind_speed, visibility FROM fields
     QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY ts DESC, transcript_id DESC) = 1""")
 def _(t):
-    r = T.weather_reports(M.latest(t.weather(), ["stream_id"], ["ts", "transcript_id"]))
+    r = M.latest(T.heard_reports(t.weather(), t.presets()), ["stream_id"], ["ts", "transcript_id"])
     return r.select("stream_id", "transcript_id", F.col("temperature.value").alias("temperature"),
                     F.col("wind.speed").alias("wind_speed"), F.col("visibility.value").alias("visibility"))
 
 
-@query("top_5_recent_transcripts", "weather", sql="""SELECT stream_id, transcript_id, ts, rn FROM (SELECT *, CAST(row_number() OVER
-    (PARTITION BY stream_id ORDER BY ts DESC, transcript_id DESC) AS INTEGER) AS rn FROM weather) WHERE rn <= 3""")
+@query("top_5_recent_transcripts", "weather", "presets", sql=_HEARD + """ SELECT stream_id, transcript_id, ts, rn, text AS said FROM (SELECT *, CAST(row_number() OVER
+    (PARTITION BY stream_id ORDER BY ts DESC, transcript_id DESC) AS INTEGER) AS rn FROM heard WHERE text <> '') WHERE rn <= 3""")
 def _(t):
-    return T.recent_transcripts(t.weather(), 3, order=("ts", "transcript_id")).select("stream_id", "transcript_id", "ts", "rn")
+    reports = T.heard_reports(t.weather(), t.presets())
+    return T.recent_transcripts(reports, 3, order=("ts", "transcript_id")).select(
+        "stream_id", "transcript_id", "ts", "rn", F.col("raw_transcript").alias("said"))
 
 
 @query("top_6_first_pattern", "low", sql="SELECT transcript_id, CASE " + " ".join(
@@ -279,9 +359,17 @@ def _(t):
         radio=t.weather().select("transcript_id", "preset_id"), web=t.utterances().select("transcript_id"))
 
 
-@query("src_7_transcripts", "weather", sql="SELECT stream_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM weather GROUP BY 1")
+@query("src_7_transcripts", "weather", "presets", sql="""SELECT stream_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(p.freq) AS tuned,
+    CAST(sum(length(text)) AS BIGINT) AS chars FROM weather w LEFT JOIN presets p ON p.id = w.preset_id GROUP BY 1""")
 def _(t):
-    return t.weather().groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Transcripts written to the shared folder and read back by their reader."""
+    heard = C.with_preset(t.weather(), t.presets()).select(
+        "stream_id", "ts", "preset_id", "freq", "label", "text", F.lit(100.0).alias("rms"))
+    path = shared_folder(t.spark, "transcripts")
+    heard.write.parquet(path)
+    return readers.transcripts(t.spark, path).groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("freq").alias("tuned"),
+        F.sum(F.length("text")).alias("chars"))
 
 
 # --- scalars -------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ UPDATES = (
 )
 PRESETS = (
     "id STRING, label STRING, freq STRING, mode STRING, category STRING, squelch INT, parser STRING, "
-    "stream_url STRING, note STRING, device_index INT"
+    "stream_url STRING, device_index INT"
 )
 CATEGORIES = "category STRING, ord INT, category_label STRING"
 PASSES = (

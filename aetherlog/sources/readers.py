@@ -49,16 +49,26 @@ def frame_lines(raw: DataFrame, value: str = "value") -> DataFrame:
     return lines.withColumn("value", strip_ws("value")).filter(F.length("value") > 0)
 
 
+def telemetry_time(value: str | Column, received: str | Column) -> Column:
+    """When a telemetry line was made: its own date and time fields, else when it was received."""
+    f = F.split(value, ",")
+    own = F.try_to_timestamp(F.concat_ws(" ", F.trim(F.get(f, F.lit(6))), F.trim(F.get(f, F.lit(7)))), F.lit("yyyy/MM/dd HH:mm:ss[.SSS]"))
+    return F.coalesce(own, F.col(received) if isinstance(received, str) else received)
+
+
 def read_sbs(spark: SparkSession, path: str, streaming: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Telemetry lines from text files (or a stream of them)."""
+    """Telemetry lines ``(value, ts, seq, file)`` from text files (or a stream of them), ready for ``parse_sbs``.
+
+    ``seq`` is the line's number in its file. A file is one row for Spark, so that lines can be numbered without
+    a shuffle: stations should rotate files, as with recordings.
+    """
     reader = spark.readStream if streaming else spark.read
     if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.format("text").schema("value STRING").load(path)
-    return lines.select(
-        strip_ws("value").alias("value"), F.col("_metadata.file_modification_time").alias("received_at"),
-        F.monotonically_increasing_id().alias("seq"),
-    ).filter(F.length("value") > 0)
+    files = reader.format("text").option("wholetext", True).schema("value STRING").load(path).select(
+        "value", F.col("_metadata.file_modification_time").alias("received_at"), F.col("_metadata.file_path").alias("file"))
+    lines = frame_lines(files)
+    return lines.select("value", telemetry_time("value", "received_at").alias("ts"), F.col("line_no").cast("bigint").alias("seq"), "file")
 
 
 def newest_per(df: DataFrame, key: list[str], age: str | Column) -> DataFrame:
@@ -72,12 +82,15 @@ def newest_per(df: DataFrame, key: list[str], age: str | Column) -> DataFrame:
 def read_tle(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Lines of the newest element file, so a cached copy serves when no newer one came.
 
-    A catalogue file is a few megabytes at most, hence one row per file.
+    The newest one is found by the listing alone; only that file is read. A catalogue file is a few
+    megabytes at most, hence one row.
     """
-    files = spark.read.text(paths, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
-    newest = files.groupBy().agg(F.max_by(F.struct("file", "value"), F.struct("mtime", "file")).alias("f"))
-    return frame_lines(newest.filter(F.col("f").isNotNull()).select("f.file", "f.value"))
+    listed = spark.read.format("binaryFile").load(paths).select("path", "modificationTime")
+    newest = listed.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()["path"]
+    if newest is None:
+        return spark.createDataFrame([], "file STRING, line_no INT, value STRING")
+    text = spark.read.text(newest, wholetext=True).select(F.lit(newest).alias("file"), "value")
+    return frame_lines(text)
 
 
 # --- dimensions ------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from aetherlog import dims
 from aetherlog.operators.aviation import aircraft_as_of, extract_callsigns
 from aetherlog.operators.passes import upcoming
-from aetherlog.operators.transcripts import alert_log, drop_hallucinations, weather_reports
+from aetherlog.operators.transcripts import alert_log, heard_reports
 from aetherlog.session import STATE_STORE, shared_folder
 from aetherlog.sources.sinks import append_alert_log, weather_events, write_events
 
@@ -60,20 +60,26 @@ def drained(df: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
 
 
 def stream_pass_notices(
-    passes: DataFrame, ticks: DataFrame, key: list[str] = ["satellite", "aos"], notice_s: int = dims.NOTICE_S,
+    passes: DataFrame, ticks: DataFrame, key: list[str] = ["satellite", "aos"], station: list[str] = [],
+    notice_s: int = dims.NOTICE_S, late_s: int = dims.NOTICE_S,
 ) -> DataFrame:
-    """One notice per pass. All ticks of a notice lie within the notice time, which bounds the state."""
-    clock = ticks.withWatermark("tick", f"{notice_s} seconds")
-    return upcoming(passes, clock, notice_s).dropDuplicatesWithinWatermark(key)
+    """One notice per pass, that of its first tick, in update mode.
+
+    The notice goes out with the first tick that arrives; should an earlier one arrive later, a corrected
+    row follows. A pass is forgotten ``late_s`` after its begin; ticks later than that are dropped.
+    """
+    due = upcoming(passes, ticks, notice_s, station).withWatermark("aos", f"{late_s} seconds")
+    return due.groupBy(*key).agg(F.min_by(F.struct("tick", "minutes_until"), "tick").alias("n")).select(*key, "n.tick", "n.minutes_until")
 
 
 def weather_handler(presets: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
     """Handler of transcripts: weather and alert events, and the alert log."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        reports = weather_reports(drop_hallucinations(batch))
+        reports = heard_reports(batch, presets).persist()  # both sinks read the one extraction
         write_events(weather_events(reports), f"{path}/events", batch_id)
-        append_alert_log(alert_log(reports, presets), f"{path}/alert_log", batch_id)
+        append_alert_log(alert_log(reports), f"{path}/alert_log", batch_id)
+        reports.unpersist()
 
     return on_batch
 

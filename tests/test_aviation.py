@@ -83,9 +83,9 @@ def test_track_and_state_equal_a_dictionary(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("Alaska 412 cleared to land", ["ASA412"]), ("UAL 732 turn left heading 270", ["UAL732"]), ("N12345 squawk 1200", ["N12345"]),
-    ("N1234A contact tower", ["N1234A"]), ("wind calm altimeter 30.12", []), ("Alaska 412 follow Delta 89", ["ASA412", "DAL89"]),
-    ("Southwest 237 cleared", ["SWA237"]), ("ALASKA 100 runway 34 left", ["ASA100"]), ("UAL 732 UAL 732", ["UAL732"]), ("", []),
+    ("good morning Alaska 77 taxi via bravo", ["ASA77"]), ("SKW 5511 contact departure", ["SKW5511"]), ("N77XW report the field", ["N77XW"]),
+    ("N8 is number two", ["N8"]), ("information kilo altimeter 29.92", []), ("Horizon 2040 behind the united 9", ["QXE2040", "UAL9"]),
+    ("jetblue 615 hold short", ["JBU615"]), ("HAWAIIAN 21 go around", ["HAL21"]), ("FFT 90 FFT  90", ["FFT90"]), ("", []),
     (None, []), ("a last car 7 and you knighted 8 n9ab ILS 34", ["ASA7", "UAL8", "ILS34", "N9AB"]), ("Alaska 41234", []),
 ])
 def test_callsigns(spark, text, want):

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from aetherlog.operators import aviation as A
 from aetherlog.operators import control as C
 from aetherlog.operators import metrics as M
 from aetherlog.operators import transcripts as T
@@ -150,8 +151,72 @@ def test_events_and_sources(spark, tmp_path):
     assert [r.value for r in readers.read_sbs(spark, str(tmp_path / "l")).orderBy("seq").collect()] == ["MSG,1", "MSG,�2"]
 
 
+def test_telemetry_files_to_aircraft(spark, tmp_path):
+    """Text files, lines an hour apart, up to the state at the moment of a transcript."""
+    line = "MSG,3,1,1,a1b2c3,1,2026/03/01,{0},2026/03/01,{0},{1},{2},,,,,,\n"
+    (tmp_path / "one.txt").write_text(line.format("10:00:00.000", "QXE21 ", "") + line.format("10:00:05.250", "", "4100"))
+    (tmp_path / "two.txt").write_text(line.format("11:00:00.000", "", "900") + "MSG,3,1,1,FFFFFF,1,x,y,,,NOTIME,\n")
+    lines = readers.read_sbs(spark, str(tmp_path))
+    assert lines.columns == ["value", "ts", "seq", "file"]
+    track = A.aircraft_track(A.parse_sbs(lines))
+    known = track.filter("hex = 'A1B2C3'").orderBy("ts").collect()
+    assert [(r.ts.isoformat(), r.flight, r.altitude, r.sighting) for r in known] == [
+        ("2026-03-01T10:00:00", "QXE21", None, 1), ("2026-03-01T10:00:05.250000", "QXE21", 4100, 1), ("2026-03-01T11:00:00", None, 900, 2)]
+    t = spark.createDataFrame([(1, "2026-03-01 10:00:04", "qxe 21 hello"), (2, "2026-03-01 10:09:00", "QXE 21"), (3, "2026-03-01 11:00:01", "QXE 21")],
+                              "transcript_id int, t string, text string").withColumn("ts", F.to_timestamp("t"))
+    t = t.withColumn("text", F.upper("text"))
+    got = {r.transcript_id: r.altitude for r in A.aircraft_as_of(A.extract_callsigns(t), track).collect()}
+    assert got == {1: None, 2: 4100}
+    streamed = feeds.drained(readers.read_sbs(spark, str(tmp_path), streaming=True, max_files_per_trigger=1), "sbs")
+    assert sorted(streamed.select("ts", "seq").collect()) == sorted(lines.select("ts", "seq").collect())
+
+
+def test_newest_catalogue_reads_one_file(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(("b.txt", "a.txt", "c.txt")):
+        (tmp_path / name).write_text(f"NAME {name}\n1 x\n\n2 y\n")
+        os.utime(tmp_path / name, (1000 + (i == 1) * 500, 1000 + (i == 1) * 500))
+    got = readers.read_tle(spark, str(tmp_path))
+    assert [r.value for r in got.orderBy("line_no").collect()] == ["NAME a.txt", "1 x", "2 y"]
+    assert len(got.inputFiles()) == 1
+
+
+def test_only_weather_presets_give_reports(spark):
+    rows = [("s", "ksea-tower", "watch for traffic on final"), ("s", "noaa-seattle", "\t watch for traffic on final  "),
+            ("s", None, "a gale warning for skagit today"), ("s", "no-such-preset", "gale warning"), ("s", "noaa-seattle", "thank you."),
+            ("s", "noaa-portland", "quiet seas and sun for all of the week")]
+    t = spark.createDataFrame(rows, "stream_id string, preset_id string, text string").withColumns({
+        "ts": F.lit("2026-01-01").cast("timestamp"), "source": F.lit("SDR")})
+    reports = T.heard_reports(t, readers.presets(spark)).withColumn("banner", T.active_banner())
+    got = {r.raw_transcript: r for r in reports.collect()}
+    assert set(got) == {"watch for traffic on final", "quiet seas and sun for all of the week"}
+    loose = got["watch for traffic on final"]
+    # a loose word hides the old banner and shows the raw text; no word, no banner
+    assert loose.alerts == [] and loose.banner == "watch for traffic on final" and loose.freq == "162.550M"
+    assert got["quiet seas and sun for all of the week"].banner is None
+    events = [(r.event, r.payload) for r in sinks.weather_events(reports).collect()]
+    assert sorted(e for e, _ in events) == ["priority_alert", "weather_update", "weather_update"]
+    alert = next(p for e, p in events if e == "priority_alert")
+    assert alert == ('{"alerts":[],"raw_snippet":"watch for traffic on final","timestamp":"2026-01-01T00:00:00.000000Z","freq":"162.550M","source":"SDR"}')
+    assert T.alert_log(reports).count() == 0
+
+
+def test_equal_requests_each_get_an_answer(spark):
+    at = lambda c: F.to_timestamp(c)
+    req = spark.createDataFrame([("s", "2026-01-01 10:00:00", "kexp-fm")] * 2 + [("s", "2026-01-01 10:30:00", "kexp-fm"), ("x", "2026-01-01 10:10:00", "kexp-fm"),
+        ("s", "2026-01-01 11:00:00", "kexp-fm"), ("s", "2026-01-01 10:20:00", "?")], "station string, t string, preset_id string").select("station", at("t").alias("ts"), "preset_id")
+    locks = spark.createDataFrame([("s", "2026-01-01 10:00:00", "2026-01-01 11:00:00"), ("s", "2026-01-01 10:25:00", "2026-01-01 10:26:00")], "station string, a string, b string")
+    locks = locks.select("station", at("a").alias("lock_start"), at("b").alias("lock_end"))
+    for block in (60, 3600):
+        out = C.validate_requests(req, readers.presets(spark), locks, block_s=block).collect()
+        assert sorted((r.station, r.ts.minute + 60 * r.ts.hour, r.reason) for r in out) == [
+            ("s", 600, "locked"), ("s", 600, "locked"), ("s", 620, "unknown_preset"), ("s", 630, "locked"), ("s", 660, "ok"), ("x", 610, "ok")]
+
+
 def test_recent_transcripts_limit_below_the_shuffle(spark):
     t = spark.range(50).selectExpr("cast(id % 2 AS string) AS stream_id", "timestamp_seconds(id) AS ts", "id")
+    t = t.withColumn("raw_transcript", F.when(F.col("id") != 49, "said").otherwise(""))
     out = T.recent_transcripts(t, 3)
-    assert sorted(r.id for r in out.collect()) == [44, 45, 46, 47, 48, 49]
+    assert sorted(r.id for r in out.collect()) == [43, 44, 45, 46, 47, 48]
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()

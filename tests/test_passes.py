@@ -96,6 +96,40 @@ def test_notice_times(spark):
     assert P.notices(p, ticks).first().minutes_until == 10.0
 
 
+def test_first_notice_equals_all_pairs(spark):
+    rng = random.Random(3)
+    passes = [(rng.choice("ab"), "NOAA 19", float(rng.randrange(90000))) for _ in range(120)]
+    ticks = [(rng.choice("abc"), float(rng.randrange(3000) * 30)) for _ in range(400)]
+    p = spark.createDataFrame(passes, "station string, satellite string, s double").select("station", "satellite", ts("s").alias("aos"))
+    k = spark.createDataFrame(ticks, "station string, s double").select("station", ts("s").alias("tick"))
+    want = sorted((st, at, min(t for s2, t in ticks if s2 == st and 0 < at - t <= 600)) for st, _, at in passes
+                  if any(s2 == st and 0 < at - t <= 600 for s2, t in ticks))
+    for block in (300, 3600):
+        got = P.notices(p, k, station=["station"], block_s=block).collect()
+        assert sorted((r.station, r.aos.timestamp() - T0, r.tick.timestamp() - T0) for r in got) == want
+    grid = P.tick_grid(k.union(k), ["station"])
+    assert grid.count() == len(set(ticks))
+
+
+def test_passes_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(0.0, 1, 5.0), (0.0, 2, -5.0), (60.0, 3, -5.0), (60.0, 4, 7.0), (120.0, 5, 9.0), (120.0, 6, None)]
+    want = None
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "s double, seq int, elevation double").select(F.lit("x").alias("satellite"), ts("s").alias("ts"), "seq", "elevation")
+        got = sorted((int(r.aos.timestamp()) - T0, int(r.los.timestamp()) - T0, r.max_elevation) for r in P.detect_passes(df, order=["seq"]).collect())
+        want = want or got
+        assert got == want == [(0, 0, 5.0), (60, 120, 9.0)]
+
+
+def test_equal_images_stay(spark):
+    images = spark.createDataFrame([("a", "2026-03-01 10:05:00")] * 3 + [("b", None)], "satellite string, t string").select("satellite", F.to_timestamp("t").alias("pass_ts"))
+    p = spark.createDataFrame([("a", 60.0)], "satellite string, max_elevation double").withColumns({
+        "aos": F.lit("2026-03-01 10:04:00").cast("timestamp"), "los": F.lit("2026-03-01 10:14:00").cast("timestamp")})
+    out = P.images_with_pass(images, p, location="47N, 122W").collect()
+    assert sorted((r.satellite, r.max_elevation, r.location) for r in out) == [("a", 60.0, "47N, 122W")] * 3 + [("b", 0.0, "47N, 122W")]
+
+
 def test_images(spark, tmp_path):
     def png(name):
         raw = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", zlib.crc32(b""))
