@@ -247,26 +247,26 @@ def _links(assigned: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.groupBy("grp", "shard").applyInArrow(_search(percent), f"a {kind}, b {kind}")
 
 
-def family_links(sets: DataFrame, percent: int, shard_rows: int, share: int = 8) -> DataFrame:
+def family_links(sets: DataFrame, percent: int, shard_shingles: int, share: int = 8) -> DataFrame:
     """Links that connect most of each family of near copies.
 
     The leader of a shingle is the smallest set that has it; a set joins the groups of the leaders that a fifth of its sampled shingles
     have (one in ``share``, by hash: what this step misses the next one finds). A group is dealt out to shards of about
-    ``shard_rows`` sets, each with the leader.
+    ``shard_shingles`` shingles, each with the leader.
     """
     token = sets.select("rep", F.explode("tokens").alias("token")).filter(F.pmod("token", F.lit(share)) == 0)
     lead = token.groupBy("token").agg(F.min("rep").alias("grp"), F.count("*").alias("n")).filter("n > 1").select("token", "grp")
     joined = token.join(lead, "token").groupBy("rep", "grp").count()
     own = token.groupBy("rep").agg(F.count("*").alias("n"))
-    member = joined.filter("rep != grp").join(own, "rep").filter("5 * count >= n").select("grp", "rep")
-    width = member.groupBy("grp").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    member = joined.filter("rep != grp").join(own, "rep").filter("5 * count >= n").select("grp", "rep", "n")
+    width = member.groupBy("grp").agg(F.ceil(F.sum("n") * share / shard_shingles).alias("shards"))
     dealt = member.join(width, "grp").select("grp", F.pmod(F.xxhash64("rep"), "shards").alias("shard"), "rep", F.lit(True).alias("query"))
     heads = width.select("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"),
                          F.col("grp").alias("rep"), F.lit(False).alias("query"))
     return _links(dealt.unionByName(heads).withColumn("comp", F.col("rep")), sets, percent)
 
 
-def remaining_links(sets: DataFrame, comp: DataFrame, percent: int, shard_rows: int) -> DataFrame:
+def remaining_links(sets: DataFrame, comp: DataFrame, percent: int, shard_shingles: int) -> DataFrame:
     """All links between sets of different components that ``comp`` (rep, comp) does not connect yet.
 
     Of the 40 percent smallest shingles of each of two linked sets, each shares at least a fifth of its size with
@@ -281,8 +281,8 @@ def remaining_links(sets: DataFrame, comp: DataFrame, percent: int, shard_rows:
     able = token.groupBy("rep", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= F.col("n") * slack / 100 - 2).select("rep")
     token = token.join(able, "rep")
     lead = token.groupBy("token").agg(F.min("rep").alias("grp"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y")
-    member = stored(token.join(lead.select("token", "grp"), "token").select("grp", "rep", "comp").distinct(), "jaccard-groups")
-    width = member.groupBy("grp").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    member = stored(token.join(lead.select("token", "grp"), "token").select("grp", "rep", "comp", "n").distinct(), "jaccard-groups")
+    width = member.groupBy("grp").agg(F.ceil(F.sum("n") / shard_shingles).alias("shards"))
     dealt = member.join(width, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), "shards"))
     # a task gets two shards at most: the first one's sets are searched for the second one's
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
@@ -292,7 +292,7 @@ def remaining_links(sets: DataFrame, comp: DataFrame, percent: int, shard_rows:
 
 
 def similar_transcripts(transcripts: DataFrame, key: str = "transcript_id", text: str = "text", words: int = WORDS,
-                        percent: int = PERCENT, shard_rows: int = 256) -> DataFrame:
+                        percent: int = PERCENT, shard_shingles: int = 100_000) -> DataFrame:
     """One row per transcript: key, n_shingles, component_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a transcript's set holds its distinct shingles of ``words`` words, or its
@@ -319,11 +319,11 @@ def similar_transcripts(transcripts: DataFrame, key: str = "transcript_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), lists], names=["rep", "n_shingles", "tokens"])
 
     sets = stored(body.mapInArrow(unpack, f"rep {kind}, n_shingles BIGINT, tokens ARRAY<BIGINT>").dropDuplicates(["rep"]), "jaccard-sets")
-    first = stored(family_links(sets, percent, shard_rows), "jaccard-links")
+    first = stored(family_links(sets, percent, shard_shingles), "jaccard-links")
     comp = components(first)
     comp = stored(sets.select("rep").join(comp, F.col("rep") == F.col("node"), "left").select(
         "rep", F.coalesce("component", "rep").alias("comp")), "jaccard-components")
-    more = remaining_links(sets, comp, percent, shard_rows)
+    more = remaining_links(sets, comp, percent, shard_shingles)
     merged = components(first.unionByName(more))
     of_class = classes.join(merged, F.col("rep") == F.col("node"), "left").select(
         *digest, F.coalesce("component", "rep").alias("component_id"))

@@ -109,8 +109,8 @@ def test_similar_chains_and_large_families(spark):
         rows.append((100 + i, " ".join(w)))
     df = spark.createDataFrame(rows, "transcript_id BIGINT, text STRING")
     want = c.similar(rows)
-    for shard_rows in (2, 256):
-        got = by_id(jaccard.similar_transcripts(df, shard_rows=shard_rows))
+    for shard in (200, 100_000):
+        got = by_id(jaccard.similar_transcripts(df, shard_shingles=shard))
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
