@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from aetherlog import dims
 from aetherlog.plans.bins import BIN, bin_of
-from aetherlog.plans.blocked import index_block, running
+from aetherlog.plans.blocked import index_block, numbered, running
 from aetherlog.plans.chain import follow_chain
 
 FRAME_BLOCK = 9000  # frames per block: 15 minutes
@@ -132,9 +132,14 @@ def vad_segments(
     f: DataFrame, key: list[str] = ["stream_id"], threshold: float = dims.SILENCE_RMS,
     block_frames: int = FRAME_BLOCK,
 ) -> DataFrame:
-    """Voice-activity segments ``(key, start_idx, end_idx)``, end inclusive."""
-    cuts = vad_cuts(f, key, threshold, block_frames)
-    chain = follow_chain(cuts, key, "frame_idx", "next_start", dims.MAX_SEGMENT_FRAMES, block_frames)
+    """Voice-activity segments ``(key, start_idx, end_idx)``, end inclusive.
+
+    A missing frame ends a run of frames as the end of a stream does; the next run is cut on its own.
+    """
+    place = numbered(f.select(*key, "frame_idx", "rms"), key, ["frame_idx"], index_block("frame_idx", block_frames), "_place")
+    runs, own = place.withColumn("_run", F.col("frame_idx") - F.col("_place")).drop("_place"), [*key, "_run"]
+    cuts = vad_cuts(runs, own, threshold, block_frames)
+    chain = follow_chain(cuts, own, "frame_idx", "next_start", dims.MAX_SEGMENT_FRAMES, block_frames)
     return chain.filter(F.col("next_start").isNotNull()).select(
         *key, F.col("frame_idx").alias("start_idx"), (F.col("next_start") - 1).alias("end_idx"))
 

@@ -26,7 +26,7 @@ def _stream_of(df, purpose: str, files: int = 4, order: str | None = None):
     if order is None:
         df.repartition(files).write.parquet(path)
     else:  # one file after the other, as a station would close them
-        rows = stored(df.withColumn("_slice", F.unix_micros(order)), purpose + "-rows")
+        rows = stored(df.withColumn("_slice", F.col(order).cast("double")), purpose + "-rows")
         edges = rows.approxQuantile("_slice", [i / files for i in range(1, files)], 0.01)
         last = None
         for edge in [*edges, None]:
@@ -50,8 +50,8 @@ def _updates(t):
 
 @query("str_1_vad_segments", "frames", sql=SQ._cuts_sql(SQ.SILENCE) + " SELECT * FROM segments")
 def _(t):
-    """Frames come shuffled over several batches; the segments are those of the batch operator."""
-    s = segments.stream_vad_segments(_stream_of(t.frames(), "frames"), silence=SQ.SILENCE)
+    """Frames come in several batches; the segments are those of the batch operator."""
+    s = segments.stream_vad_segments(_stream_of(t.frames(), "frames", order="frame_idx"), silence=SQ.SILENCE)
     return feeds.drained(s, "vad").select("stream_id", "start_idx", "end_idx")
 
 
@@ -72,7 +72,7 @@ def _(t):
     key = ["stream_id", "session"]
     f = numbered(e, key, ["ts", "seq"], time_block("ts"), "frame_idx").select(
         *key, "frame_idx", F.lit(1600).alias("n"), (F.col("value") * F.col("value") * 1600).alias("sumsq"))
-    out = feeds.drained(segments.stream_vad_segments(_stream_of(f, "frames"), key, SQ.SILENCE), "sessions")
+    out = feeds.drained(segments.stream_vad_segments(_stream_of(f, "frames", order="frame_idx"), key, SQ.SILENCE), "sessions")
     return out.select(F.concat_ws("/", "stream_id", F.col("session").cast("string")).alias("stream_id"), "start_idx", "end_idx")
 
 
@@ -181,6 +181,6 @@ def _(t):
     FROM (SELECT stream_id, unnest(range(0, count(*) // 10)) AS seg FROM pcm_frames GROUP BY 1)""")
 def _(t):
     """A stream of chunks to segments; at this threshold every frame is silent, so each tenth one cuts."""
-    chunks = _stream_of(readers.pcm_chunks(t.recordings()), "chunks", 3)
+    chunks = _stream_of(readers.pcm_chunks(t.recordings()), "chunks", 3, "seq")
     return feeds.drained(segments.stream_vad_segments(S.frame_parts(chunks), silence=1e9), "chunk-segments").select(
         "stream_id", "start_idx", "end_idx")

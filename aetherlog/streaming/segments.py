@@ -2,14 +2,15 @@
 
 Input rows are partial frames ``(key..., frame_idx, n, sumsq)`` as decoded from
 chunks. They may come split, out of order, and in any batches: a frame waits in
-state until it is whole and its turn has come, so the segments are those of the
-batch operators. Put the tuning session into the key and no segment mixes presets.
+state until it is whole and its turn has come, or until too many later ones have come, so the
+segments are those of the batch operators. Put the tuning session into the key and no segment mixes presets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -49,32 +50,70 @@ def _merge(parts: dict[int, tuple[int, float]], pdf: pd.DataFrame) -> list[int]:
 
 
 class VadSegments(StatefulProcessor):
-    """Cuts at a pause once a segment is long enough, or at the longest length."""
+    """Cuts at a pause once a segment is long enough, or at the longest length.
 
-    def __init__(self, key: list[str], silence: float):
-        self.key, self.silence = key, silence
+    A frame that has not come when one ``late`` frames behind it has is given up: the run of frames ends there as at
+    the end of a stream, and the next run begins with the next whole frame. So at most ``late``
+    frames of a stream wait in state; frames that come after they were given up are left out.
+    """
+
+    def __init__(self, key: list[str], silence: float, late: int):
+        self.key, self.silence, self.late = key, silence, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = _Waiting(handle, "parts")
-        self.open = handle.getValueState("open", "next BIGINT, start BIGINT, quiet INT, n BIGINT, sumsq DOUBLE")
+        self.waiting = handle.getValueState("parts", "at ARRAY<BIGINT>, n ARRAY<BIGINT>, sumsq ARRAY<DOUBLE>")
+        self.open = handle.getValueState("open", "next BIGINT, start BIGINT, quiet BIGINT, n BIGINT, sumsq DOUBLE")
+
+    def _cut(self, state: tuple, n: np.ndarray, sumsq: np.ndarray) -> tuple[tuple, list[tuple]]:
+        """Take whole frames that follow the state's last one; segments that end in them."""
+        first, start, quiet, open_n, open_s = state
+        silent = np.sqrt(sumsq / n) < self.silence
+        at = np.arange(len(n))
+        loud = np.maximum.accumulate(np.where(silent, -1, at))
+        run = np.where(loud < 0, quiet + at + 1, at - loud)
+        pauses = first + np.flatnonzero(run >= dims.HOLDOFF_FRAMES)
+        total_n, total_s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(sumsq)])
+        last, done, out = first + len(n) - 1, 0, []
+        while True:
+            i = np.searchsorted(pauses, max(start + dims.MIN_SEGMENT_FRAMES - 1, first))
+            end = start + dims.MAX_SEGMENT_FRAMES - 1
+            end = min(int(pauses[i]), end) if i < len(pauses) else end
+            if end > last:
+                break
+            upto = end + 1 - first
+            seg_n, seg_s = open_n + total_n[upto] - total_n[done], open_s + total_s[upto] - total_s[done]
+            out.append((start, end, float(np.sqrt(seg_s / seg_n)), float(seg_n / dims.SAMPLE_RATE)))
+            start, done, open_n, open_s = end + 1, upto, 0, 0.0
+        state = (last + 1, start, int(run[-1]), int(open_n + total_n[-1] - total_n[done]), float(open_s + total_s[-1] - total_s[done]))
+        return state, out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        nxt, start, quiet, n, sumsq = self.open.get() if self.open.exists() else (0, 0, 0, 0, 0.0)
-        parts, out = self.frames.load(), []
-        for pdf in rows:
-            _merge(parts, pdf)
-            while nxt in parts and parts[nxt][0] == dims.FRAME_SAMPLES:
-                frame_n, frame_s = parts.pop(nxt)
-                silent = (frame_s / frame_n) ** 0.5 < self.silence
-                quiet = quiet + 1 if silent else 0
-                n, sumsq, nxt = n + frame_n, sumsq + frame_s, nxt + 1
-                length = nxt - start
-                pause = quiet >= dims.HOLDOFF_FRAMES and length >= dims.MIN_SEGMENT_FRAMES
-                if pause or length >= dims.MAX_SEGMENT_FRAMES:
-                    out.append((*key, start, nxt - 1, (sumsq / n) ** 0.5, n / dims.SAMPLE_RATE))
-                    start, quiet, n, sumsq = nxt, 0, 0, 0.0
-        self.open.update((nxt, start, quiet, n, sumsq))
-        self.frames.save(parts)
+        state = self.open.get() if self.open.exists() else (0, 0, 0, 0, 0.0)
+        parts = [pd.DataFrame(dict(zip(("frame_idx", "n", "sumsq"), self.waiting.get())))] if self.waiting.exists() else []
+        for pdf in rows:  # sums per frame, so that a split frame stays one row
+            parts.append(pdf.groupby("frame_idx", as_index=False)[["n", "sumsq"]].sum())
+        merged = pd.concat(parts).groupby("frame_idx")[["n", "sumsq"]].sum()
+        at, n, sumsq = merged.index.to_numpy(np.int64), merged["n"].to_numpy(np.int64), merged["sumsq"].to_numpy(float)
+        fresh = at >= state[0]
+        at, n, sumsq = at[fresh], n[fresh], sumsq[fresh]
+        out: list[tuple] = []
+        while len(at):
+            ready = (at == state[0] + np.arange(len(at))) & (n == dims.FRAME_SAMPLES)
+            m = len(at) if ready.all() else int(np.argmin(ready))
+            if m:
+                state, found = self._cut(state, n[:m], sumsq[:m])
+                out += [(*key, *f) for f in found]
+                at, n, sumsq = at[m:], n[m:], sumsq[m:]
+            elif at[-1] - state[0] >= self.late:
+                whole = np.flatnonzero((n == dims.FRAME_SAMPLES) & (at > state[0]))
+                skip = int(whole[0]) if len(whole) else int(np.searchsorted(at, at[-1] - self.late, "right"))
+                restart = int(at[skip]) if skip < len(at) else int(at[-1]) + 1
+                at, n, sumsq = at[skip:], n[skip:], sumsq[skip:]
+                state = (restart, restart, 0, 0, 0.0)
+            else:
+                break
+        self.open.update(state)
+        self.waiting.update((at.tolist(), n.tolist(), sumsq.tolist()))
         if out:
             yield pd.DataFrame(out, columns=[*self.key, "start_idx", "end_idx", "rms", "audio_s"])
 
@@ -117,13 +156,15 @@ class FixedSegments(StatefulProcessor):
         pass
 
 
-def stream_vad_segments(parts: DataFrame, key: list[str] = ["stream_id"], silence: float = dims.SILENCE_RMS) -> DataFrame:
-    """Voice-activity segments of a stream of (partial) frames."""
+def stream_vad_segments(
+    parts: DataFrame, key: list[str] = ["stream_id"], silence: float = dims.SILENCE_RMS, late_frames: int = dims.LATE_FRAMES,
+) -> DataFrame:
+    """Voice-activity segments of a stream of (partial) frames; a lost frame costs a gap (see ``VadSegments``)."""
     big, dbl = T.LongType(), T.DoubleType()
     schema = _with_key(parts, key, [("start_idx", big), ("end_idx", big), ("rms", dbl), ("audio_s", dbl)])
     rows = parts.select(*key, "frame_idx", "n", "sumsq")
     return rows.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=VadSegments(key, silence), outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=VadSegments(key, silence, late_frames), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def stream_fixed_segments(

@@ -5,6 +5,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from aetherlog.operators import signal as S
 from aetherlog.plans import chain
@@ -139,6 +140,30 @@ def test_stream_segments_from_split_shuffled_frames(spark, random_streams, tmp_p
     assert sorted(fixed.collect()) == sorted(want.collect())
 
 
+def test_a_lost_frame_costs_a_gap(spark, tmp_path):
+    """Batch and stream end a run of frames at a lost one and go on behind it; little waits in state."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for stream, lost in (("a", {0}), ("b", {57, 58, 300}), ("c", set()), ("d", {399})):
+        silent = [rng.random() < 0.4 for _ in range(400)]
+        rows += [(stream, i, 1600, 0.0 if q else 1600 * 5000.0 ** 2, 0.0 if q else 5000.0) for i, q in enumerate(silent) if i not in lost]
+        edges = [-1, *sorted(lost), 400]
+        want[stream] = [(a + 1 + s, a + 1 + e) for a, b in zip(edges, edges[1:]) for s, e in cuts(silent[a + 1:b])]
+    df = spark.createDataFrame(rows, "stream_id string, frame_idx bigint, n bigint, sumsq double, rms double")
+    for block in (160, 9000):
+        got = {}
+        for r in S.vad_segments(df, block_frames=block).collect():
+            got.setdefault(r.stream_id, []).append((r.start_idx, r.end_idx))
+        assert {k: sorted(v) for k, v in got.items()} == want
+    for low in range(0, 460, 20):  # 23 batches in order, the last ones empty of new frames
+        df.filter(F.col("frame_idx").between(low, low + 19)).select("stream_id", "frame_idx", "n", "sumsq").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("stream_id string, frame_idx bigint, n bigint, sumsq double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+    for r in feeds.drained(segments.stream_vad_segments(s, late_frames=40), "gaps").collect():
+        got.setdefault(r.stream_id, []).append((r.start_idx, r.end_idx))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_segment_mode(spark):
     modes = {r.id: r.segment_mode for r in S.segment_mode(readers.presets(spark)).collect()}
     assert [k for k, v in modes.items() if v == "fixed"] == ["noaa-seattle", "noaa-monterey", "noaa-portland"]
