@@ -203,3 +203,13 @@ def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html", ke
 
     fields = ", ".join([*(f"`{c}` {t}" for c, t in source.dtypes[:-1]), "text STRING", "n_chars BIGINT"])
     return source.mapInArrow(run, fields)
+
+
+def reference_sql() -> str:
+    """The article text of ``pages`` from SQL: their one template has an article element with plain blocks in it."""
+    return r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '</?(p|h1|br)>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&') AS t FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars
+FROM (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)"""

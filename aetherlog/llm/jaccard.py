@@ -329,3 +329,21 @@ def similar_transcripts(transcripts: DataFrame, key: str = "transcript_id", text
         *digest, F.coalesce("component", "rep").alias("component_id"))
     return sizes.join(of_class, digest, "left").select(
         key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def reference_sql(words: int = WORDS, percent: int = PERCENT) -> str:
+    """The result over ``documents`` from SQL: all pairs with a shingle in common, so for small tables only."""
+    return f"""
+WITH RECURSIVE spoken AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM spoken),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id
+FROM sets JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY 1) c ON c.x = doc_id"""

@@ -87,4 +87,6 @@ def op10_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op7_quality_classifier, op8_quality_rules, op9_sentencepiece, op10_suffix_repeats)}
-ORACLE: dict[str, str] = {"op1_warc": warc.reference_sql(), "op5_line_dedup": line_dedup.reference_sql()}
+ORACLE: dict[str, str] = {"op1_warc": warc.reference_sql(), "op4_ngram_jaccard": jaccard.reference_sql(),
+                          "op5_line_dedup": line_dedup.reference_sql(), "op6_sharding": sharding.reference_sql(),
+                          "op10_suffix_repeats": repeats.reference_sql(), "op3_html_extraction": extraction.reference_sql()}

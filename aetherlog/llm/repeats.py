@@ -341,3 +341,25 @@ def remove_repeats(transcripts: DataFrame, key: str = "transcript_id", text: str
     out = rows.groupBy("g").cogroup(cuts.groupBy("g")).applyInArrow(
         _cut, "key BIGINT, kept BINARY, n_bytes BIGINT, n_removed BIGINT, spans ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>")
     return out.withColumnRenamed("key", key)
+
+
+def reference_sql(match_bytes: int = 50) -> str:
+    """The result over ``documents`` from SQL: a row per byte string, so for small tables only."""
+    n = match_bytes
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * n}) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {n - 1})) AS i FROM d)),
+origin AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+hit AS (SELECT doc_id, i FROM win JOIN origin USING (s) WHERE f < doc_id),
+run AS (
+  SELECT doc_id, min(i) AS a, max(i) + {n} AS z FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (
+      SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {n} THEN 0 ELSE 1 END AS fresh FROM hit))
+  GROUP BY doc_id, r),
+rest AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b, a AS e FROM run
+  UNION ALL SELECT doc_id, coalesce(z, 0), len(h) // 2 FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM run GROUP BY 1) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b) AS k FROM rest JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(r.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM run GROUP BY 1) r USING (doc_id)"""

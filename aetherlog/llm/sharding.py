@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,12 +95,17 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             prefix = overview.prefix()
 
 
+def _order_key(body: Column) -> Column:
+    """The first 60 bits of the text's MD5, moved to the whole range of a BIGINT's upper bits."""
+    return F.conv(F.substring(F.md5(body.cast("binary")), 1, 15), 16, 10).cast("bigint") * 8
+
+
 def minimax_shards(transcripts: DataFrame, key: str = "transcript_id", text: str = "text", shards: int = 8,
                    rows_per_cell: int = 1000) -> DataFrame:
     """Put every transcript into one of ``shards`` contiguous shards of nearly equal size.
 
     Returns key, size, text_crc32, law, shard, slot, grown_shard. ``size`` is the text's UTF-8 bytes plus 1 (null: 1).
-    Atomic groups are equal texts (a null text counts as an empty one), ordered by a 64-bit hash of
+    Atomic groups are equal texts (a null text counts as an empty one), ordered by a hash of 60 bits of
     the text, so that a shard is a range of hashes and needs no join. The law is ``bytes``: the largest shard is as
     small as contiguous shards allow. Slots count from 0 in each shard without gaps, ordered by block of hashes.
     Rows are numbered in cells of about ``rows_per_cell`` rows; a block with more, say of one hot text,
@@ -109,7 +114,7 @@ def minimax_shards(transcripts: DataFrame, key: str = "transcript_id", text: str
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = transcripts.select(
         F.col(key), (F.octet_length(body).cast("bigint") + 1).alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("order_key"))
+        F.crc32(body.cast("binary")).alias("text_crc32"), _order_key(body).alias("order_key"))
     rows = stored(rows, "sharding-rows")
     groups = stored(rows.groupBy("order_key").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "sharding-groups")
     _, cuts = minimax_cuts(groups.select("order_key", "size"), shards)
@@ -132,3 +137,35 @@ def minimax_shards(transcripts: DataFrame, key: str = "transcript_id", text: str
     return numbered.join(offsets, cell).select(
         key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("offset") + F.col("__n") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def reference_sql(shards: int = 8) -> str:
+    """The result over ``documents`` from SQL: every way to divide the groups, so for small tables only.
+
+    Slots agree as long as no block of hashes holds more rows than a cell.
+    """
+    levels = "".join(f"""
+f{k} AS (SELECT p.i, min(greatest(f.best, p.upto - q.upto)) AS best FROM pre p JOIN f{k - 1} f ON f.i <= p.i JOIN pre q ON q.i = f.i GROUP BY p.i),"""
+                     for k in range(2, shards + 1))
+    return f"""
+WITH RECURSIVE step AS (
+  SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM step WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS crc FROM step WHERE k = 8),
+bytes AS (SELECT doc_id, list_transform(range(0, strlen(coalesce(text, ''))), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+sums AS (SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM bytes, tab),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, size, t, ('0x' || substr(md5(t), 1, 15))::BIGINT AS k FROM d),
+g AS (SELECT k, sum(size) AS size FROM o GROUP BY k),
+pre AS (SELECT row_number() OVER (ORDER BY k) AS i, k, sum(size) OVER (ORDER BY k) AS upto FROM g UNION ALL SELECT 0, NULL, 0),
+f1 AS (SELECT i, upto AS best FROM pre),{levels}
+cap AS (SELECT best AS c FROM f{shards} ORDER BY i DESC LIMIT 1),
+cut AS (
+  SELECT 0 AS shard, 0::BIGINT AS i
+  UNION ALL SELECT shard + 1, (SELECT max(p.i) FROM pre p WHERE p.upto <= (SELECT upto FROM pre q WHERE q.i = cut.i) + (SELECT c FROM cap))
+  FROM cut WHERE shard < {shards - 1}),
+place AS (SELECT p.k, max(cut.shard) AS shard FROM pre p JOIN cut ON cut.i < p.i GROUP BY p.k)
+SELECT doc_id, CAST(o.size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(NULL AS INTEGER) AS grown_shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS BIGINT) AS slot
+FROM o JOIN place USING (k) JOIN sums USING (doc_id)"""
