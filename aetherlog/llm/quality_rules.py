@@ -124,14 +124,17 @@ def with_verdict(measured: DataFrame, language: str = "language", stream: str =
         return df.select(*keys, F.struct("n", *(edge(m).alias(m) for m in MEASURES)).alias(name))
 
     by_language = merged(own, "__l")
-    everything = merged(by_language)
-    own_f, language_f, all_f = fences(own, "own"), fences(by_language, "lang"), fences(everything, "any")
+    everything = merged(by_language.withColumn("__all", F.lit(1)), "__all")  # no row for no texts
+    own_f, language_f = fences(own, "own"), fences(by_language, "lang")
+    overall = fences(everything, "any").first()  # one row of five numbers
+    everyone = F.lit(None).cast(own_f.schema["own"].dataType) if overall is None else F.struct(
+        *(F.lit(v).alias(k) for k, v in overall["any"].asDict().items()))
     # one row per stratum: the sketch that stands for it
     language_f = language_f.withColumnRenamed("__l", "__ll")
-    table = own_f.join(language_f, F.col("__l").eqNullSafe(F.col("__ll")), "left").crossJoin(all_f).select(
+    table = own_f.join(language_f, F.col("__l").eqNullSafe(F.col("__ll")), "left").select(
         F.col("__l"), F.col("__s"),
         F.when(F.col("own.n") >= min_stratum, F.col("own")).when(F.col("lang.n") >= min_stratum, F.col("lang"))
-        .otherwise(F.col("any")).alias("__fence"))
+        .otherwise(everyone).alias("__fence"))
     joined = base.join(table, F.col(language).eqNullSafe(F.col("__l")) & F.col(stream).eqNullSafe(F.col("__s")), "left")
     usual = F.lit(True)
     for m in MEASURES:
