@@ -66,8 +66,13 @@ def aircraft_state(updates: DataFrame, gap_s: int = dims.AIRCRAFT_TTL_S, block_s
 
 
 def live_aircraft(updates: DataFrame, as_of: Column, ttl_s: int = dims.AIRCRAFT_TTL_S, block_s: int = 3600) -> DataFrame:
-    """The aircraft table at a moment: the open sighting of each aircraft not yet expired."""
-    states = aircraft_state(updates.filter(F.col("ts") <= as_of), ttl_s, block_s)
+    """The aircraft table at a moment: the open sighting of each aircraft not yet expired.
+
+    Only aircraft with an update in the last ``ttl_s`` seconds can be in it, so only their history is looked at.
+    """
+    past = updates.filter(F.col("ts") <= as_of)
+    seen = past.filter(micros(as_of) - micros("ts") <= ttl_s * 1000000).select("hex").distinct()
+    states = aircraft_state(past.join(seen, "hex", "left_semi"), ttl_s, block_s)
     age = micros(as_of) - micros("seen")
     # an earlier sighting ended more than the gap before a later update, so at most one stays
     return states.filter(age <= ttl_s * 1000000).drop("sighting")
@@ -170,11 +175,18 @@ def spoken_callsigns(t: DataFrame, *keep: str) -> DataFrame:
     return rows.filter(F.col("callsign").isNotNull())
 
 
-def _substrings(c: Column) -> Column:
+def _substrings(c: Column, lengths: Column) -> Column:
+    """The distinct substrings of the given lengths."""
     n = F.length(c)
     return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(c, i, k)))))
+        F.filter(lengths, lambda k: k <= n),
+        lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(c, i, k)))))
+
+
+def _with_lengths(names: DataFrame, other: DataFrame, column: str) -> DataFrame:
+    """Adds the lengths that occur among the other side's names: one array for all rows."""
+    lengths = other.agg(F.collect_set(F.length(column)).alias("lengths"))
+    return names.withColumn("_k", F.lit(1)).join(lengths.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def flight_key() -> Column:
@@ -186,12 +198,15 @@ def matching_names(calls: DataFrame, flights: DataFrame) -> DataFrame:
     """Distinct ``(callsign, flight_key)`` pairs where one text contains the other.
 
     Contained text equals a substring of the longer one, so both directions are
-    equality joins on distinct names; a nested loop is never needed.
+    equality joins on distinct names. Only substrings of lengths the other side has are made, so one
+    garbled name of great length costs no more than its length times those few lengths.
     """
     c = calls.select("callsign").filter(F.length("callsign") > 0).distinct()
     f = flights.select("flight_key").filter(F.col("flight_key").isNotNull()).distinct()
-    in_flight = f.withColumn("callsign", F.explode(_substrings(F.col("flight_key")))).join(c, "callsign")
-    in_call = c.withColumn("flight_key", F.explode(_substrings(F.col("callsign")))).join(f, "flight_key")
+    sub_f = F.explode(_substrings(F.col("flight_key"), F.col("lengths")))
+    sub_c = F.explode(_substrings(F.col("callsign"), F.col("lengths")))
+    in_flight = _with_lengths(f, c, "callsign").withColumn("callsign", sub_f).join(c, "callsign")
+    in_call = _with_lengths(c, f, "flight_key").withColumn("flight_key", sub_c).join(f, "flight_key")
     return in_flight.select("callsign", "flight_key").union(in_call.select("callsign", "flight_key")).distinct()
 
 

@@ -37,15 +37,9 @@ def _stream_of(df, purpose: str, files: int = 4, order: str | None = None):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _events(t):
-    """The events table as a stream."""
-    schema = t.read("events").schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    return derived.derive_events(raw)
-
-
 def _updates(t):
-    return A.parse_sbs(derived.derive_sbs_lines(_events(t)))
+    """Telemetry lines of several batches, in the order they were sent."""
+    return A.parse_sbs(_stream_of(t.sbs_lines(), "sbs", 3, "ts"))
 
 
 @query("str_1_vad_segments", "frames", sql=SQ._cuts_sql(SQ.SILENCE) + " SELECT * FROM segments")
@@ -57,8 +51,10 @@ def _(t):
 
 @query("str_2_fixed_segments", "frames", sql=SQ._FIXED + " SELECT * FROM fixed")
 def _(t):
-    s = segments.stream_fixed_segments(_stream_of(t.frames(), "frames"))
-    return feeds.drained(s, "fixed").withColumn("rms", F.round("rms", 3))
+    """Counted in the JVM; a segment is dropped from the state once the streams are far behind it."""
+    frames = t.frames().withColumn("started", F.lit("2024-01-01").cast("timestamp"))
+    s = segments.stream_fixed_segments(_stream_of(frames, "frames", order="frame_idx"))
+    return feeds.drained(s, "fixed", "update").drop("batch_id").withColumn("rms", F.round("rms", 3))
 
 
 _SESSION_FRAMES = """, by_session AS (SELECT stream_id || '/' || session AS stream_id, row_number() OVER (PARTITION BY stream_id, session ORDER BY ts, seq) - 1 AS frame_idx, rms, sumsq, n
@@ -103,22 +99,28 @@ def _(t):
     return M.latest(changes, key, ["batch_id"]).select(*key, "minutes_until")
 
 
-@query("str_5_edge_feed", "status", sql="SELECT station, count(*) FILTER (running) AS up, count(*) AS n FROM status GROUP BY 1")
+@query("str_5_edge_feed", "status", "presets", sql="""SELECT CAST(station AS VARCHAR) AS key, ts, '{"rms":0.0,"freq":"' || coalesce(p.freq, '') || '"}' AS payload FROM (
+    SELECT *, lag(running) OVER (PARTITION BY station ORDER BY us, seq) AS was FROM status) s LEFT JOIN presets p ON p.id = s.preset_id WHERE was AND NOT running""")
 def _(t):
-    """A feed in update mode; on a cluster ``every`` sets its refresh time."""
-    s = derived.derive_status(_events(t)).groupBy("station").agg(
-        F.count_if("running").alias("up"), F.count(F.lit(1)).alias("n"))
-    return M.latest(feeds.drained(s, "edges", "update"), ["station"], ["batch_id"]).select("station", "up", "n")
+    """Zero levels when a station stops, over several batches; on a cluster the trigger is ``EVERY['edges']``."""
+    path = shared_folder(t.spark, "edges")
+    status = _stream_of(t.status().select("station", "ts", "seq", "running", "preset_id"), "status", 3, "ts")
+    feeds.start(status, on_batch=feeds.edge_handler(t.presets(), path)).awaitTermination()
+    return t.spark.read.parquet(f"{path}/events").select("key", "ts", "payload")
 
 
 @query("str_6_callsign_matches", "track", "utterances", gap_us=AQ.GAP_US, sql=AQ._ASOF + " SELECT transcript_id, hex, matched_callsign FROM spoken_of")
 def _(t):
+    """Transcripts come first, the second half of the telemetry after them; all are matched in the end."""
     spark, path, tracks = t.spark, shared_folder(t.spark, "matches"), shared_folder(t.spark, "track")
-    track = A.aircraft_track(t.updates(), AQ.GAP)
-    track.write.parquet(tracks)
+    track = stored(A.aircraft_track(t.updates(), AQ.GAP), "states")
+    noon = F.lit("2024-01-10 12:00:00").cast("timestamp")
+    track.filter(F.col("ts") <= noon).write.parquet(tracks)
     handler = feeds.callsign_handler(lambda: spark.read.schema(track.schema).parquet(tracks), path, AQ.GAP)
     feeds.start(_stream_of(t.utterances(), "utterances", 2), on_batch=handler).awaitTermination()
-    return spark.read.parquet(path).select("transcript_id", "hex", "matched_callsign")
+    track.filter(F.col("ts") > noon).write.mode("append").parquet(tracks)
+    feeds.match_waiting(spark.read.schema(track.schema).parquet(tracks), path, 1, AQ.GAP)
+    return spark.read.parquet(f"{path}/matches").select("transcript_id", "hex", "matched_callsign")
 
 
 @query("str_7_weather_feed", "weather", "presets", sql=TQ._HEARD_FIELDS + TQ._HEARD_ALERTS + f""" SELECT event, key, ts, alert_names, said FROM ({TQ._EVENT})

@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from aetherlog import dims
 from aetherlog.operators.aviation import aircraft_as_of, extract_callsigns
+from aetherlog.operators.metrics import latest, stop_edges
 from aetherlog.operators.passes import upcoming
 from aetherlog.operators.transcripts import alert_log, heard_reports
 from aetherlog.session import STATE_STORE, shared_folder
-from aetherlog.sources.sinks import append_alert_log, weather_events, write_events
+from aetherlog.sources.sinks import append_alert_log, signal_level_events, weather_events, write_events
 
 # How often each feed is refreshed.
 EVERY = {
@@ -85,21 +86,62 @@ def weather_handler(presets: DataFrame, path: str) -> Callable[[DataFrame, int],
 
 
 def callsign_handler(
-    track: Callable[[], DataFrame], path: str, max_age_s: int = dims.AIRCRAFT_TTL_S,
+    track: Callable[[], DataFrame], path: str, max_age_s: int = dims.AIRCRAFT_TTL_S, late_s: int = dims.LATE_TELEMETRY_S,
 ) -> Callable[[DataFrame, int], None]:
     """Handler of transcripts: spoken callsigns matched with the aircraft states of that time.
 
-    ``track`` opens the state table. Only the time span of the batch is read
-    from it; the two bounds are all that reaches the driver.
+    ``track`` opens the state table. A transcript waits until the table has a state ``late_s`` newer than it, so telemetry that
+    arrives after the transcript is still matched; what waits goes to the next batch through the folder, and
+    ``match_waiting`` matches the rest. Only the time span of a batch is read from the table; its bounds
+    and the table's newest moment are all that reaches the driver.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        first, last = batch.agg(F.min("ts"), F.max("ts")).first()
-        if first is None:
-            return
-        since = F.lit(first) - F.make_dt_interval(secs=F.lit(max_age_s))
-        recent = track().filter((F.col("ts") >= since) & (F.col("ts") <= F.lit(last)))
-        matches = aircraft_as_of(extract_callsigns(batch), recent, max_age_s)
-        matches.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        heard = extract_callsigns(batch).filter(F.size("callsigns") > 0).select("transcript_id", "ts", "callsigns")
+        if batch_id:
+            heard = heard.unionByName(spark.read.schema(heard.schema).parquet(f"{path}/waiting/batch_id={batch_id - 1}"))
+        newest = track().agg(F.max("ts")).first()[0]
+        known = F.coalesce(F.col("ts") <= F.lit(newest).cast("timestamp") - F.make_dt_interval(secs=F.lit(late_s)), F.lit(False))
+        heard.filter(~known).write.mode("overwrite").parquet(f"{path}/waiting/batch_id={batch_id}")
+        _match(heard.filter(known), track(), f"{path}/matches/batch_id={batch_id}", max_age_s)
+
+    return on_batch
+
+
+def _match(heard: DataFrame, track: DataFrame, path: str, max_age_s: int) -> None:
+    first, last = heard.agg(F.min("ts"), F.max("ts")).first()
+    first, last = (F.lit(x).cast("timestamp") for x in (first, last))
+    since = first - F.make_dt_interval(secs=F.lit(max_age_s))
+    recent = track.filter((F.col("ts") >= since) & (F.col("ts") <= last))
+    aircraft_as_of(heard, recent, max_age_s).write.mode("overwrite").parquet(path)
+
+
+def match_waiting(track: DataFrame, path: str, batch_id: int, max_age_s: int = dims.AIRCRAFT_TTL_S) -> None:
+    """Match what still waits after a batch, when no more telemetry is to come."""
+    heard = track.sparkSession.read.parquet(f"{path}/waiting/batch_id={batch_id}")
+    _match(heard, track, f"{path}/matches/batch_id=last", max_age_s)
+
+
+def edge_handler(
+    presets: DataFrame, path: str, key: list[str] = ["station"], order: list[str] = ["ts", "seq"],
+) -> Callable[[DataFrame, int], None]:
+    """Handler of status rows: a zero ``signal_level`` event when a station stops; use with ``EVERY['edges']`` as trigger.
+
+    The newest row of each station is handed to the next batch through the folder: one row per station, whatever the
+    length of the stream. A batch that is tried again overwrites its own folders only.
+    """
+    tuned = presets.select(F.col("id").alias("preset_id"), "freq")
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*key, *order, "running", "preset_id").withColumn("_new", F.lit(True))
+        if batch_id:
+            before = spark.read.schema(batch.select(*key, *order, "running", "preset_id").schema).parquet(f"{path}/newest/batch_id={batch_id - 1}")
+            rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
+        latest(rows.drop("_new"), key, order).write.mode("overwrite").parquet(f"{path}/newest/batch_id={batch_id}")
+        edges = stop_edges(rows, key, order).filter("_new").join(tuned, "preset_id", "left")
+        events = signal_level_events(edges.withColumn("stream_id", F.concat_ws("/", *key)))
+        write_events(events, f"{path}/events", batch_id)
 
     return on_batch

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,32 +24,6 @@ def _with_key(df: DataFrame, key: list[str], fields: list[tuple[str, T.DataType]
     return T.StructType(cols + [T.StructField(n, t) for n, t in fields])
 
 
-class _Waiting:
-    """Values by number that wait in state for their turn; one read and one write per batch."""
-
-    def __init__(self, handle: StatefulProcessorHandle, name: str):
-        self.state = handle.getValueState(name, "at ARRAY<BIGINT>, n ARRAY<BIGINT>, sumsq ARRAY<DOUBLE>")
-
-    def load(self) -> dict[int, tuple[int, float]]:
-        if not self.state.exists():
-            return {}
-        at, n, sumsq = self.state.get()
-        return {i: (c, s) for i, c, s in zip(at, n, sumsq)}
-
-    def save(self, waiting: dict[int, tuple[int, float]]) -> None:
-        values = list(waiting.values())
-        self.state.update((list(waiting), [n for n, _ in values], [s for _, s in values]))
-
-
-def _merge(parts: dict[int, tuple[int, float]], pdf: pd.DataFrame) -> list[int]:
-    """Add a batch of partial frames; return the frames it touched, in order."""
-    sums = pdf.groupby("frame_idx")[["n", "sumsq"]].sum()
-    for idx, n, s in zip(sums.index.tolist(), sums["n"].tolist(), sums["sumsq"].tolist()):
-        n0, s0 = parts.get(idx, (0, 0.0))
-        parts[idx] = (int(n0 + n), float(s0 + s))
-    return sums.index.tolist()
-
-
 class VadSegments(StatefulProcessor):
     """Cuts at a pause once a segment is long enough, or at the longest length.
 
@@ -121,41 +96,6 @@ class VadSegments(StatefulProcessor):
         pass
 
 
-class FixedSegments(StatefulProcessor):
-    """Collects overlapping segments of fixed length; complete ones leave the state."""
-
-    def __init__(self, key: list[str], length: int, step: int):
-        self.key, self.length, self.step = key, length, step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = _Waiting(handle, "parts")
-        self.segments = _Waiting(handle, "segments")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts, out = self.frames.load(), []
-        segments = self.segments.load()
-        for pdf in rows:
-            for idx in _merge(parts, pdf):
-                if parts[idx][0] != dims.FRAME_SAMPLES:
-                    continue
-                s = parts.pop(idx)[1]
-                for seg in range(max(0, (idx - self.length) // self.step + 1), idx // self.step + 1):
-                    count, total = segments.get(seg, (0, 0.0))
-                    segments[seg] = (count + 1, total + s)
-                    if count + 1 == self.length:
-                        _, total = segments.pop(seg)
-                        at = seg * self.step
-                        rms = (total / (self.length * dims.FRAME_SAMPLES)) ** 0.5
-                        out.append((*key, seg, at, at + self.length - 1, rms))
-        self.segments.save(segments)
-        self.frames.save(parts)
-        if out:
-            yield pd.DataFrame(out, columns=[*self.key, "seg_no", "start_idx", "end_idx", "rms"])
-
-    def close(self) -> None:
-        pass
-
-
 def stream_vad_segments(
     parts: DataFrame, key: list[str] = ["stream_id"], silence: float = dims.SILENCE_RMS, late_frames: int = dims.LATE_FRAMES,
 ) -> DataFrame:
@@ -169,12 +109,20 @@ def stream_vad_segments(
 
 def stream_fixed_segments(
     parts: DataFrame, segment_s: int = dims.FIXED_SEGMENT_S, overlap_s: int = dims.FIXED_OVERLAP_S,
-    key: list[str] = ["stream_id"],
+    key: list[str] = ["stream_id"], started: str = "started", late: str = "120 seconds",
 ) -> DataFrame:
-    """Overlapping fixed segments of a stream of (partial) frames."""
-    big = T.LongType()
-    schema = _with_key(parts, key, [("seg_no", big), ("start_idx", big), ("end_idx", big), ("rms", T.DoubleType())])
-    rows = parts.select(*key, "frame_idx", "n", "sumsq")
-    processor = FixedSegments(key, segment_s * 10, (segment_s - overlap_s) * 10)
-    return rows.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    """Overlapping fixed segments of a stream of (partial) frames, in update mode: a row when a segment is complete.
+
+    ``started`` tells when a stream began, which gives every segment an event time. A segment that is still
+    not complete when the newest one of any stream began ``late`` after it is given up, and its state is dropped.
+    """
+    length, step = segment_s * 10, (segment_s - overlap_s) * 10
+    idx = F.col("frame_idx")
+    first = F.greatest(F.lit(0), F.floor((idx - length) / step) + 1).cast("bigint")
+    spread = parts.select(*key, started, "n", "sumsq", F.explode(F.sequence(first, F.floor(idx / step).cast("bigint"))).alias("seg_no"))
+    at = F.timestamp_micros(F.unix_micros(started) + F.col("seg_no") * (step * 100_000))
+    per = spread.withColumn("_at", at).withWatermark("_at", late).groupBy(*key, "seg_no", "_at").agg(
+        F.sum("n").alias("_n"), F.sum("sumsq").alias("_s"))
+    start = F.col("seg_no") * step
+    return per.filter(F.col("_n") == length * dims.FRAME_SAMPLES).select(
+        *key, "seg_no", start.alias("start_idx"), (start + length - 1).alias("end_idx"), F.sqrt(F.col("_s") / F.col("_n")).alias("rms"))

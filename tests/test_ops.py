@@ -220,3 +220,42 @@ def test_recent_transcripts_limit_below_the_shuffle(spark):
     out = T.recent_transcripts(t, 3)
     assert sorted(r.id for r in out.collect()) == [43, 44, 45, 46, 47, 48]
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_transcripts_wait_for_their_telemetry(spark, tmp_path):
+    """A transcript comes before the telemetry of its moment and is matched all the same."""
+    schema = "hex string, ts timestamp, seq bigint, flight string, altitude int, speed double, track double, lat double, lon double, vert_rate int, squawk string"
+    at = lambda s: f"2026-03-01 10:00:{s:02d}"
+
+    def states(*rows):
+        df = spark.createDataFrame([(h, at(s), i, f) for i, (h, s, f) in enumerate(rows)], "hex string, t string, seq bigint, flight string")
+        none = {c.split(" ")[0]: F.lit(None).cast(c.split(" ")[1]) for c in schema.split(", ")[4:]}
+        return df.withColumn("ts", F.to_timestamp("t")).drop("t").withColumns(none).select(*[c.split(" ")[0] for c in schema.split(", ")])
+
+    def said(*rows):
+        return spark.createDataFrame([(i, at(s), x) for i, s, x in rows], "transcript_id int, t string, text string").withColumn("ts", F.to_timestamp("t")).drop("t")
+
+    tracks, path = str(tmp_path / "track"), str(tmp_path / "out")
+    states(("A1", 1, "QXE21")).write.parquet(tracks)
+    track = lambda: spark.read.schema(schema).parquet(tracks)
+    handler = feeds.callsign_handler(track, path, late_s=2)
+    handler(said((1, 0, "QXE 21"), (2, 5, "QXE 21"), (3, 20, "SKW 7 hello"), (4, 6, "nothing")), 0)
+    found = lambda: sorted((r.transcript_id, r.hex) for r in spark.read.parquet(f"{path}/matches").collect())
+    assert found() == []  # the table only reaches second 1
+    states(("B2", 19, "SKW7"), ("A1", 21, None)).write.mode("append").parquet(tracks)
+    for _ in range(2):  # the second time as after a failure
+        handler(said((5, 30, "SKW 7")), 1)
+    assert found() == [(2, "A1")]
+    feeds.match_waiting(track(), path, 1)
+    assert found() == [(2, "A1"), (3, "B2"), (5, "B2")]
+
+
+def test_edges_across_batches(spark, tmp_path):
+    rows = [("x", 0, True, "kexp-fm"), ("y", 0, False, None), ("x", 1, False, "kexp-fm"), ("x", 2, False, "kexp-fm"), ("y", 2, True, None), ("x", 3, True, "?"), ("x", 4, False, "?")]
+    df = log(spark, [(s, r, p) for s, _, r, p in rows], "running boolean, preset_id string")
+    handler = feeds.edge_handler(readers.presets(spark), str(tmp_path))
+    for batch, (a, b) in enumerate(((0, 0), (1, 2), (2, 2), (3, 6))):
+        handler(df.filter(F.col("seq").between(a, b)) if batch != 2 else df.limit(0), batch)
+    handler(df.filter(F.col("seq").between(3, 6)), 3)
+    got = spark.read.parquet(f"{tmp_path}/events").orderBy("ts").collect()
+    assert [(r.key, int(r.ts.timestamp() - T0) // 700, r.payload) for r in got] == [("x", 2, '{"rms":0.0,"freq":"90.300M"}'), ("x", 6, '{"rms":0.0,"freq":""}')]

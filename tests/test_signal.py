@@ -135,7 +135,8 @@ def test_stream_segments_from_split_shuffled_frames(spark, random_streams, tmp_p
     for r in feeds.drained(segments.stream_vad_segments(s), "vad").collect():
         got.setdefault(r.stream_id, []).append((r.start_idx, r.end_idx))
     assert {k: sorted(got.get(k, [])) for k in streams} == {k: cuts(v) for k, v in streams.items()}
-    fixed = feeds.drained(segments.stream_fixed_segments(s), "fixed").select("stream_id", "seg_no", "start_idx", "end_idx")
+    begun = s.withColumn("started", F.lit("2026-01-01").cast("timestamp"))
+    fixed = feeds.drained(segments.stream_fixed_segments(begun, late="1 day"), "fixed", "update").select("stream_id", "seg_no", "start_idx", "end_idx")
     want = S.fixed_segments(df).select("stream_id", "seg_no", "start_idx", "end_idx")
     assert sorted(fixed.collect()) == sorted(want.collect())
 
@@ -164,6 +165,20 @@ def test_a_lost_frame_costs_a_gap(spark, tmp_path):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_fixed_segments_far_behind_are_given_up(spark, tmp_path):
+    """In order, every complete segment comes once; one that misses a frame never does, and its late frame changes nothing."""
+    frames = [i for i in range(2000) if i != 450]
+    for low in range(0, 2000, 250):
+        rows = [("a", i, 1600, 1600.0) for i in frames if low <= i < low + 250]
+        spark.createDataFrame(rows, "stream_id string, frame_idx bigint, n bigint, sumsq double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a", 450, 1600, 1600.0)], "stream_id string, frame_idx bigint, n bigint, sumsq double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("stream_id string, frame_idx bigint, n bigint, sumsq double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    s = s.withColumn("started", F.lit("2026-01-01").cast("timestamp"))
+    got = feeds.drained(segments.stream_fixed_segments(s, late="60 seconds"), "fixed", "update").collect()
+    assert sorted(r.seg_no for r in got) == [k for k in range(7) if not (280 * k <= 450 < 280 * k + 300)]
+    assert all(r.rms == 1.0 and r.end_idx == r.start_idx + 299 for r in got)
+
+
 def test_segment_mode(spark):
     modes = {r.id: r.segment_mode for r in S.segment_mode(readers.presets(spark)).collect()}
     assert [k for k, v in modes.items() if v == "fixed"] == ["noaa-seattle", "noaa-monterey", "noaa-portland"]
