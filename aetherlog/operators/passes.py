@@ -156,11 +156,21 @@ def starting(passes: DataFrame, ticks: DataFrame, tolerance_s: int = dims.START_
 
 
 def select_recordings(
-    passes: DataFrame, busy_s: int = dims.RECORD_S, key: list[str] = ["station"], span_s: int = 86400,
+    passes: DataFrame, busy_s: int = dims.RECORD_S, key: list[str] = ["station"], span_s: int | None = None,
+    rows_per_span: int = 2000,
 ) -> DataFrame:
-    """Passes a station can record, earliest first, none while another is being recorded."""
+    """Passes a station can record, earliest first, none while another is being recorded.
+
+    A task works on the passes that begin within ``span_s`` at one station. Unless given, the span is chosen so that the
+    busiest station has about ``rows_per_span`` of them in it: a day at most, a recording at least.
+    """
     one = passes.withColumn("_at", micros("aos")).groupBy(*key, "_at").agg(
         F.min_by(F.struct(*[c for c in passes.columns if c not in key]), "satellite").alias("p"))
+    if span_s is None:
+        rate = passes.groupBy(*key).agg(
+            (F.count(F.lit(1)) / F.greatest(F.lit(86400.0), (F.max(micros("aos")) - F.min(micros("aos"))) / SECOND)).alias("r"))
+        most = rate.agg(F.max("r")).first()[0] or 0.0
+        span_s = 86400 if most * 86400 <= rows_per_span else int(rows_per_span / most)
     jumps = one.select(*key, "_at", (F.col("_at") + busy_s * SECOND).alias("_free"))
     chosen = follow_chain(jumps, key, "_at", "_free", busy_s * SECOND, max(span_s, busy_s) * SECOND)
     return one.join(chosen.select(*key, "_at"), [*key, "_at"]).select(*key, "p.*")

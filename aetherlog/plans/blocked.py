@@ -32,6 +32,32 @@ def index_block(idx: str | Column, size: int = 36000) -> Column:
     return F.floor(idx / F.lit(size)).cast("bigint")
 
 
+ROWS_PER_BLOCK = "spark.aetherlog.rowsPerBlock"  # session setting: the rows of a block beyond which it is cut
+_CUTS = 256
+
+
+def cut_dense(rows: DataFrame, key: list[str], lead: str) -> DataFrame:
+    """Cut blocks with more rows than the session allows, at quantiles of the first order column.
+
+    Without the setting the blocks stay. Only blocks that are too full are sketched; each is cut into at most 256 parts, so that a
+    part of a block holds about the allowed number of rows up to 256 times that number. Rows of one instant stay together.
+    Results do not depend on the cuts.
+    """
+    limit = rows.sparkSession.conf.get(ROWS_PER_BLOCK, None)
+    if not limit:
+        return rows
+    part = [*key, BLOCK]
+    full = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > int(limit))
+    points = F.percentile_approx(lead, [i / _CUTS for i in range(1, _CUTS)])
+    # every k-th of the 255 quantiles, for about n / limit parts
+    step = F.greatest(F.lit(1), F.floor(F.lit(_CUTS) * int(limit) / F.max("_n"))).cast("int")
+    bounds = rows.select(*part, lead).join(full, part).groupBy(*part).agg(points.alias("_q"), step.alias("_step"))
+    bounds = bounds.select(*part, F.array_distinct(F.filter("_q", lambda q, i: (i + 1) % F.col("_step") == 0)).alias("_q"))
+    nth = F.coalesce(F.size(F.filter("_q", lambda q: q < F.col(lead))), F.lit(0))
+    return rows.join(bounds, part, "left").withColumn(
+        BLOCK, F.struct(F.col(BLOCK).alias("b"), F.when(F.col("_q").isNull(), 0).otherwise(nth).alias("part"))).drop("_q")
+
+
 def running(
     df: DataFrame,
     key: list[str],
@@ -53,7 +79,7 @@ def running(
     ``block`` must not decrease along ``order``; ``key`` and ``order`` must not be NULL.
     """
     part = [*key, BLOCK]
-    rows = df.withColumn(BLOCK, block)
+    rows = cut_dense(df.withColumn(BLOCK, block), key, order[0])
     inside = Window.partitionBy(*part).orderBy(*order)
     up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*key).orderBy(BLOCK)
@@ -138,7 +164,7 @@ def carry_in_sessions(
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     zero, place = F.lit(0).cast("bigint"), F.struct(*order)
 
-    rows = df.withColumns({BLOCK: block, "_at": at})
+    rows = cut_dense(df.withColumns({BLOCK: block, "_at": at}), key, order[0])
     step = F.col("_at") - F.lag("_at").over(inside)
     rows = rows.withColumn("_new", F.coalesce(step > gap, F.lit(False)))
     stamped = {n: F.when(v.isNotNull(), F.struct(F.col("_at").alias("at"), v.alias("v"))) for n, v in values.items()}

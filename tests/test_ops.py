@@ -259,3 +259,31 @@ def test_edges_across_batches(spark, tmp_path):
     handler(df.filter(F.col("seq").between(3, 6)), 3)
     got = spark.read.parquet(f"{tmp_path}/events").orderBy("ts").collect()
     assert [(r.key, int(r.ts.timestamp() - T0) // 700, r.payload) for r in got] == [("x", 2, '{"rms":0.0,"freq":"90.300M"}'), ("x", 6, '{"rms":0.0,"freq":""}')]
+
+
+def test_dense_blocks_are_cut_by_rows(spark):
+    """One station has a third of a dense hour: no part of a block holds much more than the setting, results are the same."""
+    from aetherlog.plans import blocked
+
+    rng = random.Random(4)
+    rows = [("hot", rng.randrange(600), i) for i in range(3000)] + [(rng.choice("abcdef"), rng.randrange(7200), 3000 + i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "station string, s bigint, seq bigint").withColumn("ts", F.timestamp_micros((F.col("s") + T0) * 1000000))
+    df = df.withColumn("kind", F.when(F.col("seq") % 5 == 0, "crash").when(F.col("seq") % 31 == 0, "reconnect").otherwise("ok"))
+    up = df.select(F.col("station").alias("hex"), "ts", "seq", F.when(F.col("seq") % 7 == 0, F.col("seq").cast("string")).alias("flight"), *[
+        F.lit(None).cast(t).alias(c) for c, t in (("altitude", "int"), ("speed", "double"), ("track", "double"), ("lat", "double"), ("lon", "double"), ("vert_rate", "int"), ("squawk", "string"))])
+
+    def results():
+        crashes = sorted((r.station, r.seq, r.crash_no) for r in M.crash_sequences(df).collect())
+        track = sorted((r.hex, r.seq, r.sighting, r.flight or "") for r in A.aircraft_track(up).collect())
+        return crashes, track
+
+    plain = results()
+    for limit in (20, 100, 1000):
+        spark.conf.set(blocked.ROWS_PER_BLOCK, str(limit))
+        try:
+            assert results() == plain
+            parts = blocked.cut_dense(df.withColumn(blocked.BLOCK, blocked.time_block("ts")), ["station"], "ts")
+            largest = parts.groupBy("station", blocked.BLOCK).count().agg(F.max("count")).first()[0]
+            assert largest <= 2 * limit + 20
+        finally:
+            spark.conf.unset(blocked.ROWS_PER_BLOCK)
