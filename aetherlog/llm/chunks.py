@@ -6,6 +6,7 @@ longer row, so the memory of a task does not depend on the rows per batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ PIECE = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
+try:  # blocks of 16 MB and more go back to the system when they are freed, instead of staying with the worker
+    ctypes.CDLL(None).mallopt(-3, 1 << 24)
+except (AttributeError, OSError):  # another C library
+    pass
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}

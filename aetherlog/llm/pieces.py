@@ -23,7 +23,7 @@ from aetherlog.llm.chunks import BASE, buffers, mix, pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_BATCH = 1 << 21
+_BATCH = 1 << 20
 
 
 @dataclass
@@ -234,7 +234,7 @@ def _encode_words(words: pa.Array, voc: Vocabulary) -> tuple[np.ndarray, np.ndar
     steps_of: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, order in word, id
     for size in np.unique(length):
         members = np.flatnonzero(length == size)
-        for m in np.array_split(members, max(1, len(members) * int(size) // 500_000)):
+        for m in np.array_split(members, max(1, len(members) * int(size) // 100_000)):
             points = chars[start[m][:, None] + np.arange(size)]
             back, piece = viterbi(points, voc)
             at, live, step = np.full(len(m), size), np.arange(len(m)), 0

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from aetherlog.llm.chunks import Piece, buffers, pieces
 from aetherlog.llm.shared import text_bytes
 
-GROUP_BYTES = 4 << 20    # text that one task holds at a time
+GROUP_BYTES = 2 << 20    # text that one task holds at a time
 BUCKET_BYTES = 8 << 20  # text for each bucket of anchors
+STRINGS = 100_000        # strings that are sorted at a time, but for an anchor with more
 _PIECE = 1 << 19
 _LOW = np.uint64(63)
 
@@ -265,7 +266,7 @@ def _factors(match_bytes: int):
         i = 0
         while i < len(edges):
             j = i + 1
-            while j < len(edges) and upto[edges[j + 1] if j + 1 < len(edges) else len(kept)] - upto[edges[i]] <= 400_000:
+            while j < len(edges) and upto[edges[j + 1] if j + 1 < len(edges) else len(kept)] - upto[edges[i]] <= STRINGS:
                 j += 1
             k = kept[edges[i]:edges[j] if j < len(edges) else len(kept)]
             owner = np.repeat(k, count[k])
