@@ -25,8 +25,8 @@ from aetherlog.llm.components import components
 from aetherlog.llm.shared import stored, text_bytes
 
 WORDS, PERCENT = 5, 80
-_BLOCK = 4 << 20        # bytes of text whose shingles a task counts together
-_BUCKET = 16 << 20      # bytes of text for each bucket of shingles
+_BLOCK = 2 << 20        # bytes of text whose shingles a task counts together
+_BUCKET = 8 << 20      # bytes of text for each bucket of shingles
 _PIECE = 1 << 19
 _SHARED = 0xFFFF        # in place of a member: the shingle is known to be shared
 
@@ -319,7 +319,7 @@ def similar_transcripts(transcripts: DataFrame, key: str = "transcript_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), lists], names=["rep", "n_shingles", "tokens"])
 
     sets = stored(body.mapInArrow(unpack, f"rep {kind}, n_shingles BIGINT, tokens ARRAY<BIGINT>").dropDuplicates(["rep"]), "jaccard-sets")
-    first = stored(family_links(sets, percent, shard_shingles), "jaccard-links")
+    first = stored(family_links(sets, percent, max(1, shard_shingles // 4)), "jaccard-links")
     comp = components(first)
     comp = stored(sets.select("rep").join(comp, F.col("rep") == F.col("node"), "left").select(
         "rep", F.coalesce("component", "rep").alias("comp")), "jaccard-components")
