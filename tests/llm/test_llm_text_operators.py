@@ -297,7 +297,7 @@ def test_minimax_shards(spark, frame, shards):
     got = sharding.minimax_shards(df, shards=shards, rows_per_cell=7).collect()
     source = {r["transcript_id"]: r["text"] for r in df.collect()}
     assert len(got) == df.count()
-    order = {r["text"] or "": r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = {r["text"] or "": r["h"] for r in df.select("text", sharding._order_key(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     group: dict[int, int] = {}
     load: dict[int, int] = {}
     slots: dict[int, list[int]] = {}
