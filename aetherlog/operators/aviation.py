@@ -274,6 +274,11 @@ def aircraft_as_of(
         s["ts"].alias("seen"), "matched_callsign")
 
 
+def matched_flights(as_of: DataFrame) -> DataFrame:
+    """Matches of :func:`aircraft_as_of` as :func:`match_flights` gives them: one row per transcript and flight in the air at its moment."""
+    return as_of.select("transcript_id", "hex", "flight", "matched_callsign")
+
+
 def match_events(matches: DataFrame, id_col: str = "transcript_id") -> DataFrame:
     """One row per transcript with its matched flights, ordered by aircraft."""
     cols = [c for c in matches.columns if c != id_col]

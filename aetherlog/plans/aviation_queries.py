@@ -168,6 +168,12 @@ def _matched(t):
     return A.match_flights(A.spoken_callsigns(recent, "transcript_id"), aloft)
 
 
+def _event_texts(matches):
+    e = A.match_events(matches)
+    texts = F.transform("matches", lambda m: F.concat_ws(":", m["hex"], m["matched_callsign"]))
+    return e.select("transcript_id", F.size("matches").alias("flights"), F.array_join(texts, ",").alias("matches"))
+
+
 @query("jn_3_match_flights", "track", "utterances", gap_us=GAP_US, sql=_MATCH + " SELECT * FROM matched")
 def _(t):
     return _matched(t)
@@ -176,9 +182,7 @@ def _(t):
 @query("agg_11_match_events", "track", "utterances", gap_us=GAP_US, sql=_MATCH + """ SELECT transcript_id, count(*) AS flights,
     string_agg(hex || ':' || matched_callsign, ',' ORDER BY hex) AS matches FROM matched GROUP BY 1""")
 def _(t):
-    e = A.match_events(_matched(t))
-    texts = F.transform("matches", lambda m: F.concat_ws(":", m["hex"], m["matched_callsign"]))
-    return e.select("transcript_id", F.size("matches").alias("flights"), F.array_join(texts, ",").alias("matches"))
+    return _event_texts(_matched(t))
 
 
 _ASOF = _CALLS + f""", held AS (SELECT t.transcript_id, t.ts, u.hex, max(u.us) AS us FROM utterances t
@@ -197,6 +201,30 @@ def _(t):
     return _asof(t)
 
 
+# JN-3 over every transcript, each with the aircraft in the air at its own moment: the as-of matches, flight by flight.
+_HEARD_BY = _ASOF + ", matched AS (SELECT transcript_id, hex, flight, matched_callsign FROM spoken_of)"
+
+
+def _matched_as_of(t):
+    return A.matched_flights(_asof(t))
+
+
+@query("jn_3_match_flights_as_of", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + " SELECT * FROM matched")
+def _(t):
+    return _matched_as_of(t)
+
+
+@query("agg_11_match_events_as_of", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + """ SELECT transcript_id, count(*) AS flights,
+    string_agg(hex || ':' || matched_callsign, ',' ORDER BY hex) AS matches FROM matched GROUP BY 1""")
+def _(t):
+    return _event_texts(_matched_as_of(t))
+
+
+@query("jn_11_highlightable_as_of", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + _live("cur", NOW) + " SELECT * FROM matched WHERE hex IN (SELECT hex FROM cur)")
+def _(t):
+    return A.highlightable(_matched_as_of(t), A.live_aircraft(t.updates(), _at(NOW), GAP)).select("transcript_id", "hex", "flight", "matched_callsign")
+
+
 @query("ext_13_highlight", "utterances", sql=_CALLS + r""", two AS (SELECT transcript_id, max(callsign) FILTER (pos = 0) AS a, max(callsign) FILTER (pos = 1) AS b FROM calls GROUP BY 1)
     SELECT transcript_id, regexp_replace(regexp_replace(text, '(?i)(' || coalesce(a, '\z.') || ')', '<b>\1</b>', 'g'), '(?i)(' || coalesce(b, '\z.') || ')', '<b>\1</b>', 'g') AS html
     FROM utterances LEFT JOIN two USING (transcript_id)""")

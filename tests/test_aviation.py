@@ -120,6 +120,17 @@ def test_as_of_uses_the_state_of_the_moment(spark):
     assert got == {(1, "A", "ASA412", 900), (2, "A", "DAL89", 900), (3, "A", "ASA412", 900), (3, "B", "ASA412", None), (4, "A", "ASA412", 900)}
 
 
+def test_registered_matches_reach_transcripts_of_every_day(spark):
+    from aetherlog.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    heard = QUERIES["jn_4_aircraft_as_of"](spark, folder).select("transcript_id", "ts", "hex").collect()
+    days = {r.transcript_id: r.ts.date() for r in heard}
+    got = QUERIES["jn_3_match_flights_as_of"](spark, folder).collect()
+    assert {(r.transcript_id, r.hex) for r in got} == {(r.transcript_id, r.hex) for r in heard}
+    assert len({days[r.transcript_id] for r in got}) > 10
+
+
 def test_texts(spark):
     df = spark.createDataFrame([
         ("A", "ASA1 ", 34960, 150.0, 359.6, 64, "1200"), ("B", None, 940, None, None, None, None), ("C", "", 0, 150.5, 0.0, -64, ""),
