@@ -4,6 +4,9 @@ Suffixes of a large collection cannot be sorted in one place, and most repeat no
 string of ``match_bytes`` bytes, so equal strings have equal anchors; only strings whose anchor occurs in two
 transcripts go on, to the task of their anchor. There their suffixes are sorted, and for each one the previous and
 the next suffix of an earlier transcript give the longest factor that occurs before it.
+
+At the edge of a passage that many transcripts share, one anchor has a different stretch in each of them. The strings of such an
+anchor are dealt out one by one, by a hash of all their bytes, with the smallest key that each group has them in.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from aetherlog.llm.shared import text_bytes
 GROUP_BYTES = 2 << 20    # text that one task holds at a time
 BUCKET_BYTES = 8 << 20  # text for each bucket of anchors
 STRINGS = 100_000        # strings that are sorted at a time, but for an anchor with more
+HOT = 16                 # an anchor with differing stretches in this many groups is dealt out string by string,
+HOT_GROUPS = 4_000       # and one that this many groups have
 _PIECE = 1 << 19
 _LOW = np.uint64(63)
 
@@ -82,15 +87,34 @@ def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table.column("key").combine_chunks(), data, offsets
 
 
+def _hashes(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges inside rows; ``row`` ascends."""
+    out = np.zeros(len(row), np.uint64)
+    for a, b in pieces(offsets, _PIECE):
+        i, j = np.searchsorted(row, a), np.searchsorted(row, b)
+        if j > i:
+            piece, base = Piece(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]), offsets[a]
+            out[i:j] = piece.spans(first[i:j] - base, stop[i:j] - base)
+    return out
+
+
 def _mark(buckets: int, match_bytes: int):
-    """Of a group: its distinct anchors by bucket, and which of them two of its transcripts have."""
+    """Of a group: its distinct anchors by bucket, which of them two of its transcripts have, and which have differing stretches."""
     def run(table: pa.Table) -> pa.Table:
         _, data, offsets = _group(table)
-        row, value, _, _ = anchors(data, offsets, match_bytes)
+        row, value, first, last = anchors(data, offsets, match_bytes)
         order = np.argsort(value, kind="stable")
-        value, row = value[order], row[order]
+        value, row, first, last = value[order], row[order], first[order], last[order]
         head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
         twice = np.minimum.reduceat(row, head) != np.maximum.reduceat(row, head) if len(head) else np.zeros(0, bool)
+        varied = np.zeros(len(head), bool)
+        many = np.diff(np.append(head, len(value)))
+        again = np.flatnonzero(np.repeat(many > 1, many))  # anchors that occur at one place only have one stretch
+        if len(again):
+            by_row = again[np.argsort(row[again], kind="stable")]
+            same = np.zeros(len(value), np.uint64)
+            same[by_row] = _hashes(data, offsets, row[by_row], first[by_row], last[by_row] + match_bytes)
+            varied = np.minimum.reduceat(same, head) != np.maximum.reduceat(same, head)
         value = value[head]
         order, edges = _bucketed(value, buckets)
         full = np.flatnonzero(np.diff(edges))
@@ -98,23 +122,28 @@ def _mark(buckets: int, match_bytes: int):
         return pa.table({
             "bucket": pa.array(full, pa.int32()), "g": pa.array([table.column("g")[0].as_py()] * len(full), pa.int64()),
             "tokens": pa.array([value[c].astype(np.uint32).tobytes() for c in cut], pa.binary()),
-            "twice": pa.array([np.packbits(twice[c]).tobytes() for c in cut], pa.binary())})
+            "twice": pa.array([np.packbits(twice[c]).tobytes() for c in cut], pa.binary()),
+            "varied": pa.array([np.packbits(varied[c]).tobytes() for c in cut], pa.binary())})
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each group's anchors a bit that tells whether two transcripts have it."""
+    """Of a bucket: for each group's anchors a bit that tells whether two transcripts have it, and one for those dealt out string by string."""
     tokens = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(x, np.uint8))[:len(t)] for x, t in zip(table.column("twice").to_pylist(), tokens)]
-    token, flag = np.concatenate(tokens), np.concatenate(twice)
+
+    def flags(name: str) -> np.ndarray:
+        return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:len(t)] for x, t in zip(table.column(name).to_pylist(), tokens)])
+    token, twice, varied = np.concatenate(tokens), flags("twice"), flags("varied")
     order = np.argsort(token, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
     many = np.diff(np.append(head, len(token)))
-    shared = np.empty(len(token), bool)
-    shared[order] = np.repeat((many > 1) | (np.maximum.reduceat(flag[order], head) > 0), many)
+    shared, hot = np.empty(len(token), bool), np.empty(len(token), bool)
+    shared[order] = np.repeat((many > 1) | (np.maximum.reduceat(twice[order], head) > 0), many)
+    hot[order] = np.repeat((many >= HOT_GROUPS) | (np.add.reduceat(varied[order].astype(np.int64), head) >= HOT), many)
     ends = np.cumsum([len(t) for t in tokens])
-    bits = [np.packbits(shared[e - len(t):e]).tobytes() for t, e in zip(tokens, ends)]
-    return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+    bits, hots = ([np.packbits(x[e - len(t):e]).tobytes() for t, e in zip(tokens, ends)] for x in (shared, hot))
+    return pa.table({
+        "g": table.column("g"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary()), "hot": pa.array(hots, pa.binary())})
 
 
 def _merged(row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +166,7 @@ def _packed(numbers: np.ndarray) -> bytes:
 def _contexts(buckets: int, match_bytes: int):
     """Of a group: the distinct stretches of text around repeated anchors, by bucket.
 
-    A stretch is sent for the smallest key of the group that has it. For the other transcripts that have it, all of it is a repeat.
+    A stretch, or a string of an anchor that is dealt out string by string, is sent for the smallest key of the group that has it. For the other transcripts that have it, all of it is a repeat.
     """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ("bucket", "g", "values", "keys", "starts", "counts", "body", "cut")
@@ -148,20 +177,23 @@ def _contexts(buckets: int, match_bytes: int):
         row, value, first, last = anchors(data, offsets, match_bytes)
         distinct, which = np.unique(value, return_inverse=True)
         order, edges = _bucketed(distinct, buckets)
-        shared = np.zeros(len(distinct), bool)
-        for b, bits in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist()):
+        shared, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+        for b, bits, hots in zip(*(right.column(c).to_pylist() for c in ("bucket", "bits", "hot"))):
             part = order[edges[b]:edges[b + 1]]
             shared[part] = np.unpackbits(np.frombuffer(bits, np.uint8))[:len(part)].astype(bool)
+            hot[part] = np.unpackbits(np.frombuffer(hots, np.uint8))[:len(part)].astype(bool)
         null = keys.is_null().to_numpy(zero_copy_only=False)
         hit = shared[which] & ~null[row]
-        row, value, first, last = row[hit], value[hit], first[hit], last[hit]
+        row, value, first, last, hot = row[hit], value[hit], first[hit], last[hit], hot[which][hit]
         number = keys.fill_null(0).to_numpy(zero_copy_only=False)
-        same = np.zeros(len(row), np.uint64)
-        for a, b in pieces(offsets, _PIECE):
-            i, j = np.searchsorted(row, a), np.searchsorted(row, b)
-            if j > i:
-                piece, base = Piece(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]), offsets[a]
-                same[i:j] = piece.spans(first[i:j] - base, last[i:j] + match_bytes - base)
+        if hot.any():  # a string is a stretch of its own, its hash takes the place of the anchor's
+            count = np.where(hot, last - first + 1, 1)
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            row, value, first, last, hot = (np.repeat(x, count) for x in (row, value, first, last, hot))
+            first = first + nth
+            last = np.where(hot, first, last)
+        same = _hashes(data, offsets, row, first, last + match_bytes)
+        value = np.where(hot, same >> np.uint64(6), value)
         _, rep, which = np.unique(same, return_index=True, return_inverse=True)  # rows are in order of key: the first has the smallest
         later = number[row] > number[row[rep]][which]
         crow, cfirst, cstop = _merged(row[later], first[later], last[later] + match_bytes)
@@ -333,8 +365,8 @@ def remove_repeats(transcripts: DataFrame, key: str = "transcript_id", text: str
     number = F.col(key).cast("bigint")
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = transcripts.select(F.pmod(F.xxhash64(number), F.lit(groups)).alias("g"), number.alias("key"), body.alias("body"))
-    marked = rows.groupBy("g").applyInArrow(_mark(buckets, match_bytes), "bucket INT, g BIGINT, tokens BINARY, twice BINARY")
-    shared = marked.groupBy("bucket").applyInArrow(_repeated, "g BIGINT, bucket INT, bits BINARY")
+    marked = rows.groupBy("g").applyInArrow(_mark(buckets, match_bytes), "bucket INT, g BIGINT, tokens BINARY, twice BINARY, varied BINARY")
+    shared = marked.groupBy("bucket").applyInArrow(_repeated, "g BIGINT, bucket INT, bits BINARY, hot BINARY")
     around = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(
         _contexts(buckets, match_bytes),
         "bucket INT, g BIGINT, values BINARY, keys BINARY, starts BINARY, counts BINARY, body BINARY, cut BINARY")

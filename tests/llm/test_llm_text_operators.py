@@ -250,6 +250,38 @@ def test_remove_repeats_in_many_groups(spark, monkeypatch):
     assert {i: (bytes(r["kept"]), len(r["spans"])) for i, r in got.items()} == want
 
 
+def test_hot_anchor_is_dealt_out():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choice(letters) for _ in range(120))
+    rows = [(i, "".join(rng.choice(letters) for _ in range(90)) + passage + "".join(rng.choice(letters) for _ in range(90))) for i in range(400)]
+    rows[350] = (350, rows[3][1])
+    rows[351] = (351, "other " + rows[351][1][60:])
+    groups, buckets, n = 40, 8, 50
+    parts = {g: pa.table({"g": pa.array([g] * 10, pa.int64()), "key": pa.array([r[0] for r in rows[g::groups]], pa.int64()),
+                          "body": pa.array([r[1].encode() for r in rows[g::groups]], pa.binary())}) for g in range(groups)}
+
+    def by(tables, column):
+        t = pa.concat_tables([t for t in tables if t.num_rows])
+        return {v: t.filter(pa.array([x == v for x in t.column(column).to_pylist()])) for v in set(t.column(column).to_pylist())}
+    shared = by([repeats._repeated(t) for t in by([repeats._mark(buckets, n)(t) for t in parts.values()], "bucket").values()], "g")
+    around = by([repeats._contexts(buckets, n)(parts[g], shared[g]) for g in shared], "bucket")
+    most = 0
+    for t in around.values():
+        values = np.concatenate([np.frombuffer(v, np.uint64) for v in t.column("values").to_pylist()])
+        most = max(most, np.unique(values, return_counts=True)[1].max())
+    assert most <= groups  # one task no longer takes a stretch of every transcript with the passage
+    cuts = by([repeats._factors(n)(t) for t in around.values()], "g")
+    got = {}
+    for g, t in parts.items():
+        empty = pa.table({"cut": pa.array([], pa.binary())})
+        got |= {r["key"]: (r["kept"], len(r["spans"])) for r in repeats._cut(t, cuts.get(g, empty)).to_pylist()}
+    assert got == c.without_repeats(rows)
+
+
 def test_remove_repeats_edges(spark):
     body = "a sentence that is long enough to be looked at by the operator, certainly"
     rows = [(None, body), (None, body), (4, body), (4, body), (7, body), (8, body[:49]), (9, None), (10, "")]
