@@ -31,13 +31,14 @@ LEAVES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _CLOSES_P = BLOCK - {"br", "body", "html", "head"}
 _PARTS = re.compile(r"[^a-z]+")
+_HEAD = frozenset("base link meta noscript script style template title".split())  # what a head may hold
 
 
 class _Line:
-    __slots__ = ("text", "tags", "linked", "path", "item")
+    __slots__ = ("text", "tags", "linked", "path", "item", "named", "title")
 
-    def __init__(self, path: tuple[int, ...], item: bool):
-        self.text, self.tags, self.linked, self.path, self.item = [], 0, 0, path, item
+    def __init__(self, path: tuple[int, ...], item: bool, named: tuple[int, ...] = (), title: bool = False):
+        self.text, self.tags, self.linked, self.path, self.item, self.named, self.title = [], 0, 0, path, item, named, title
 
 
 class PageLines(HTMLParser):
@@ -51,11 +52,14 @@ class PageLines(HTMLParser):
         self.skipped = 0
         self.in_link = 0
         self.mains: set[int] = set()
+        self.named: dict[int, bool] = {}  # elements named like a part around the article: whether a whole name says so
+        self.holders: set[int] = set()    # those of them with an article or main element inside
         self._fresh()
 
     def _fresh(self) -> None:
         path = tuple(n for t, n, _ in self.open if t in BLOCK and t not in LEAVES)
-        self.line = _Line(path, any(t == "li" for t, _, _ in self.open))
+        named = tuple(n for _, n, _ in self.open if n in self.named)
+        self.line = _Line(path, any(t == "li" for t, _, _ in self.open), named, any(t == "h1" for t, _, _ in self.open))
 
     def _break(self) -> None:
         if self.line.text:
@@ -65,22 +69,27 @@ class PageLines(HTMLParser):
     def _is_skipped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in SKIPPED:
             return True
-        if tag in ("html", "body", "article", "main"):
-            return tag == "article" and self._named(attrs)
-        if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.open)
-        return self._named(attrs)
+        if tag in ("html", "body", "main"):
+            return False
+        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
+            return True
+        return any(name == "role" and value and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
+                   for name, value in attrs)
 
     @staticmethod
-    def _named(attrs: list[tuple[str, str | None]]) -> bool:
-        for name, value in attrs:
-            if name in ("class", "id") and value and not PAGE_PARTS.isdisjoint(_PARTS.split(value.lower())):
-                return True
-            if name == "role" and value and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+    def _name(tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
+        """Whether a class or id names a part around the article as a whole (``cookie-notice``) or in part (``has-sidebar``); else None."""
+        if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
+            return None
+        words = [w for name, value in attrs if name in ("class", "id") and value for w in value.lower().split()]
+        parts = [[x for x in _PARTS.split(w) if x] for w in words]
+        if any(x and PAGE_PARTS.issuperset(x) for x in parts):
+            return True
+        return None if all(PAGE_PARTS.isdisjoint(x) for x in parts) else False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _HEAD and self.open and self.open[-1][0] == "head":
+            self._close("head")
         if tag in BLOCK:
             if tag in _CLOSES_P and any(t == "p" for t, _, _ in self.open[-3:]):
                 self._close("p")
@@ -95,8 +104,12 @@ class PageLines(HTMLParser):
         self.open.append((tag, self.count, skip))
         self.skipped += skip
         self.in_link += tag == "a"
+        name = self._name(tag, attrs)
         if tag in ("article", "main") or ("role", "main") in attrs:
+            self.holders.update(n for _, n, _ in self.open[:-1] if n in self.named)
             self.mains.add(self.count)
+        if name is not None:
+            self.named[self.count] = name
         if tag in BLOCK:
             self._fresh()
             self.line.tags = 1
@@ -126,6 +139,9 @@ class PageLines(HTMLParser):
             self._fresh()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close("head")
+            self._fresh()
         if self.skipped:
             return
         self.line.text.append(data)
@@ -147,6 +163,37 @@ def smoothed_ratios(lengths: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -
     return np.convolve(ratio, kernel, "full")[reach:reach + len(ratio)] / weight
 
 
+def _clusters(found: list[tuple[str, _Line]], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each line, and whether it is in the content cluster."""
+    length = np.array([len(t) for t, _ in found], float)
+    ratio = smoothed_ratios(length, np.array([x.tags for _, x in found], float), sigma)
+    return length, ratio >= min(float(np.std(ratio)), float(ratio.max()))
+
+
+def _without_parts(page: PageLines, found: list[tuple[str, _Line]], sigma: float) -> list[tuple[str, _Line]]:
+    """The lines without those of elements that their names and the content cluster tell to be around the article.
+
+    An element stays if it holds an article or main element or at least half of the cluster's text. Else it goes if a
+    whole name says so; a part of a name is enough if no line of it is in the cluster or most of its text is linked, and it holds no h1.
+    """
+    if not any(x.named for _, x in found):
+        return found
+    length, content = _clusters(found, sigma)
+    total, lines = float((length * content).sum()), {}
+    for i, (_, x) in enumerate(found):
+        for n in x.named:
+            lines.setdefault(n, []).append(i)
+    gone = set()
+    for n, at in lines.items():
+        weight = float((length[at] * content[at]).sum())
+        if n in page.holders or 2 * weight >= total:
+            continue
+        linked = sum(found[i][1].linked for i in at) > 0.5 * float(length[at].sum())
+        if page.named[n] or (not weight or linked) and not any(found[i][1].title for i in at):
+            gone.add(n)
+    return [(t, x) for t, x in found if gone.isdisjoint(x.named)]
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The page's main text: its blocks in order, white space inside them reduced, joined by a blank.
 
@@ -158,12 +205,10 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     page = PageLines()
     for i in range(0, len(html), FEED):
         page.feed(html[i:i + FEED])
-    found = page.finish()
+    found = _without_parts(page, page.finish(), sigma)
     if not found:
         return ""
-    length = np.array([len(t) for t, _ in found], float)
-    ratio = smoothed_ratios(length, np.array([x.tags for _, x in found], float), sigma)
-    content = ratio >= min(float(np.std(ratio)), float(ratio.max()))
+    length, content = _clusters(found, sigma)
     weight: dict[int, float] = {}
     for (_, line), n, inside in zip(found, length, content):
         for node in line.path:

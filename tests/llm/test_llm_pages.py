@@ -101,6 +101,27 @@ def test_article_without_its_surroundings(shell):
     assert extraction.main_text(page) == " ".join(ARTICLE)
 
 
+@pytest.mark.parametrize("shell", [
+    "<div class='site-content has-sidebar'><article>{}</article></div>", "<div class='container no-sidebar'>{}</div>",
+    "<div class='site-content has-sidebar'><div>{}</div></div>", "<div class=sidebar><main>{}</main></div>"])
+def test_a_name_does_not_take_the_article(shell):
+    page = f"<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8></head><body>{AROUND[0]}{AROUND[3]}{shell.format(INNER)}{AROUND[6]}</body></html>"
+    assert extraction.main_text(page) == " ".join(ARTICLE)
+
+
+def test_named_parts_of_the_article_stay():
+    long = "A paragraph of the article that is long enough to be seen as content by all means, as it goes on and on."
+    page = ("<article><div class='post-header'><h1>Title</h1></div><p>{0}</p><h2 id='related-work'>Related work</h2><p>{0}</p>"
+            "<section id='search-results'><h2>Results</h2><p>{0}</p></section><p>{0}</p></article>").format(long)
+    assert extraction.main_text(page) == f"Title {long} Related work {long} Results {long} {long}"
+
+
+def test_head_without_an_end():
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><script>var x</script>"):
+        assert extraction.main_text(f"<!DOCTYPE html>{start}<article>{INNER}</article>") == " ".join(ARTICLE)
+    assert extraction.main_text("<head><title>T</title>words without a body") == "words without a body"
+
+
 def test_bare_and_broken_pages():
     assert extraction.main_text("") == "" and extraction.main_text("<p></p>") == ""
     assert extraction.main_text("just text &lt;3 &eacute") == "just text <3 é"
