@@ -1,4 +1,4 @@
-"""Repeated passages of whole lines: winnowing over line hashes, and extension of what it finds.
+"""Repeated passages of whole lines: windows of lines that meet by hashes of the whole window.
 
 The main path uses DataFrame functions only.
 """
@@ -25,11 +25,11 @@ def spoken_lines(transcripts: DataFrame, key: str = "transcript_id", text: str =
 
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """Winnowing: for each line the shortest window of ``min_words`` words that begins, and that ends, with it.
+    """For each line the shortest window of ``min_words`` words that begins, and that ends, with it.
 
-    Returns key, digest, first and last (positions), seed (the window's smallest line hash, its
-    guaranteed fingerprint), ahead and behind (hashes of what extends the seed both ways). A run of ``min_words`` words
-    is the union of such windows, so two equal runs share the fingerprint of each of them.
+    Returns key, digest, first and last (positions), seed (the window's smallest line hash),
+    ahead and behind (hashes of the lines on both sides of it); the three stand for the whole window, and none is left out. A run of
+    ``min_words`` words is the union of such windows, so two equal runs share the hashes of each of them.
     """
     doc = Window.partitionBy("key", "digest").orderBy("pos")
     twin = F.lag("pos").over(doc)  # a repeated row brings every line twice
@@ -58,7 +58,7 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
 def repeated_runs(transcripts: DataFrame, key: str = "transcript_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """Runs of lines that repeat earlier ones: key, digest, runs (array of first and last position).
 
-    Occurrences meet by their fingerprint and by what extends it both ways; the first one, by key and
+    Occurrences meet by the hashes of their whole window; the first one, by key and
     position, is kept, and every later one that does not overlap it is a repeat. Overlapping repeats form one run.
     No pair of occurrences is ever made: a passage that a third of all transcripts share costs one row per occurrence.
     """
