@@ -16,7 +16,6 @@ from aetherlog.sources import readers
 GAP = 86400
 GAP_US = GAP * 1000000
 NOW, BEFORE, SOON = "2024-01-20 00:00:00", "2024-01-15 00:00:00", "2024-01-03 00:00:00"
-HEARD = "2024-01-02 00:00:00"  # the derived transcripts of every size reach this moment
 _FIELDS = ["flight", "altitude", "speed", "track", "lat", "lon", "vert_rate", "squawk"]
 _COLS = ", ".join(_FIELDS)
 
@@ -156,35 +155,12 @@ def _(t):
     return _calls(t).select("callsign").distinct()
 
 
-# Transcripts of the last day before the snapshot, matched with the aircraft in the air at it.
-_MATCH = _live("aloft", HEARD) + _CALLS + f""", matched AS (SELECT transcript_id, hex, flight, arg_min(callsign, pos) AS matched_callsign FROM calls, aloft
-    WHERE trim(flight) <> '' AND (contains(upper(trim(flight)), callsign) OR contains(callsign, upper(trim(flight))))
-    AND transcript_id IN (SELECT transcript_id FROM utterances WHERE us > {_us(HEARD)} - {GAP_US} AND us <= {_us(HEARD)}) GROUP BY 1, 2, 3)"""
-
-
-def _matched(t):
-    recent = _spoken(t).filter((F.col("ts") > _at(HEARD) - F.expr("INTERVAL 1 DAY")) & (F.col("ts") <= _at(HEARD)))
-    aloft = A.live_aircraft(t.updates(), _at(HEARD), GAP).select("hex", "flight")
-    return A.match_flights(A.spoken_callsigns(recent, "transcript_id"), aloft)
-
-
 def _event_texts(matches):
     e = A.match_events(matches)
     texts = F.transform("matches", lambda m: F.concat_ws(":", m["hex"], m["matched_callsign"]))
     return e.select("transcript_id", F.size("matches").alias("flights"), F.array_join(texts, ",").alias("matches"))
 
 
-@query("jn_3_match_flights", "track", "utterances", gap_us=GAP_US, sql=_MATCH + " SELECT * FROM matched")
-def _(t):
-    return _matched(t)
-
-
-@query("agg_11_match_events", "track", "utterances", gap_us=GAP_US, sql=_MATCH + """ SELECT transcript_id, count(*) AS flights,
-    string_agg(hex || ':' || matched_callsign, ',' ORDER BY hex) AS matches FROM matched GROUP BY 1""")
-def _(t):
-    return _event_texts(_matched(t))
-
-
 _ASOF = _CALLS + f""", held AS (SELECT t.transcript_id, t.ts, u.hex, max(u.us) AS us FROM utterances t
     JOIN track u ON u.us BETWEEN t.us - {GAP_US} AND t.us GROUP BY 1, 2, 3),
 spoken_of AS (SELECT h.transcript_id, h.ts, h.hex, {", ".join("any_value(u." + c + ") AS " + c for c in _FIELDS)}, any_value(u.ts) AS seen, arg_min(callsign, pos) AS matched_callsign
@@ -202,6 +178,7 @@ def _(t):
 
 
 # JN-3 over every transcript, each with the aircraft in the air at its own moment: the as-of matches, flight by flight.
+# The names with ``_as_of`` are the same queries under the names they had before.
 _HEARD_BY = _ASOF + ", matched AS (SELECT transcript_id, hex, flight, matched_callsign FROM spoken_of)"
 
 
@@ -210,17 +187,21 @@ def _matched_as_of(t):
 
 
 @query("jn_3_match_flights_as_of", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + " SELECT * FROM matched")
+@query("jn_3_match_flights", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + " SELECT * FROM matched")
 def _(t):
     return _matched_as_of(t)
 
 
 @query("agg_11_match_events_as_of", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + """ SELECT transcript_id, count(*) AS flights,
     string_agg(hex || ':' || matched_callsign, ',' ORDER BY hex) AS matches FROM matched GROUP BY 1""")
+@query("agg_11_match_events", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + """ SELECT transcript_id, count(*) AS flights,
+    string_agg(hex || ':' || matched_callsign, ',' ORDER BY hex) AS matches FROM matched GROUP BY 1""")
 def _(t):
     return _event_texts(_matched_as_of(t))
 
 
 @query("jn_11_highlightable_as_of", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + _live("cur", NOW) + " SELECT * FROM matched WHERE hex IN (SELECT hex FROM cur)")
+@query("jn_11_highlightable", "track", "utterances", gap_us=GAP_US, sql=_HEARD_BY + _live("cur", NOW) + " SELECT * FROM matched WHERE hex IN (SELECT hex FROM cur)")
 def _(t):
     return A.highlightable(_matched_as_of(t), A.live_aircraft(t.updates(), _at(NOW), GAP)).select("transcript_id", "hex", "flight", "matched_callsign")
 
@@ -245,11 +226,6 @@ def _(t):
     return prev.subtract(cur)
 
 
-@query("jn_11_highlightable", "track", "utterances", gap_us=GAP_US, sql=_MATCH + _live("cur", NOW) + " SELECT * FROM matched WHERE hex IN (SELECT hex FROM cur)")
-def _(t):
-    return A.highlightable(_matched(t), A.live_aircraft(t.updates(), _at(NOW), GAP)).select("transcript_id", "hex", "flight", "matched_callsign")
-
-
 @query("str_10_active_highlights", "track", "utterances", gap_us=GAP_US, sql=_ASOF + f" SELECT transcript_id, hex FROM spoken_of WHERE ts BETWEEN TIMESTAMP '{SOON}' - INTERVAL 10 HOURS AND TIMESTAMP '{SOON}'")
 def _(t):
     # the time band of the highlights reaches both sides before they are matched

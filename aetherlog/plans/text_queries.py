@@ -360,16 +360,17 @@ def _(t):
 
 
 @query("src_7_transcripts", "weather", "presets", sql="""SELECT stream_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(p.freq) AS tuned,
-    CAST(sum(length(text)) AS BIGINT) AS chars FROM weather w LEFT JOIN presets p ON p.id = w.preset_id GROUP BY 1""")
+    count(DISTINCT transcript_id) AS ids, count(CASE WHEN transcript_id % 2 = 0 THEN 'en' END) AS with_language, CAST(sum(length(text)) AS BIGINT) AS chars FROM weather w LEFT JOIN presets p ON p.id = w.preset_id GROUP BY 1""")
 def _(t):
     """Transcripts written to the shared folder and read back by their reader."""
     heard = C.with_preset(t.weather(), t.presets()).select(
-        "stream_id", "ts", "preset_id", "freq", "label", "text", F.lit(100.0).alias("rms"))
+        "transcript_id", "stream_id", "ts", "preset_id", "freq", "label", F.when(F.col("transcript_id") % 2 == 0, "en").alias("language"),
+        "text", F.lit(100.0).alias("rms"))
     path = shared_folder(t.spark, "transcripts")
     heard.write.parquet(path)
     return readers.transcripts(t.spark, path).groupBy("stream_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("freq").alias("tuned"),
-        F.sum(F.length("text")).alias("chars"))
+        F.count_distinct("transcript_id").alias("ids"), F.count("language").alias("with_language"), F.sum(F.length("text")).alias("chars"))
 
 
 # --- scalars -------------------------------------------------------------------------------------------

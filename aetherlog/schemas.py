@@ -4,7 +4,8 @@ PCM_CHUNKS = "stream_id STRING, seq BIGINT, ts TIMESTAMP, pcm BINARY"
 FRAMES = "stream_id STRING, frame_idx BIGINT, n INT, sumsq DOUBLE, rms DOUBLE"
 SEGMENTS = "stream_id STRING, start_idx BIGINT, end_idx BIGINT"
 TRANSCRIPTS = (
-    "stream_id STRING, ts TIMESTAMP, preset_id STRING, freq STRING, label STRING, text STRING, rms DOUBLE"
+    "transcript_id BIGINT, stream_id STRING, ts TIMESTAMP, preset_id STRING, freq STRING, label STRING, language STRING, "
+    "text STRING, rms DOUBLE"
 )
 SBS_LINES = "value STRING, ts TIMESTAMP, seq BIGINT"
 UPDATES = (
