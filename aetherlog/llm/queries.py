@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aetherlog.llm import decontamination, extraction, jaccard, line_dedup, pieces, repeats, sharding, warc
+from aetherlog.llm import decontamination, extraction, jaccard, line_dedup, pieces, repeats, resampling, sharding, warc
 from aetherlog.llm import quality_classifier as classifier
 from aetherlog.llm import quality_rules as rules
 
@@ -86,7 +86,14 @@ def op10_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op7_quality_classifier, op8_quality_rules, op9_sentencepiece, op10_suffix_repeats)}
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    out = resampling.resample(_transcripts(spark, folder), _benchmark(spark, folder))
+    return out.select(F.col("transcript_id").cast("bigint").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op7_quality_classifier, op8_quality_rules, op9_sentencepiece, op10_suffix_repeats,
+                                   op11_importance_resampling)}
 ORACLE: dict[str, str] = {"op1_warc": warc.reference_sql(), "op4_ngram_jaccard": jaccard.reference_sql(),
                           "op5_line_dedup": line_dedup.reference_sql(), "op6_sharding": sharding.reference_sql(),
-                          "op10_suffix_repeats": repeats.reference_sql(), "op3_html_extraction": extraction.reference_sql()}
+                          "op10_suffix_repeats": repeats.reference_sql(), "op3_html_extraction": extraction.reference_sql(),
+                          "op11_importance_resampling": resampling.reference_sql()}
