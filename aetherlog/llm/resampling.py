@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import ahocorasick
@@ -63,8 +64,12 @@ def scan(part: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0], found[:, 1]
 
 
-def _zero_byte() -> np.ndarray:
-    """What one more zero byte makes of each bit of a CRC."""
+@cache
+def _zero_bytes(power: int) -> np.ndarray:
+    """What ``2 ** power`` more zero bytes make of each bit of a CRC."""
+    if power:
+        half = _zero_bytes(power - 1)
+        return _apply(half, half)
     bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
     for _ in range(8):
         bits = np.where(bits & np.uint32(1), (bits >> np.uint32(1)) ^ np.uint32(_POLYNOMIAL), bits >> np.uint32(1))
@@ -81,11 +86,10 @@ def _apply(columns: np.ndarray, crc: np.ndarray) -> np.ndarray:
 def compose(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Payloads of the texts ``left + right`` from the payloads of both."""
     crc, length = (left & 0xFFFFFFFF).astype(np.uint32), right >> 32
-    columns, rest = _zero_byte(), length.copy()
-    while rest.any():
-        odd = (rest & 1).astype(bool)
-        crc[odd] = _apply(columns, crc[odd])
-        columns, rest = _apply(columns, columns), rest >> 1
+    for power in range(int(length.max(initial=0)).bit_length()):
+        odd = (length >> power & 1).astype(bool)
+        if odd.any():
+            crc[odd] = _apply(_zero_bytes(power), crc[odd])
     return ((left >> 32) + length) << 32 | (crc ^ (right & 0xFFFFFFFF).astype(np.uint32)).astype(np.int64)
 
 

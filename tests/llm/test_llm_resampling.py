@@ -80,8 +80,8 @@ def test_resample_odd_rows(spark, heard):
 
 def test_long_texts_are_cut_between_words(monkeypatch):
     rng = random.Random(2)
-    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 9, 2000]))) for _ in range(rng.randrange(1, 60))) for _ in range(12)] + [None, "", "ab"]
-    for piece, run in ((64, 1), (64, 3), (1 << 19, 3)):
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 9, 1100]))) for _ in range(rng.randrange(1, 60))) for _ in range(12)] + [None, "", "ab"]
+    for piece, run in ((64, 1), (3000, 3), (1 << 19, 3)):
         monkeypatch.setattr(R, "PIECE", piece)
         found = {i: [] for i in range(len(texts))}
         words = np.zeros(len(texts), int)
