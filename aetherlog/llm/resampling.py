@@ -48,15 +48,17 @@ def _segments(texts: pa.Array) -> Iterator[tuple[int, bytes]]:
 
 def scan(part: bytes) -> tuple[np.ndarray, np.ndarray]:
     """``(end, payload)`` of every word of a delimited text, in order; a payload is ``length << 32 | crc``."""
-    words = set(part.split())
+    words = list(set(part.split()))
+    loads = np.array([len(w) << 32 | zlib.crc32(w) for w in words], np.int64)
     found = np.zeros((0, 2), np.int64)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for w in words:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)  # these hold 32 bits: an entry keeps the place of its payload
+    for i, w in enumerate(words):
         if len(w) <= _LONG:
-            automaton.add_word(f" {w.decode('latin-1')} ", len(w) << 32 | zlib.crc32(w))
+            automaton.add_word(f" {w.decode('latin-1')} ", i)
     if len(automaton):
         automaton.make_automaton()
         found = np.fromiter(chain.from_iterable(automaton.iter(part.decode("latin-1"))), np.int64).reshape(-1, 2)
+        found[:, 1] = loads[found[:, 1]]
     if max(map(len, words), default=0) > _LONG:
         far = [(m.end(), (m.end() - m.start()) << 32 | zlib.crc32(m[0])) for m in _LONG_WORDS.finditer(part)]
         found = np.concatenate([found, np.array(far, np.int64)])
