@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aetherlog.llm import alignment, decontamination, extraction, jaccard, line_dedup, pieces, repeats, resampling, sharding, warc
+from aetherlog.llm import alignment, decontamination, extraction, jaccard, line_dedup, pieces, repeats, resampling, sharding, toxicity, warc
 from aetherlog.llm import quality_classifier as classifier
 from aetherlog.llm import quality_rules as rules
 
@@ -91,12 +91,19 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("transcript_id").cast("bigint").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _transcripts(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("transcript_id"), "toxic")
+    out = toxicity.score_transcripts(docs, toxicity.train(docs, labels))
+    return out.withColumnRenamed("transcript_id", "doc_id")
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.token_links(_transcripts(spark, folder)).withColumnRenamed("transcript_id", "doc_id").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_ngram_jaccard, op5_line_dedup, op6_sharding, op7_quality_classifier, op8_quality_rules, op9_sentencepiece, op10_suffix_repeats,
-                                   op11_importance_resampling, op13_token_alignment)}
+                                   op11_importance_resampling, op12_toxicity, op13_token_alignment)}
 ORACLE: dict[str, str] = {"op1_warc": warc.reference_sql(), "op4_ngram_jaccard": jaccard.reference_sql(),
                           "op5_line_dedup": line_dedup.reference_sql(), "op6_sharding": sharding.reference_sql(),
                           "op10_suffix_repeats": repeats.reference_sql(), "op3_html_extraction": extraction.reference_sql(),

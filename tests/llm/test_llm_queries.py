@@ -10,8 +10,9 @@ import pytest
 from compare import compare, duck
 from pyspark.sql import functions as F
 
-from aetherlog.llm import pieces, quality_rules
+from aetherlog.llm import alignment, pieces, quality_rules
 from aetherlog.llm.queries import ORACLE, QUERIES
+from test_llm_alignment import got, plain
 
 FOLDER = "/root/testdata/sf0.001"
 ITEM = "an item of the evaluation set that must not be found in any document that goes on to the training of models"
@@ -59,7 +60,8 @@ def kept(texts: dict) -> set:
 
 def test_queries_without_sql(spark, folder):
     path, texts = folder
-    assert set(QUERIES) - set(ORACLE) == {"op2_decontamination", "op7_quality_classifier", "op8_quality_rules", "op9_sentencepiece"}
+    assert set(QUERIES) - set(ORACLE) == {"op2_decontamination", "op7_quality_classifier", "op8_quality_rules", "op9_sentencepiece",
+                                          "op12_toxicity", "op13_token_alignment"}
     found = {(r.doc_id, r.item_id) for r in QUERIES["op2_decontamination"](spark, path).collect()}
     assert found == {(i, 7) for i, t in texts.items() if ITEM in (t or "")}
     rules = {r.doc_id: r for r in QUERIES["op8_quality_rules"](spark, path).collect()}
@@ -74,6 +76,12 @@ def test_queries_without_sql(spark, folder):
     assert {r.doc_id for r in scored} == set(texts)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in scored)
 
+    abuse = QUERIES["op12_toxicity"](spark, path).collect()
+    assert {r.doc_id for r in abuse} == set(texts) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in abuse)
+    with open(alignment.BYTE_BPE, "rb") as f, open(alignment.PIECE_BPE, "rb") as g:
+        files = f.read(), g.read()
+    assert got(QUERIES["op13_token_alignment"](spark, path), "doc_id") == plain(list(texts.items()), files)
+
 
 def test_pipeline_equals_plain_stages(spark, folder):
     path, texts = folder
