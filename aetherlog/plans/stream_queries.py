@@ -16,7 +16,7 @@ from aetherlog.plans.registry import query
 from aetherlog.plans.store import stored
 from aetherlog.session import shared_folder
 from aetherlog.sources import readers, sinks
-from aetherlog.streaming import aircraft, feeds, segments
+from aetherlog.streaming import aircraft, correlation, feeds, segments
 
 
 def _stream_of(df, purpose: str, files: int = 4, order: str | None = None):
@@ -109,18 +109,37 @@ def _(t):
     return t.spark.read.parquet(f"{path}/events").select("key", "ts", "payload")
 
 
-@query("str_6_callsign_matches", "track", "utterances", gap_us=AQ.GAP_US, sql=AQ._ASOF + " SELECT transcript_id, hex, matched_callsign FROM spoken_of")
+_CLOCK = "2024-04-01 00:00:00"  # a row of this time ends a stream, so that the watermark passes all rows before
+
+
+def _sliced(df, purpose: str, at, files: int):
+    """A stream that gets one slice of a table per micro-batch, by when its rows arrive; a slice is as many files as Spark writes."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, purpose)
+    rows = stored(df.withColumn("_at", at.cast("double")), purpose + "-rows")
+    edges = rows.approxQuantile("_at", [i / files for i in range(1, files)], 0.01)
+    nth = sum(((F.col("_at") > e).cast("int") for e in edges), F.lit(0))
+    for n in range(files):
+        rows.filter(nth == n).drop("_at").write.mode("append").parquet(f"{path}/slice={n}")
+    return path
+
+
+@query("str_6_callsign_matches", "track", "utterances", gap_us=AQ.GAP_US, sql=AQ._ASOF + " SELECT transcript_id, hex, seen, matched_callsign FROM spoken_of")
 def _(t):
-    """Transcripts come first, the second half of the telemetry after them; all are matched in the end."""
-    spark, path, tracks = t.spark, shared_folder(t.spark, "matches"), shared_folder(t.spark, "track")
-    track = stored(A.aircraft_track(t.updates(), AQ.GAP), "states")
-    noon = F.lit("2024-01-10 12:00:00").cast("timestamp")
-    track.filter(F.col("ts") <= noon).write.parquet(tracks)
-    handler = feeds.callsign_handler(lambda: spark.read.schema(track.schema).parquet(tracks), path, AQ.GAP)
-    feeds.start(_stream_of(t.utterances(), "utterances", 2), on_batch=handler).awaitTermination()
-    track.filter(F.col("ts") > noon).write.mode("append").parquet(tracks)
-    feeds.match_waiting(spark.read.schema(track.schema).parquet(tracks), path, 1, AQ.GAP)
-    return spark.read.parquet(f"{path}/matches").select("transcript_id", "hex", "matched_callsign")
+    """Two streams of several batches. A tenth of the telemetry comes half a day late, after transcripts it belongs to."""
+    spark, clock = t.spark, F.lit(_CLOCK).cast("timestamp")
+    track = A.aircraft_track(t.updates(), AQ.GAP)
+    said = t.utterances()
+    late = F.when(F.col("seq") % 10 == 3, F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    streams = []
+    for df, purpose, at in ((said, "utterances", F.col("ts")), (track, "track", F.col("ts") + late)):
+        path = _sliced(df, purpose, F.unix_micros(at), 4)
+        null = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in ("ts", "hex", "transcript_id")]
+        spark.range(1).select(*null, *[F.lit("0").cast(df.schema[c].dataType).alias(c) for c in ("hex", "transcript_id") if c in df.columns],
+                              clock.alias("ts")).select(*df.columns).write.parquet(f"{path}/slice=4")
+        reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8)
+        streams.append(reader.parquet(path))
+    out = correlation.stream_callsign_matches(*streams, AQ.GAP, "1 day")
+    return feeds.drained(out, "matches").select("transcript_id", "hex", "seen", "matched_callsign")
 
 
 @query("str_7_weather_feed", "weather", "presets", sql=TQ._HEARD_FIELDS + TQ._HEARD_ALERTS + f""" SELECT event, key, ts, alert_names, said FROM ({TQ._EVENT})
