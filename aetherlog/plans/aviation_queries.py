@@ -77,6 +77,25 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("flight").alias("named"))
 
 
+@query("src_2_line_numbers", "sbs_lines", sql="""SELECT k, s, count(*) AS n, min(line) AS first_line, max(line) AS last_line, CAST(sum(line) AS BIGINT) AS total
+    FROM (SELECT seq // 5000 AS k, seq % 7 AS s, row_number() OVER (PARTITION BY seq // 5000 ORDER BY seq) - 1 AS line FROM sbs_lines) GROUP BY 1, 2""")
+def _(t):
+    """Telemetry files in the order of their messages, each read in many splits: every line gets its own number."""
+    spark, path = t.spark, shared_folder(t.spark, "telemetry")
+    lines = t.sbs_lines().select(F.concat_ws("#", "value", F.col("seq").cast("string")).alias("value"), F.floor(F.col("seq") / 5000).alias("k"), "seq")
+    lines.repartition("k").sortWithinPartitions("k", "seq").select("value", "k").write.partitionBy("k").text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
+    try:
+        numbered = readers.numbered_lines(spark, path)  # writes the lines, split as set here
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    own = F.regexp_extract("value", "#([0-9]+)$", 1).cast("bigint")
+    rows = numbered.select(F.floor(own / 5000).alias("k"), (own % 7).alias("s"), F.col("seq").alias("line"))
+    return rows.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"),
+                                      F.sum("line").alias("total"))
+
+
 @query("sc_8_safe_numbers", "sbs_lines", sql="""SELECT seq, TRY_CAST(trim(string_split(value, ',')[12]) AS INTEGER) AS as_int,
     TRY_CAST(nullif(trim(string_split(value, ',')[13]), '') AS DOUBLE) AS as_double FROM sbs_lines""")
 def _(t):

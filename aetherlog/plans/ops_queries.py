@@ -8,6 +8,7 @@ from aetherlog.functions import display as D
 from aetherlog.operators import control as C
 from aetherlog.operators import metrics as M
 from aetherlog.plans.registry import query
+from aetherlog.sources import sinks
 
 
 # --- inference metrics ---------------------------------------------------------------------------
@@ -89,6 +90,25 @@ def _(t):
     return M.latest(t.status(), ["station"], ["ts", "seq"]).select("station", "seq", "ts", "running", "preset_id")
 
 
+@query("snk_1_mode_events", "status", sql="""SELECT CAST(station AS VARCHAR) AS key, ts, mode, sdr_connected AS sdr_available, CASE WHEN seq % 3 = 0 THEN 'none' ELSE 'cpu' END AS transcriber_backend, adsb_enabled FROM status""")
+def _(t):
+    status = t.status().withColumn("transcriber_backend", F.when(F.col("seq") % 3 != 0, "cpu"))
+    fields = "mode string, sdr_available boolean, transcriber_backend string, adsb_enabled boolean"
+    return sinks.mode_events(status).select("key", "ts", F.from_json("payload", fields).alias("p")).select("key", "ts", "p.*")
+
+
+@query("snk_1_error_events", "status", "health", sql="""SELECT CAST(station AS VARCHAR) AS key, ts, CASE WHEN now THEN 'SDR dongle reconnected.' ELSE 'SDR dongle disconnected. Plug it back in to auto-recover.' END AS message,
+    CASE WHEN now THEN NULL ELSE true END AS recoverable, CASE WHEN now THEN 'sdr_reconnected' ELSE 'sdr_disconnect' END AS type
+    FROM (SELECT station, ts, sdr_connected AS now, lag(sdr_connected, 1, true) OVER (PARTITION BY station ORDER BY us, seq) AS was FROM status) WHERE now <> was
+    UNION ALL SELECT CAST(station AS VARCHAR), ts, CASE WHEN n <= 3 THEN 'Audio source crashed — auto-restarting (attempt ' || n || '/3)...' ELSE 'Audio source crashed after 3 retries. Use Retry to restart.' END, true, 'process_crash'
+    FROM (SELECT station, ts, kind, sum(CASE WHEN kind = 'crash' THEN 1 ELSE 0 END) OVER (PARTITION BY station, part ORDER BY us, seq) AS n
+        FROM (SELECT *, sum(CASE WHEN kind = 'reconnect' THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY us, seq) AS part FROM health)) WHERE kind = 'crash'""")
+def _(t):
+    errors = sinks.connection_error_events(M.connection_edges(t.status())).union(sinks.crash_error_events(M.crash_sequences(t.health())))
+    fields = "message string, recoverable boolean, type string"
+    return errors.select("key", "ts", F.from_json("payload", fields).alias("p")).select("key", "ts", "p.*")
+
+
 # --- presets -------------------------------------------------------------------------------------------
 
 @query("jn_1_with_preset", "status", "presets", sql="""SELECT seq, preset_id, freq, label, category, CASE WHEN id IS NULL THEN 'Unknown preset' END AS error

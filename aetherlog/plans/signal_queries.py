@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from aetherlog.functions import display as D
 from aetherlog.operators import signal as S
 from aetherlog.plans.registry import query
-from aetherlog.sources import readers
+from aetherlog.session import shared_folder
+from aetherlog.sources import readers, recordings
 
 SILENCE, SIGNAL, QUIET = 35.0, 45.0, 10.0
 
@@ -27,9 +28,22 @@ def _chunks(t):
     return readers.pcm_chunks(t.recordings())
 
 
-@query("src_1_pcm_chunks", sql=_CHUNKS + " SELECT stream_id, seq, length(h) // 2 AS bytes, md5(h) AS digest FROM chunks")
+# Recordings as files: the documents' bytes one after the other, a hundred a file.
+_FILES = """WITH recordings AS (SELECT doc_id // 100 AS stream_id, string_agg(text, '' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+chunks AS (SELECT stream_id, seq, substr(h, CAST(seq * 8192 + 1 AS BIGINT), 8192) AS h
+    FROM (SELECT stream_id, hex(encode(body)) AS h, unnest(range(0, (strlen(body) + 4095) // 4096)) AS seq FROM recordings))"""
+
+
+@query("src_1_pcm_chunks", sql=_FILES + " SELECT stream_id, seq, length(h) // 2 AS bytes, md5(h) AS digest FROM chunks")
 def _(t):
-    return _chunks(t).select("stream_id", "seq", F.length("pcm").cast("bigint").alias("bytes"), F.md5(F.hex("pcm").cast("binary")).alias("digest"))
+    """Written as recordings and read back, each by several tasks."""
+    path = shared_folder(t.spark, "recordings")
+    texts = t.read("documents").groupBy(F.floor(F.col("doc_id") / 100).cast("bigint").alias("stream_id")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    recordings.write_recordings(texts.select("stream_id", F.encode(F.array_join("d.text", ""), "UTF-8").alias("content")), path)
+    chunks = readers.read_pcm(t.spark, path, block_bytes=1 << 17)
+    return chunks.select(F.regexp_extract("stream_id", r"([0-9]+)\.raw$", 1).cast("bigint").alias("stream_id"), "seq",
+                         F.length("pcm").cast("bigint").alias("bytes"), F.md5(F.hex("pcm").cast("binary")).alias("digest"))
 
 
 @query("agg_1_frame_energy", sql=_FRAMES + " SELECT stream_id, frame_idx, n, sumsq, round(sqrt(sumsq / n), 4) AS rms FROM pcm_frames")

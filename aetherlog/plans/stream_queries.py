@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from aetherlog.operators import aviation as A
 from aetherlog.operators import metrics as M
+from aetherlog.operators import passes as P
 from aetherlog.operators import signal as S
+from aetherlog.operators import transcripts as T
+from aetherlog.operators import control as C
 from aetherlog.plans import aviation_queries as AQ
 from aetherlog.plans import derived
 from aetherlog.plans import signal_queries as SQ
@@ -15,7 +18,7 @@ from aetherlog.plans.blocked import numbered, time_block
 from aetherlog.plans.registry import query
 from aetherlog.plans.store import stored
 from aetherlog.session import shared_folder
-from aetherlog.sources import readers, sinks
+from aetherlog.sources import readers, sinks, tables
 from aetherlog.streaming import aircraft, correlation, feeds, segments
 
 
@@ -205,3 +208,74 @@ def _(t):
     chunks = _stream_of(readers.pcm_chunks(t.recordings()), "chunks", 3, "seq")
     return feeds.drained(segments.stream_vad_segments(S.frame_parts(chunks), silence=1e9), "chunk-segments").select(
         "stream_id", "start_idx", "end_idx")
+
+
+# --- sinks -------------------------------------------------------------------------------------------
+
+@query("snk_3_upserted_status", "status", sql="SELECT station, seq, ts, running, preset_id FROM status QUALIFY row_number() OVER (PARTITION BY station ORDER BY us DESC, seq DESC) = 1")
+def _(t):
+    """The current-state table of a stream of five batches, one of which is tried twice; its rows arrive in any order."""
+    spark, path = t.spark, shared_folder(t.spark, "status-table")
+    status = t.status().select("station", "seq", "ts", "running", "preset_id")
+    arrives = _sliced(status, "status", F.pmod(F.xxhash64("seq"), F.lit(1000)), 5)
+    handler = tables.upsert_handler(path, ["station"], ["ts", "seq"], buckets=8)
+
+    def twice(batch, batch_id: int) -> None:
+        handler(batch, batch_id)
+        if batch_id == 2:
+            handler(batch, batch_id)
+
+    stream = spark.readStream.schema(status.schema).option("maxFilesPerTrigger", 4).parquet(arrives).select(*status.columns)
+    feeds.start(stream, on_batch=twice).awaitTermination()
+    return tables.current(spark, path, status.schema)
+
+
+def _all_events(t):
+    """Events of all twelve names."""
+    presets, status, log = t.presets(), C.effective_tuning(t.status()), t.inference_log()
+    backend = F.when(F.col("seq") % 2 == 0, "cpu").otherwise("hailo")
+    newest = log.groupBy("stream_id").agg(F.max("ts").alias("ts"))
+    heard = t.utterances().join(A.match_events(A.matched_flights(AQ._asof(t))), "transcript_id")
+    levels = t.events().select(F.col("event_type").alias("stream_id"), "ts", F.col("value").alias("rms"), F.lit(None).cast("string").alias("freq"))
+    flights = A.live_aircraft(t.updates(), AQ._at(AQ.NOW), AQ.GAP)
+    images = P.images_with_pass(P.parse_image_name(t.images()), t.passes(), ["station", "satellite"], "here")
+    parts = [
+        sinks.transcript_events(t.weather().withColumn("rms", F.lit(1.5)), presets), sinks.signal_level_events(levels),
+        sinks.inference_events(M.inference_totals(log).join(newest, "stream_id")), sinks.weather_events(T.heard_reports(t.weather(), presets)),
+        sinks.callsign_match_events(heard), sinks.aircraft_events(flights),
+        sinks.pass_events(P.with_frequency(P.notices(t.passes(), t.ticks(), station=["station"]))), sinks.image_events(images),
+        sinks.status_events(status, presets), sinks.mode_events(status.withColumn("transcriber_backend", backend)),
+        sinks.connection_error_events(M.connection_edges(t.status())), sinks.crash_error_events(M.crash_sequences(t.health()))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_EDGES = "SELECT ts, sdr_connected, lag(sdr_connected, 1, true) OVER (PARTITION BY station ORDER BY us, seq) AS was FROM status"
+_COUNTS = f""", counted AS (
+    SELECT event, ts FROM ({TQ._EVENT})
+    UNION ALL SELECT 'transcript', ts FROM weather
+    UNION ALL SELECT 'signal_level', ts FROM ev
+    UNION ALL SELECT 'inference_stats', max(ts) FROM inference_log GROUP BY stream_id
+    UNION ALL SELECT 'callsign_match', ts FROM (SELECT DISTINCT transcript_id, ts FROM spoken_of)
+    UNION ALL SELECT 'adsb_update', seen FROM live
+    UNION ALL SELECT 'satellite_pass_upcoming', to_timestamp(min(tick_us) / 1000000) AT TIME ZONE 'UTC' FROM passes p JOIN ticks k ON k.station = p.station
+        AND aos_us - tick_us > 0 AND aos_us - tick_us <= 600000000 GROUP BY p.station, p.satellite, p.aos
+    UNION ALL SELECT 'apt_image_ready', pass_ts FROM images
+    UNION ALL SELECT 'status', ts FROM status
+    UNION ALL SELECT 'mode', ts FROM status
+    UNION ALL SELECT 'error', ts FROM health WHERE kind = 'crash'
+    UNION ALL SELECT 'error', ts FROM ({_EDGES}) WHERE was <> sdr_connected)
+    SELECT event, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM counted GROUP BY 1"""
+
+
+@query("snk_1_all_events", "weather", "presets", "ev", "inference_log", "track", "utterances", "passes", "ticks", "images", "status", "health",
+       gap_us=AQ.GAP_US, sql=TQ._HEARD_FIELDS + TQ._HEARD_ALERTS + AQ._ASOF + AQ._live("live", AQ.NOW) + _COUNTS)
+def _(t):
+    """All twelve events through the committed sink, over several batches, and read back."""
+    spark, path = t.spark, shared_folder(t.spark, "all-events")
+    events = _stream_of(_all_events(t), "events", 3)
+    sinks.stream_events(events, path, shared_folder(spark, "checkpoint")).awaitTermination()
+    return sinks.read_events(spark, path).groupBy("event").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

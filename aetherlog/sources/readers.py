@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aetherlog import dims, schemas
 from aetherlog.functions.text import strip_ws
+from aetherlog.plans.store import stored
+from aetherlog.sources import recordings
 
 
 # --- audio -------------------------------------------------------------------------------
@@ -22,22 +24,18 @@ def pcm_chunks(recordings: DataFrame, content: str = "content", chunk_bytes: int
 
 
 def read_pcm(spark: SparkSession, path: str, chunk_bytes: int = dims.CHUNK_BYTES, streaming: bool = False,
-             max_files_per_trigger: int | None = None) -> DataFrame:
-    """Chunks of raw 16-bit mono recordings; one file is one stream.
+             block_bytes: int = recordings.BLOCK_BYTES, max_bytes_per_trigger: int | None = None, quiet_s: float = 60) -> DataFrame:
+    """Chunks ``(stream_id, ts, seq, pcm)`` of raw 16-bit mono recordings; one file is one stream, of any size.
 
-    A file is one row for Spark, so recorders should rotate files (an hour of
-    audio is 115 MB). A stream reads at most ``max_files_per_trigger`` files
-    per batch and never drops any.
+    A file is read in ranges of ``block_bytes``, a task each. A stream follows growing files: whole chunks at once, the short
+    one at the end after ``quiet_s`` seconds; a recording that goes on after that sends its last chunk again. Nothing is dropped.
     """
+    spark.dataSource.register(recordings.PcmRecordings)
+    reader = (spark.readStream if streaming else spark.read).format(recordings.FORMAT)
+    reader = reader.option("chunkBytes", chunk_bytes).option("blockBytes", block_bytes)
     if streaming:
-        reader = spark.readStream.format("binaryFile").schema(schemas.BINARY_FILE)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    else:
-        reader = spark.read.format("binaryFile")
-    files = reader.load(path).select(
-        F.col("path").alias("stream_id"), F.col("modificationTime").alias("ts"), "content")
-    return pcm_chunks(files, "content", chunk_bytes)
+        reader = reader.option("quietSeconds", quiet_s).option("maxBytesPerTrigger", max_bytes_per_trigger or 0)
+    return reader.load(path)
 
 
 # --- text --------------------------------------------------------------------------------
@@ -56,19 +54,40 @@ def telemetry_time(value: str | Column, received: str | Column) -> Column:
     return F.coalesce(own, F.col(received) if isinstance(received, str) else received)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``(value, seq, received_at, file)`` of text files; ``seq`` is the line's number in its file, blank lines counted.
+
+    A file is split among tasks. Each split knows where it begins and its lines' order, so the lines are written once as
+    they are read, counted per split, and numbered from the counts of the splits before. No file is sorted or in one task.
+    """
+    at = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        "value", at["file_path"].alias("file"), at["file_modification_time"].alias("received_at"),
+        at["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"))
+    rows = stored(raw, "lines")
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row per split
+    return rows.join(splits, ["file", "split"]).select(
+        "value", (F.col("base") + F.col("at") - F.col("first")).alias("seq"), "received_at", "file")
+
+
 def read_sbs(spark: SparkSession, path: str, streaming: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
     """Telemetry lines ``(value, ts, seq, file)`` from text files (or a stream of them), ready for ``parse_sbs``.
 
-    ``seq`` is the line's number in its file. A file is one row for Spark, so that lines can be numbered without
-    a shuffle: stations should rotate files, as with recordings.
+    ``seq`` is the line's number in its file. In batch a file may have any size, see :func:`numbered_lines`. A stream takes each
+    file, which a station has closed by then, as one row, so that its lines can be numbered without state.
     """
-    reader = spark.readStream if streaming else spark.read
-    if streaming and max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    files = reader.format("text").option("wholetext", True).schema("value STRING").load(path).select(
-        "value", F.col("_metadata.file_modification_time").alias("received_at"), F.col("_metadata.file_path").alias("file"))
-    lines = frame_lines(files)
-    return lines.select("value", telemetry_time("value", "received_at").alias("ts"), F.col("line_no").cast("bigint").alias("seq"), "file")
+    if streaming:
+        reader = spark.readStream
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        files = reader.format("text").option("wholetext", True).schema("value STRING").load(path).select(
+            "value", F.col("_metadata.file_modification_time").alias("received_at"), F.col("_metadata.file_path").alias("file"))
+        lines = frame_lines(files).withColumnRenamed("line_no", "seq")
+    else:
+        lines = numbered_lines(spark, path).withColumn("value", strip_ws("value")).filter(F.length("value") > 0)
+    return lines.select("value", telemetry_time("value", "received_at").alias("ts"), F.col("seq").cast("bigint").alias("seq"), "file")
 
 
 def newest_per(df: DataFrame, key: list[str], age: str | Column) -> DataFrame:
