@@ -126,7 +126,7 @@ def _sliced(df, purpose: str, at, files: int):
     return path
 
 
-@query("str_6_callsign_matches", "track", "utterances", gap_us=AQ.GAP_US, sql=AQ._ASOF + " SELECT transcript_id, hex, seen, matched_callsign FROM spoken_of")
+@query("str_6_callsign_matches", "track", "utterances", gap_us=AQ.GAP_US, sql=AQ._ASOF + f" SELECT transcript_id, ts, hex, {AQ._COLS}, seen, matched_callsign FROM spoken_of")
 def _(t):
     """Two streams of several batches. A tenth of the telemetry comes half a day late, after transcripts it belongs to."""
     spark, clock = t.spark, F.lit(_CLOCK).cast("timestamp")
@@ -142,7 +142,7 @@ def _(t):
         reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8)
         streams.append(reader.parquet(path))
     out = correlation.stream_callsign_matches(*streams, AQ.GAP, "1 day")
-    return feeds.drained(out, "matches").select("transcript_id", "hex", "seen", "matched_callsign")
+    return feeds.drained(out, "matches")
 
 
 @query("str_7_weather_feed", "weather", "presets", sql=TQ._HEARD_FIELDS + TQ._HEARD_ALERTS + f""" SELECT event, key, ts, alert_names, said FROM ({TQ._EVENT})
