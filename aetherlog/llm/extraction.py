@@ -6,6 +6,7 @@ The library's records hold no web pages, so this works on any table with a page'
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,6 +28,11 @@ PAGE_PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
     "promoted promotion related replies reply search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+# of these a part of a name is as good as the whole (``comment-list``, ``share-buttons``); the others also name pages and layouts
+_ALWAYS = frozenset("ads advert adverts advertisement comment comments consent cookie cookies disqus newsletter popup promo promoted replies "
+                    "share sharing sponsor sponsored subscribe".split())
+_READERS = frozenset("comment comments disqus replies".split())
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 LEAVES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li option p pre summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _CLOSES_P = BLOCK - {"br", "body", "html", "head"}
@@ -35,31 +41,34 @@ _HEAD = frozenset("base link meta noscript script style template title".split())
 
 
 class _Line:
-    __slots__ = ("text", "tags", "linked", "path", "item", "named", "title")
+    """Text between block tags: how many tags it has, how much of it is linked, and the innermost element it stands in."""
 
-    def __init__(self, path: tuple[int, ...], item: bool, named: tuple[int, ...] = (), title: bool = False):
-        self.text, self.tags, self.linked, self.path, self.item, self.named, self.title = [], 0, 0, path, item, named, title
+    __slots__ = ("text", "tags", "linked", "node", "item", "title")
+
+    def __init__(self, node: int, item: bool, title: bool):
+        self.text, self.tags, self.linked, self.node, self.item, self.title = [], 0, 0, node, item, title
+
+
+_WEAK, _STRONG, _READER = 1, 2, 3  # how surely a name stands for a part around the article
 
 
 class PageLines(HTMLParser):
-    """Turns parser events into lines of text between block tags, with the tags and the linked characters of each."""
+    """Turns parser events into lines of text between block tags. Elements are numbered as they open; ``parent`` has the one around each."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, number, skipped
-        self.count = 0
+        self.opened: Counter = Counter()  # how many of a tag are open
+        self.parent = [-1]
+        self.layout = [True]  # whether an element can be a region: a block that holds blocks
         self.skipped = 0
-        self.in_link = 0
-        self.mains: set[int] = set()
-        self.named: dict[int, bool] = {}  # elements named like a part around the article: whether a whole name says so
-        self.holders: set[int] = set()    # those of them with an article or main element inside
+        self.mains: dict[int, bool] = {}  # article (False) and main elements (True)
+        self.named: dict[int, int] = {}  # elements named like a part around the article, and how surely
         self._fresh()
 
     def _fresh(self) -> None:
-        path = tuple(n for t, n, _ in self.open if t in BLOCK and t not in LEAVES)
-        named = tuple(n for _, n, _ in self.open if n in self.named)
-        self.line = _Line(path, any(t == "li" for t, _, _ in self.open), named, any(t == "h1" for t, _, _ in self.open))
+        self.line = _Line(self.open[-1][1] if self.open else 0, self.opened["li"] > 0, self.opened["h1"] > 0)
 
     def _break(self) -> None:
         if self.line.text:
@@ -71,21 +80,23 @@ class PageLines(HTMLParser):
             return True
         if tag in ("html", "body", "main"):
             return False
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
+        if tag == "header" and not self.opened["article"] and not self.opened["main"]:
             return True
         return any(name == "role" and value and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
-                   for name, value in attrs)
+                   or name == "style" and value and _HIDDEN.search(value) for name, value in attrs)
 
     @staticmethod
-    def _name(tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
-        """Whether a class or id names a part around the article as a whole (``cookie-notice``) or in part (``has-sidebar``); else None."""
+    def _name(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """How surely a class or id names a part around the article: as a whole (``cookie-notice``) or in part (``has-sidebar``); 0: not."""
         if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
-            return None
+            return 0
         words = [w for name, value in attrs if name in ("class", "id") and value for w in value.lower().split()]
         parts = [[x for x in _PARTS.split(w) if x] for w in words]
-        if any(x and PAGE_PARTS.issuperset(x) for x in parts):
-            return True
-        return None if all(PAGE_PARTS.isdisjoint(x) for x in parts) else False
+        if not _READERS.isdisjoint(x for p in parts for x in p):
+            return _READER
+        if any(p and (PAGE_PARTS.issuperset(p) or not _ALWAYS.isdisjoint(p)) for p in parts):
+            return _STRONG
+        return 0 if all(PAGE_PARTS.isdisjoint(p) for p in parts) else _WEAK
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in _HEAD and self.open and self.open[-1][0] == "head":
@@ -99,17 +110,17 @@ class PageLines(HTMLParser):
         self.line.tags += 1
         if tag in VOID:
             return
-        self.count += 1
+        node = len(self.parent)
+        self.parent.append(self.open[-1][1] if self.open else 0)
+        self.layout.append(tag in BLOCK and tag not in LEAVES)
         skip = self._is_skipped(tag, attrs)
-        self.open.append((tag, self.count, skip))
-        self.skipped += skip
-        self.in_link += tag == "a"
-        name = self._name(tag, attrs)
         if tag in ("article", "main") or ("role", "main") in attrs:
-            self.holders.update(n for _, n, _ in self.open[:-1] if n in self.named)
-            self.mains.add(self.count)
-        if name is not None:
-            self.named[self.count] = name
+            self.mains[node] = tag != "article"
+        if name := self._name(tag, attrs):
+            self.named[node] = name
+        self.open.append((tag, node, skip))
+        self.opened[tag] += 1
+        self.skipped += skip
         if tag in BLOCK:
             self._fresh()
             self.line.tags = 1
@@ -120,14 +131,19 @@ class PageLines(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag not in BLOCK and any(t in BLOCK for t, _, _ in self.open[i:]):
-                    return  # an inline end tag does not close blocks
-                for t, _, s in self.open[i:]:
-                    self.skipped -= s
-                    self.in_link -= t == "a"
-                del self.open[i:]
+        if not self.opened[tag]:
+            return
+        if tag not in BLOCK:  # an inline end tag does not close blocks
+            for t, _, _ in reversed(self.open):
+                if t == tag:
+                    break
+                if t in BLOCK:
+                    return
+        while True:
+            t, _, skip = self.open.pop()
+            self.opened[t] -= 1
+            self.skipped -= skip
+            if t == tag:
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -144,10 +160,23 @@ class PageLines(HTMLParser):
             self._fresh()
         if self.skipped:
             return
+        if not self.line.text and self.open:  # an inline element may have opened since the line began
+            self.line.node = self.open[-1][1]
+        elif self.open and self.line.node != self.open[-1][1]:
+            self.line.node = self._shared(self.line.node, self.open[-1][1])
         self.line.text.append(data)
-        if self.in_link:
+        if self.opened["a"]:
             self.line.linked += len(data.strip())
 
+    def _shared(self, a: int, b: int) -> int:
+        """The innermost element around two others; both stand in one block, so the way up is short."""
+        while a != b:
+            if a > b:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return a
+
     def finish(self) -> list[tuple[str, _Line]]:
         self.close()
         self._break()
@@ -170,37 +199,62 @@ def _clusters(found: list[tuple[str, _Line]], sigma: float) -> tuple[np.ndarray,
     return length, ratio >= min(float(np.std(ratio)), float(ratio.max()))
 
 
+def _upwards(parent: list[int], lines: list[_Line], values: np.ndarray) -> list[float]:
+    """Sums of the lines' values in each element: an element's number is larger than that of the one around it."""
+    out = [0.0] * len(parent)
+    for line, v in zip(lines, values.tolist()):
+        out[line.node] += v
+    for n in range(len(parent) - 1, 0, -1):
+        out[parent[n]] += out[n]
+    return out
+
+
+def _within(parent: list[int], chosen: set[int]) -> list[bool]:
+    """Which elements are in one of the chosen ones, or are one."""
+    out = [0 in chosen] * len(parent)
+    for n in range(1, len(parent)):
+        out[n] = n in chosen or out[parent[n]]
+    return out
+
+
 def _without_parts(page: PageLines, found: list[tuple[str, _Line]], sigma: float) -> list[tuple[str, _Line]]:
     """The lines without those of elements that their names and the content cluster tell to be around the article.
 
-    An element stays if it holds an article or main element or at least half of the cluster's text. Else it goes if a
-    whole name says so; a part of a name is enough if no line of it is in the cluster or most of its text is linked, and it holds no h1.
+    An element stays if it holds an article or main element, the page's title, or at least half of the cluster's text (readers'
+    comments: all but a twentieth). Else it goes if its name says so surely; a part of another name is enough if no
+    line of it is in the cluster or most of its text is linked.
     """
-    if not any(x.named for _, x in found):
+    if not page.named:
         return found
+    lines = [x for _, x in found]
     length, content = _clusters(found, sigma)
-    total, lines = float((length * content).sum()), {}
-    for i, (_, x) in enumerate(found):
-        for n in x.named:
-            lines.setdefault(n, []).append(i)
+    weight, size, linked, titles = (_upwards(page.parent, lines, v) for v in (
+        length * content, length, np.array([x.linked for x in lines], float), np.array([x.title for x in lines], float)))
+    holds = [0.0] * len(page.parent)
+    for n in page.mains:
+        holds[page.parent[n]] += 1
+    for n in range(len(holds) - 1, 0, -1):
+        holds[page.parent[n]] += holds[n]
     gone = set()
-    for n, at in lines.items():
-        weight = float((length[at] * content[at]).sum())
-        if n in page.holders or 2 * weight >= total:
+    for n, name in page.named.items():
+        most = 0.95 if name == _READER else 0.5
+        if holds[n] or titles[n] or weight[n] and weight[n] >= most * weight[0]:
             continue
-        linked = sum(found[i][1].linked for i in at) > 0.5 * float(length[at].sum())
-        if page.named[n] or (not weight or linked) and not any(found[i][1].title for i in at):
+        if name != _WEAK or not weight[n] or linked[n] > 0.5 * size[n]:
             gone.add(n)
-    return [(t, x) for t, x in found if gone.isdisjoint(x.named)]
+    outside = _within(page.parent, gone)
+    return [(t, x) for t, x in found if not outside[x.node]]
 
 
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The page's main text: its blocks in order, white space inside them reduced, joined by a blank.
 
     Lines whose smoothed ratio reaches the standard deviation of all ratios are the content cluster. They decide which
-    region of the page is the article: the article or main element with most of the cluster's text, else the innermost element that
-    holds most of it. Of an explicit region every line is kept, however short; without one, the lines from the cluster's first
-    to its last and those beside them in the same element, lists of links left out.
+    region of the page is the article: the main element, or the article inside it, with most of the cluster's text; without one all article
+    elements that are not inside others; else the innermost element that holds most of the cluster. Of an
+    explicit region every line is kept, however short, but for runs of three and more linked list items that leave the cluster. Otherwise the lines from the
+    cluster's first to its last and those beside them in the same element stay. A title above the region, and what
+    stands between it and the region in the elements around, belongs to the article.
     """
     page = PageLines()
     for i in range(0, len(html), FEED):
@@ -208,24 +262,47 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     found = _without_parts(page, page.finish(), sigma)
     if not found:
         return ""
+    lines = [x for _, x in found]
     length, content = _clusters(found, sigma)
-    weight: dict[int, float] = {}
-    for (_, line), n, inside in zip(found, length, content):
-        for node in line.path:
-            weight[node] = weight.get(node, 0.0) + n * inside
-    total = float((length * content).sum())
-    mains = [n for n in page.mains if weight.get(n, 0.0) > 0]
+    weight = _upwards(page.parent, lines, length * content)
+    mains = {n for n in page.mains if weight[n] > 0}
+    if mains:
+        top = max((n for n in mains if page.mains[n]), key=lambda n: (weight[n], n), default=0)
+        if top:
+            nested = _within(page.parent, {top})
+            regions = {max((n for n in mains if nested[n]), key=lambda n: (weight[n], n))}
+        else:
+            nested = _within(page.parent, mains)
+            regions = {n for n in mains if not nested[page.parent[n]]}
+    else:  # those that hold so much of the cluster lie inside each other, the innermost has the largest number
+        regions = {max((n for n in range(len(weight)) if page.layout[n] and weight[n] >= 0.7 * weight[0]), default=0)}
+    held = _within(page.parent, regions)
+    inside = np.array([held[x.node] for x in lines])
+    items = np.array([x.item and x.linked >= 0.9 * len(t) for t, x in found])
     if mains:
-        region = max(mains, key=lambda n: (weight[n], n))
-        inside = np.array([region in x.path for _, x in found])
+        run = np.cumsum(np.append(True, items[1:] != items[:-1]))  # numbers of runs of items and of other lines
+        size, outside = np.bincount(run), np.bincount(run, weights=~content)
+        items &= (size[run] >= 3) & (outside[run] > 0)
     else:
-        region = max((n for n in weight if weight[n] >= 0.7 * total), default=0)  # a later number lies deeper
-        inside = np.array([not region or region in x.path for _, x in found])
+        home = list(range(len(page.parent)))  # the layout element around each
+        for n in range(1, len(home)):
+            home[n] = n if page.layout[n] else home[page.parent[n]]
         at = np.flatnonzero(content & inside)
-        homes = {found[i][1].path for i in at}
-        inside &= np.array([at[0] <= i <= at[-1] or x.path in homes for i, (_, x) in enumerate(found)])
-        links = np.array([x.item and x.linked >= 0.9 * len(t) for t, x in found])
-        inside &= ~(links & (np.append(links[1:], False) | np.append(False, links[:-1])))
+        homes = {home[lines[i].node] for i in at}
+        inside &= np.array([at[0] <= i <= at[-1] or home[x.node] in homes for i, x in enumerate(lines)])
+        items &= np.append(items[1:], False) | np.append(False, items[:-1])
+    inside &= ~items
+    if inside.any():
+        around, n = {0}, min(regions)
+        while n > 0:
+            around.add(n := page.parent[n])
+        first = int(np.argmax(inside))
+        titles = [i for i in range(first) if lines[i].title]
+        for i in range(titles[0] if titles else first, first):
+            n = lines[i].node
+            while n > 0 and not page.layout[n]:
+                n = page.parent[n]
+            inside[i] |= lines[i].title or n in around and not items[i]
     return " ".join(t for (t, _), keep in zip(found, inside) if keep)
 
 

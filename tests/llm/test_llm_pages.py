@@ -4,6 +4,7 @@ import base64
 import hashlib
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -116,6 +117,46 @@ def test_named_parts_of_the_article_stay():
     assert extraction.main_text(page) == f"Title {long} Related work {long} Results {long} {long}"
 
 
+LONG = "A paragraph of the article that is long enough to be seen as content by all means, as it goes on and on."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><h1>T</h1><p>{LONG}<p>{LONG}<ol class='comment-list'><li>{LONG}<li>First!</ol></article>", f"T {LONG} {LONG}"),
+    (f"<main><h1>T</h1><p>{LONG}<section class='user-comments'><p>{LONG * 3}</section></main>", f"T {LONG}"),
+    (f"<article><h1>T</h1><div class='share-buttons'>Share this on all networks you know of right now</div><p>{LONG}</article>", f"T {LONG}"),
+    (f"<main><div class='cookie-bar'>We use cookies to make this page slower than it has to be.</div><p>{LONG}<p>{LONG}</main>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}<div class='newsletter-box'><p>Get our letter every week, it is full of words to read.</div><p>{LONG}</article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}<div style='color:red; display:none'>{LONG}</div><p hidden>x</p><p>End.</article>", f"{LONG} End."),
+    (f"<body><article><h1>T</h1><p>{LONG}</article><article><p>{LONG} More.</article></body>", f"T {LONG} {LONG} More."),
+    (f"<body><nav><a href=x>n</a></nav><h1>T</h1><p>Lead.<div><p>{LONG}<p>{LONG}</div><footer>f</footer></body>", f"T Lead. {LONG} {LONG}"),
+    (f"<main><h1>T</h1><article><p>{LONG}</article></main>", f"T {LONG}"),
+    (f"<main><p>{LONG}<ul><li><a href=1>One more</a><li><a href=2>And two</a><li><a href=3>And three</a></ul><p>{LONG}<p>{LONG}</main>", f"{LONG} {LONG} {LONG}"),
+])
+def test_templates(page, want):
+    assert extraction.main_text(page) == want
+
+
+def test_ratios_decide(monkeypatch):
+    """With all ratios alike the pages without an article element come out otherwise."""
+    teaser = "".join(f"<div><p>Teaser {i} of another page</div>" for i in range(9))
+    pages = [f"<body><div>{teaser}</div><div id=x><p>{LONG * 2}<p>{LONG * 3}<p>{LONG}</div><div>{teaser}</div></body>",
+             f"<main><div class='post-header'>{LONG}</div><p>{LONG * 2}<div class='related'><p>See also</div></main>",
+             f"<table><tr><td>{teaser}<td><p>{LONG * 3}<p>{LONG}</table>"]
+    before = [extraction.main_text(p) for p in pages]
+    assert before[0] == f"{LONG * 2} {LONG * 3} {LONG}" and "See also" not in before[1]
+    monkeypatch.setattr(extraction, "smoothed_ratios", lambda lengths, tags, sigma=1.0: np.ones(len(lengths)))
+    assert sum(extraction.main_text(p) != b for p, b in zip(pages, before)) >= 2
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    begun = time.process_time()
+    assert extraction.main_text("<div>" * 50_000 + "<p>hello there</p></span>" * 100) == " ".join(["hello there"] * 100)
+    assert extraction.main_text("<div>a" * 20_000).startswith("a a a")
+    assert time.process_time() - begun < 10
+
+
 def test_head_without_an_end():
     for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><script>var x</script>"):
         assert extraction.main_text(f"<!DOCTYPE html>{start}<article>{INNER}</article>") == " ".join(ARTICLE)
