@@ -10,6 +10,7 @@ a piece become their UTF-8 bytes' pieces, so every text comes back exactly.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,10 @@ class Vocabulary:
     pairs: np.ndarray    # sorted left << 32 | right of all pairs of pieces that make a piece
     merged: np.ndarray   # order of the piece each pair makes
     runs: np.ndarray     # id of the piece of n spaces at n (-1: none)
+    mark: int = 0        # of the merges: what a worker remembers of one vocabulary is not used for another
+
+    def __post_init__(self) -> None:
+        self.mark = zlib.crc32(self.merged.tobytes(), zlib.crc32(self.pairs.tobytes()))
 
 
 def _merge_tables(rows: list[tuple[str, int, float]], n: int) -> tuple[np.ndarray, ...]:
@@ -133,14 +138,15 @@ def probe(keys: np.ndarray, voc: Vocabulary) -> np.ndarray:
 
 
 _SLOTS = 1 << 20
-_seen: dict[str, np.ndarray] = {}
+_seen: dict[int, np.ndarray] = {}  # the pairs met before, of one vocabulary
 
 
 def remembered(first: np.ndarray, second: np.ndarray, voc: Vocabulary) -> np.ndarray:
-    """:func:`lasting` with a table of fixed size for the pairs met before."""
-    if "pairs" not in _seen:
-        _seen["pairs"] = np.full(_SLOTS, -1, np.int64)
-    table = _seen["pairs"]
+    """:func:`lasting` with a table of fixed size for the pairs of this vocabulary met before."""
+    if voc.mark not in _seen:
+        _seen.clear()
+        _seen[voc.mark] = np.full(_SLOTS, -1, np.int64)
+    table = _seen[voc.mark]
     key = first << 32 | second << 1
     slot = (mix(key.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
     held = table[slot]

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import corpus as c
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,23 @@ def test_ids_of_odd_texts(spark):
     assert pieces.encode(c.empty(spark)).count() == 0
 
 
+def test_workers_keep_vocabularies_apart(monkeypatch):
+    """The same pieces with other ranks give other ids, whichever vocabulary a process has used before."""
+    texts = pa.array([" ".join(t.split()[:200]) for t in c.texts(2, 20) if t])
+    first = pieces.load_vocabulary()
+
+    def turned(rows, n, plain=pieces._merge_tables):
+        return plain([(t, i, -s if len(t) > 3 else s) for t, i, s in rows], n)
+    monkeypatch.setattr(pieces, "_merge_tables", turned)
+    second = pieces.load_vocabulary()
+    alone = []
+    for voc in (first, second):
+        pieces._seen.clear()
+        alone.append(pieces.encode_array(texts, voc)[0].tolist())
+    assert alone[0] != alone[1]
+    assert [pieces.encode_array(texts, v)[0].tolist() for v in (second, first, second)] == [alone[1], alone[0], alone[1]]
+
+
 def test_unigram_search_has_the_largest_sum():
     import numpy as np
 
