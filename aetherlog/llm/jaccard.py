@@ -256,6 +256,7 @@ def family_links(sets: DataFrame, percent: int, shard_shingles: int, share: int
     """
     token = sets.select("rep", F.explode("tokens").alias("token")).filter(F.pmod("token", F.lit(share)) == 0)
     lead = token.groupBy("token").agg(F.min("rep").alias("grp"), F.count("*").alias("n")).filter("n > 1").select("token", "grp")
+    lead = stored(lead, "jaccard-leaders")  # a table of its own: both sides of the join are shuffled as they are, and a hot shingle's part is split
     joined = token.join(lead, "token").groupBy("rep", "grp").count()
     own = token.groupBy("rep").agg(F.count("*").alias("n"))
     member = joined.filter("rep != grp").join(own, "rep").filter("5 * count >= n").select("grp", "rep", "n")
@@ -277,11 +278,11 @@ def remaining_links(sets: DataFrame, comp: DataFrame, percent: int, shard_shingl
     cut = F.slice("tokens", 1, F.ceil(F.size("tokens") * 2 * slack / 100).cast("int") + 1)
     token = sets.join(comp, "rep").select("rep", "comp", F.col("n_shingles").alias("n"), F.explode(cut).alias("token"))
     mixed = token.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("token")
-    token = stored(token.join(mixed, "token"), "jaccard-mixed")
+    token = stored(token.join(stored(mixed, "jaccard-mixed-tokens"), "token"), "jaccard-mixed")
     able = token.groupBy("rep", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= F.col("n") * slack / 100 - 2).select("rep")
     token = token.join(able, "rep")
     lead = token.groupBy("token").agg(F.min("rep").alias("grp"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y")
-    member = stored(token.join(lead.select("token", "grp"), "token").select("grp", "rep", "comp", "n").distinct(), "jaccard-groups")
+    member = stored(token.join(stored(lead.select("token", "grp"), "jaccard-mixed-leaders"), "token").select("grp", "rep", "comp", "n").distinct(), "jaccard-groups")
     width = member.groupBy("grp").agg(F.ceil(F.sum("n") / shard_shingles).alias("shards"))
     dealt = member.join(width, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), "shards"))
     # a task gets two shards at most: the first one's sets are searched for the second one's
