@@ -34,13 +34,17 @@ chunks AS (SELECT stream_id, seq, substr(h, CAST(seq * 8192 + 1 AS BIGINT), 8192
     FROM (SELECT stream_id, hex(encode(body)) AS h, unnest(range(0, (strlen(body) + 4095) // 4096)) AS seq FROM recordings))"""
 
 
+def _recordings(t):
+    texts = t.read("documents").groupBy(F.floor(F.col("doc_id") / 100).cast("bigint").alias("stream_id")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    return texts.select("stream_id", F.encode(F.array_join("d.text", ""), "UTF-8").alias("content"))
+
+
 @query("src_1_pcm_chunks", sql=_FILES + " SELECT stream_id, seq, length(h) // 2 AS bytes, md5(h) AS digest FROM chunks")
 def _(t):
     """Written as recordings and read back, each by several tasks."""
     path = shared_folder(t.spark, "recordings")
-    texts = t.read("documents").groupBy(F.floor(F.col("doc_id") / 100).cast("bigint").alias("stream_id")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
-    recordings.write_recordings(texts.select("stream_id", F.encode(F.array_join("d.text", ""), "UTF-8").alias("content")), path)
+    recordings.write_recordings(_recordings(t), path)
     chunks = readers.read_pcm(t.spark, path, block_bytes=1 << 17)
     return chunks.select(F.regexp_extract("stream_id", r"([0-9]+)\.raw$", 1).cast("bigint").alias("stream_id"), "seq",
                          F.length("pcm").cast("bigint").alias("bytes"), F.md5(F.hex("pcm").cast("binary")).alias("digest"))

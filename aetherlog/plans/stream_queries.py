@@ -8,6 +8,7 @@ from aetherlog.operators import aviation as A
 from aetherlog.operators import metrics as M
 from aetherlog.operators import passes as P
 from aetherlog.operators import signal as S
+from aetherlog.operators import tablefunctions
 from aetherlog.operators import transcripts as T
 from aetherlog.operators import control as C
 from aetherlog.plans import aviation_queries as AQ
@@ -19,25 +20,26 @@ from aetherlog.plans.registry import query
 from aetherlog.plans.store import stored
 from aetherlog.session import shared_folder
 from aetherlog.sources import readers, sinks, tables
-from aetherlog.streaming import aircraft, correlation, feeds, segments
+from aetherlog.streaming import aircraft, correlation, feeds, late, segments
 
 
 def _stream_of(df, purpose: str, files: int = 4, order: str | None = None):
-    """Write a derived table as several files, in the order of a column if there is one, and read one per micro-batch."""
+    """Write a derived table in several slices, in the order of a column if there is one, and read one per micro-batch."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     if order is None:
         df.repartition(files).write.parquet(path)
-    else:  # one file after the other, as a station would close them
+    else:  # one slice after the other, as stations would close their files
         rows = stored(df.withColumn("_slice", F.col(order).cast("double")), purpose + "-rows")
         edges = rows.approxQuantile("_slice", [i / files for i in range(1, files)], 0.01)
+        each = max(2, rows.rdd.getNumPartitions())  # files of a slice, one batch together
         last = None
         for edge in [*edges, None]:
             part = rows if last is None else rows.filter(F.col("_slice") > last)
             part = part if edge is None else part.filter(F.col("_slice") <= edge)
-            part.drop("_slice").coalesce(1).write.mode("append").parquet(path)
+            part.drop("_slice").repartition(each).write.mode("append").parquet(path)
             last = edge
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1 if order is None else each).parquet(path)
 
 
 def _updates(t):
@@ -132,9 +134,9 @@ def _(t):
     spark, clock = t.spark, F.lit(_CLOCK).cast("timestamp")
     track = A.aircraft_track(t.updates(), AQ.GAP)
     said = t.utterances()
-    late = F.when(F.col("seq") % 10 == 3, F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    delay = F.when(F.col("seq") % 10 == 3, F.expr("INTERVAL 12 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
     streams = []
-    for df, purpose, at in ((said, "utterances", F.col("ts")), (track, "track", F.col("ts") + late)):
+    for df, purpose, at in ((said, "utterances", F.col("ts")), (track, "track", F.col("ts") + delay)):
         path = _sliced(df, purpose, F.unix_micros(at), 4)
         null = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in ("ts", "hex", "transcript_id")]
         spark.range(1).select(*null, *[F.lit("0").cast(df.schema[c].dataType).alias(c) for c in ("hex", "transcript_id") if c in df.columns],
@@ -175,6 +177,34 @@ def _(t):
     return last.select("station", "r.seq", "r.ts", "r.preset_id")
 
 
+_LATE_S = 2 * 86400
+_SLICE = "least((date_diff('day', TIMESTAMP '2024-01-01', ts)) // 6, 4) + CASE WHEN seq % 5 = 0 THEN 2 ELSE 0 END"
+
+
+@query("str_12_late_rows", "status", sql=f"""SELECT station, count(*) AS n, count(*) FILTER (behind > {_LATE_S}) AS late_rows, CAST(coalesce(sum(seq) FILTER (behind > {_LATE_S}), 0) AS BIGINT) AS late_sum,
+    CAST(coalesce(sum(seq) FILTER (behind <= {_LATE_S} OR behind IS NULL), 0) AS BIGINT) AS main_sum, coalesce(max(behind) FILTER (behind > {_LATE_S}), 0) AS most_behind
+    FROM (SELECT station, seq, (max(us) OVER (PARTITION BY station ORDER BY slice RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - us) / 1000000.0::DOUBLE AS behind
+    FROM (SELECT station, seq, us, {_SLICE} AS slice FROM status)) GROUP BY 1""")
+def _(t):
+    """A fifth of the rows comes two slices late. Late rows and the others are two tables, and together the input."""
+    spark = t.spark
+    path, checkpoint, arrived = (shared_folder(spark, n) for n in ("late", "checkpoint", "arrived"))
+    status = stored(t.status().select("station", "seq", "ts"), "status-rows")
+    slices = F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 6), F.lit(4)) + F.when(F.col("seq") % 5 == 0, 2).otherwise(0)
+    status.limit(0).write.parquet(arrived)  # a folder to watch
+    stream = late.mark_late(spark.readStream.schema(status.schema).parquet(arrived), ["station"], _LATE_S)
+    for n in range(7):  # a batch takes all that has come
+        status.filter(slices == n).write.mode("append").parquet(arrived)
+        feeds.start(stream, on_batch=late.split_handler(path), checkpoint=checkpoint).awaitTermination()
+    main = spark.read.schema(status.schema).parquet(f"{path}/rows").select(*status.columns, F.lit(0.0).alias("behind_s"), F.lit(False).alias("late"))
+    behind = spark.read.schema(stream.schema).parquet(f"{path}/late").select(*main.columns)
+    number = F.coalesce(F.sum(F.when(F.col("late"), F.col("seq"))), F.lit(0)).cast("bigint")
+    return main.union(behind).groupBy("station").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late_rows"), number.alias("late_sum"),
+        F.coalesce(F.sum(F.when(~F.col("late"), F.col("seq"))), F.lit(0)).cast("bigint").alias("main_sum"),
+        F.max("behind_s").alias("most_behind"))
+
+
 @query("udf_3_batch_handler", "utterances", sql=AQ._CALLS + " SELECT transcript_id, callsign FROM calls")
 def _(t):
     """A handler called with each batch of transcripts."""
@@ -201,7 +231,7 @@ def _(t):
     return t.spark.read.parquet(path).select("event", "key", "ts", "payload")
 
 
-@query("udtf_1_chunks_to_segments", sql=SQ._FRAMES + """ SELECT stream_id, seg * 10 AS start_idx, seg * 10 + 9 AS end_idx
+@query("str_1_chunks_to_segments", sql=SQ._FRAMES + """ SELECT stream_id, seg * 10 AS start_idx, seg * 10 + 9 AS end_idx
     FROM (SELECT stream_id, unnest(range(0, count(*) // 10)) AS seg FROM pcm_frames GROUP BY 1)""")
 def _(t):
     """A stream of chunks to segments; at this threshold every frame is silent, so each tenth one cuts."""
@@ -210,6 +240,16 @@ def _(t):
         "stream_id", "start_idx", "end_idx")
 
 
+_PCM_SILENCE = 25000.0  # these samples are text bytes: about half of the frames are below
+
+
+@query("udtf_1_chunks_to_segments", sql=SQ._FRAMES.replace(SQ._CHUNKS, SQ._FILES).replace("WITH ", "WITH RECURSIVE ", 1) + ", frames AS (SELECT stream_id, frame_idx, sqrt(sumsq / n) AS rms FROM pcm_frames)"
+       + SQ._cuts_sql(_PCM_SILENCE).replace("/*RECURSIVE*/", "") + " SELECT CAST(stream_id AS VARCHAR) AS stream_id, start_idx, end_idx FROM segments")
+def _(t):
+    """The table function over chunks, per stream and block, and the blocks' cuts followed."""
+    return tablefunctions.segments_of_chunks(readers.pcm_chunks(SQ._recordings(t)), _PCM_SILENCE, block_frames=200)
+
+
 # --- sinks -------------------------------------------------------------------------------------------
 
 @query("snk_3_upserted_status", "status", sql="SELECT station, seq, ts, running, preset_id FROM status QUALIFY row_number() OVER (PARTITION BY station ORDER BY us DESC, seq DESC) = 1")
