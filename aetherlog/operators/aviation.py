@@ -9,6 +9,7 @@ from aetherlog import dims
 from aetherlog.functions.display import micros
 from aetherlog.functions.text import SPACE, rx_all, safe_double, strip_ws
 from aetherlog.plans.blocked import carry_in_sessions, time_block
+from aetherlog.plans.store import stored
 
 STATE_FIELDS = ["flight", "altitude", "speed", "track", "position", "vert_rate", "squawk"]
 
@@ -175,18 +176,34 @@ def spoken_callsigns(t: DataFrame, *keep: str) -> DataFrame:
     return rows.filter(F.col("callsign").isNotNull())
 
 
-def _substrings(c: Column, lengths: Column) -> Column:
-    """The distinct substrings of the given lengths."""
-    n = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(
-        F.filter(lengths, lambda k: k <= n),
-        lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(c, i, k)))))
+_GRAM = 6  # characters of the pieces by which longer names meet
 
 
-def _with_lengths(names: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """Adds the lengths that occur among the other side's names: one array for all rows."""
-    lengths = other.agg(F.collect_set(F.length(column)).alias("lengths"))
-    return names.withColumn("_k", F.lit(1)).join(lengths.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def _pieces(name: str, low: int, high: Column | int) -> Column:
+    """The distinct substrings of ``low`` to ``high`` characters."""
+    c, n = F.col(name), F.length(name)
+    top = F.least(n, F.lit(high) if isinstance(high, int) else high)
+    return F.when(top >= low, F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(low), top), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(c, i, k))))))
+
+
+def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs ``(short, long)`` of distinct names of which the first is contained in the second.
+
+    A name of fewer characters than a piece has is itself a substring key of the other. A longer one has to have all its pieces in
+    some longer name, and meets the names that share its rarest piece; what remains is compared. So a name makes rows in
+    proportion to its length, garbled ones of any length included, and common pieces bring nobody together.
+    """
+    brief = short.filter(F.length("short") < _GRAM).join(
+        long.select("long", F.explode(_pieces("long", 1, _GRAM - 1)).alias("short")), "short").select("short", "long")
+    held = long.select("long", F.explode(_pieces("long", _GRAM, _GRAM)).alias("piece"))
+    common = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    wanted = short.filter(F.length("short") >= _GRAM).withColumn("pieces", _pieces("short", _GRAM, _GRAM)).select(
+        "short", F.size("pieces").alias("all"), F.explode("pieces").alias("piece"))
+    rarest = wanted.join(common, "piece").groupBy("short", "all").agg(
+        F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count(F.lit(1)).alias("found")).filter(F.col("found") == F.col("all"))
+    met = rarest.select("short", "piece").join(held, "piece").filter(F.col("long").contains(F.col("short")))
+    return brief.union(met.select("short", "long"))
 
 
 def flight_key() -> Column:
@@ -195,19 +212,16 @@ def flight_key() -> Column:
 
 
 def matching_names(calls: DataFrame, flights: DataFrame) -> DataFrame:
-    """Distinct ``(callsign, flight_key)`` pairs where one text contains the other.
+    """Distinct ``(callsign, flight_key)`` pairs where one text contains the other; see :func:`_inside`.
 
-    Contained text equals a substring of the longer one, so both directions are
-    equality joins on distinct names. Only substrings of lengths the other side has are made, so one
-    garbled name of great length costs no more than its length times those few lengths.
+    The distinct names of both sides are written once, as both directions read them several times.
     """
-    c = calls.select("callsign").filter(F.length("callsign") > 0).distinct()
-    f = flights.select("flight_key").filter(F.col("flight_key").isNotNull()).distinct()
-    sub_f = F.explode(_substrings(F.col("flight_key"), F.col("lengths")))
-    sub_c = F.explode(_substrings(F.col("callsign"), F.col("lengths")))
-    in_flight = _with_lengths(f, c, "callsign").withColumn("callsign", sub_f).join(c, "callsign")
-    in_call = _with_lengths(c, f, "flight_key").withColumn("flight_key", sub_c).join(f, "flight_key")
-    return in_flight.select("callsign", "flight_key").union(in_call.select("callsign", "flight_key")).distinct()
+    c = stored(calls.select("callsign").filter(F.length("callsign") > 0).distinct(), "callsigns")
+    f = stored(flights.select("flight_key").filter(F.col("flight_key").isNotNull()).distinct(), "flights")
+    in_flight = _inside(c.withColumnRenamed("callsign", "short"), f.withColumnRenamed("flight_key", "long"))
+    in_call = _inside(f.withColumnRenamed("flight_key", "short"), c.withColumnRenamed("callsign", "long"))
+    return in_flight.select(F.col("short").alias("callsign"), F.col("long").alias("flight_key")).union(
+        in_call.select(F.col("long").alias("callsign"), F.col("short").alias("flight_key"))).distinct()
 
 
 def match_flights(calls: DataFrame, flights: DataFrame, id_col: str = "transcript_id") -> DataFrame:

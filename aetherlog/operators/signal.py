@@ -7,6 +7,8 @@ needs Python (one Arrow UDF); everything after it works on one row per
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -220,3 +222,49 @@ def transcribe(segments: DataFrame, make_fn) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [text], names=[*keep, "text"])
 
     return segments.mapInArrow(run, ddl)
+
+
+def transcribe_with(segments: DataFrame, backends: list[tuple], bucket_s: float = 5.0, batch: int = 32) -> DataFrame:
+    """Like :func:`transcribe` with a chain of backends: adds ``text`` and ``backend``, the name of the one that did it (else ``none``).
+
+    ``backends`` holds ``(name, make_fn)`` in the order of preference. Each is made once per task, when it is first needed; one that cannot be
+    made is not tried again. Segments are handed over in batches of at most ``batch`` of about one length (``bucket_s``), so that a model pads
+    little. A batch that a backend fails on goes to the next one. A segment without audio has no text.
+    """
+    import pyarrow as pa
+
+    keep = [c for c in segments.columns if c != "pieces"]
+    ddl = ", ".join([f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in keep] + ["text string", "backend string"])
+    width = max(int(bucket_s * dims.SAMPLE_RATE) * 2, 1)
+
+    def run(batches):
+        made: dict[int, object] = {}
+
+        def said(audio: list[bytes]) -> tuple[list, str]:
+            for i, (name, make_fn) in enumerate(backends):
+                try:
+                    if i not in made:
+                        made[i] = None
+                        made[i] = make_fn()
+                    if made[i] is not None and len(text := list(made[i](audio))) == len(audio):
+                        return text, name
+                except Exception as e:  # any backend's failure is the next one's turn
+                    logging.getLogger(__name__).warning("backend %s: %s", name, e)
+            return [None] * len(audio), "none"
+
+        for rows in batches:
+            audio = [b"".join(p) if p else b"" for p in rows.column("pieces").to_pylist()]
+            text, by = [None] * len(audio), ["none"] * len(audio)
+            lengths: dict[int, list[int]] = {}
+            for i, a in enumerate(audio):
+                if a:
+                    lengths.setdefault(len(a) // width, []).append(i)
+            for _, at in sorted(lengths.items()):
+                for k in range(0, len(at), batch):
+                    part = at[k:k + batch]
+                    texts, name = said([audio[i] for i in part])
+                    for i, x in zip(part, texts):
+                        text[i], by[i] = x, name
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(text, pa.string()), pa.array(by)], names=[*keep, "text", "backend"])
+
+    return segments.mapInArrow(run, ddl)

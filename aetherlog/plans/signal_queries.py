@@ -155,6 +155,36 @@ def _(t):
     return S.transcribe(S.segment_audio(chunks, spans), backend).select("stream_id", "start_idx", "text")
 
 
+@query("udf_1_fallback", sql=_FRAMES + """
+    SELECT stream_id, frame_idx AS start_idx, substr(md5(substr(h, CAST(frame_idx * 6400 + 1 AS BIGINT), 6400 * k)), 1, 12) AS text, CASE WHEN k > 1 THEN 'cpu' ELSE 'npu' END AS backend
+    FROM (SELECT stream_id, frame_idx, 1 + frame_idx % 3 AS k, max(frame_idx) OVER (PARTITION BY stream_id) AS top FROM pcm_frames) JOIN recordings USING (stream_id) WHERE frame_idx + k - 1 <= top""")
+def _(t):
+    """One backend that is not there, one that fails on batches of more than one frame, and one that takes what they leave."""
+    import hashlib
+
+    chunks = _chunks(t)
+    frames = S.frames(chunks)
+    top = frames.groupBy("stream_id").agg(F.max("frame_idx").alias("top"))
+    spans = frames.join(top, "stream_id").withColumn("end_idx", F.col("frame_idx") + F.col("frame_idx") % 3).filter("end_idx <= top").select(
+        "stream_id", F.col("frame_idx").alias("start_idx"), "end_idx")
+
+    def digests(audio):
+        return [hashlib.md5(a.hex().upper().encode()).hexdigest()[:12] for a in audio]
+
+    def missing():
+        raise OSError("no such device")
+
+    def short_only():
+        def fn(audio):
+            if max(map(len, audio)) > 3200:
+                raise ValueError("segment too long")
+            return digests(audio)
+        return fn
+
+    out = S.transcribe_with(S.segment_audio(chunks, spans), [("gpu", missing), ("npu", short_only), ("cpu", lambda: digests)], bucket_s=0.101)
+    return out.select("stream_id", "start_idx", "text", "backend")
+
+
 @query("udf_5_frame_energy_parts", sql=_SAMPLES + """ SELECT stream_id, seq, (seq * 2048 + i) // 1600 AS frame_idx, count(*) AS n, CAST(sum(x * x) AS DOUBLE) AS sumsq
     FROM samples GROUP BY 1, 2, 3""")
 def _(t):

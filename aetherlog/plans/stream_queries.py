@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aetherlog import dims
 from aetherlog.operators import aviation as A
 from aetherlog.operators import metrics as M
 from aetherlog.operators import passes as P
@@ -20,7 +21,7 @@ from aetherlog.plans.registry import query
 from aetherlog.plans.store import stored
 from aetherlog.session import shared_folder
 from aetherlog.sources import readers, sinks, tables
-from aetherlog.streaming import aircraft, correlation, feeds, late, segments
+from aetherlog.streaming import aircraft, correlation, feeds, late, segments, stations
 
 
 def _stream_of(df, purpose: str, files: int = 4, order: str | None = None):
@@ -205,6 +206,36 @@ def _(t):
         F.max("behind_s").alias("most_behind"))
 
 
+def _displays(t):
+    heard = _stream_of(t.weather(), "transcripts", 4, "ts")
+    shown = feeds.drained(stations.stream_displays(T.heard_reports(heard, t.presets())), "displays", "update")
+    last = shown.groupBy("stream_id").agg(F.max("batch_id").alias("batch_id"))
+    return shown.join(last, ["stream_id", "batch_id"])
+
+
+@query("top_5_live_transcripts", "weather", "presets", sql=TQ._HEARD + """ SELECT stream_id, transcript_id, ts, rn, text AS said FROM (SELECT *, CAST(row_number() OVER
+    (PARTITION BY stream_id ORDER BY ts DESC, transcript_id DESC) AS INTEGER) AS rn FROM heard WHERE text <> '') WHERE rn <= 3""")
+def _(t):
+    """What each station's display lists after the last of four batches."""
+    return _displays(t).select("stream_id", "transcript_id", "ts", "rn", "said")
+
+
+@query("str_11_live_banner", "weather", "presets", sql=TQ._HEARD_LOW + TQ._HEARD_ALERTS + TQ._BANNERS.replace(TQ._ALERTS, "") + f""" SELECT b.stream_id, transcript_id,
+    CASE WHEN {TQ._PRIORITY} THEN banner END AS banner FROM banner b JOIN heard USING (transcript_id)
+    QUALIFY row_number() OVER (PARTITION BY b.stream_id ORDER BY b.ts DESC, transcript_id DESC) = 1""")
+def _(t):
+    """The banner that each station's display shows after the last of four batches."""
+    return _displays(t).filter("rn = 1").select("stream_id", "transcript_id", "banner")
+
+
+@query("str_10_live_highlights", "track", "utterances", gap_us=AQ.GAP_US, sql=AQ._ASOF + """ SELECT transcript_id, hex, matched_callsign, 'on' AS state, ts AS at FROM spoken_of
+    UNION ALL SELECT transcript_id, hex, matched_callsign, 'off', ts + INTERVAL 8 SECONDS FROM spoken_of""")
+def _(t):
+    """Matches as a stream, each lit for eight seconds."""
+    matches = _stream_of(AQ._asof(t).select("transcript_id", "ts", "hex", "matched_callsign"), "matches", 3, "transcript_id")
+    return feeds.drained(stations.stream_highlights(matches, dims.HIGHLIGHT_S), "highlights")
+
+
 @query("udf_3_batch_handler", "utterances", sql=AQ._CALLS + " SELECT transcript_id, callsign FROM calls")
 def _(t):
     """A handler called with each batch of transcripts."""
