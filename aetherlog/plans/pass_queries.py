@@ -8,7 +8,8 @@ from aetherlog import dims
 from aetherlog.functions import display as D
 from aetherlog.operators import passes as P
 from aetherlog.plans.registry import query
-from aetherlog.sources import readers
+from aetherlog.session import shared_folder
+from aetherlog.sources import readers, recordings
 
 NOW = "2024-01-10 00:00:00"
 _US = f"epoch_us(TIMESTAMP '{NOW}')"
@@ -198,6 +199,18 @@ def _(t):
     return t.images().filter(F.col("path").endswith(".png")).select("image_id", "path")
 
 
+@query("src_5_image_files", "image_files", sql="""SELECT DISTINCT replace(split_part(f, '_', 1), '-', ' ') AS satellite, split_part(f, '_', 2) AS pass_time, '/static/images/apt/' || f || '.png' AS url
+    FROM (SELECT substr(split_part(path, '/', -1), 1, 21) || '00Z' AS f FROM image_files)""")
+def _(t):
+    """One image file a satellite and hour, beside files of other kinds, listed by the reader without reading any."""
+    path = shared_folder(t.spark, "images")
+    names = t.images().select(F.concat(F.substring(F.element_at(F.split("path", "/"), -1), 1, 21), F.lit("00Z")).alias("name")).distinct()
+    files = names.withColumn("content", F.encode("name", "UTF-8"))
+    recordings.write_recordings(files, path, "name", suffix=".png")
+    recordings.write_recordings(files.filter(F.col("name").contains("T00")), path, "name", suffix=".wav")
+    return P.parse_image_name(readers.read_images(t.spark, path)).select("satellite", "pass_time", "url")
+
+
 @query("prj_2_image_names", "images", sql=f"SELECT {', '.join(_IMG)} FROM images")
 def _(t):
     return P.parse_image_name(t.images()).select(*_IMG)

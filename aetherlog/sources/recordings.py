@@ -153,8 +153,8 @@ class PcmRecordings(DataSource):
         return _GrowingReader(self._plain())
 
 
-def write_recordings(recordings: DataFrame, path: str, name: str = "stream_id", content: str = "content") -> None:
-    """Write each row's bytes as one recording ``<name>.raw``. A task that is tried again replaces its files."""
+def write_recordings(recordings: DataFrame, path: str, name: str = "stream_id", content: str = "content", suffix: str = ".raw") -> None:
+    """Write each row's bytes as one file ``<name>.raw``. A task that is tried again replaces its files."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner, _ = _at(path)
@@ -164,7 +164,7 @@ def write_recordings(recordings: DataFrame, path: str, name: str = "stream_id",
                 draft = posixpath.join(inner, f"_{key}.{time.monotonic_ns()}")
                 with system.open_output_stream(draft) as f:
                     f.write(body.as_buffer() or b"")
-                system.move(draft, posixpath.join(inner, f"{key}.raw"))
+                system.move(draft, posixpath.join(inner, f"{key}{suffix}"))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     rows = recordings.filter(F.col(name).isNotNull()).select(F.col(name).cast("string"), content)
