@@ -12,7 +12,7 @@ import json
 import os
 import re
 import secrets
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -27,13 +27,15 @@ from aetherlog.llm.shared import stored
 FOLDER = "/opt/tokenizers"
 BYTE_BPE = f"{FOLDER}/byte_bpe_50k.json"
 PIECE_BPE = f"{FOLDER}/piece_bpe_32k.model"
-WINDOW = 1 << 15  # code points of a long text after which it is cut at the next place that neither tokenizer joins
-PIECE = 1 << 18  # code points that are encoded together
+WINDOW = 1 << 18  # code points of a long text after which it is cut at the next place that neither tokenizer joins
+PIECE = 1 << 21  # code points whose words are encoded together
 BLOCK = 1 << 20  # links of one text after which equal ones are counted together
 BLOCK_PAIRS = 1 << 16  # distinct id pairs after which a block of transcripts is closed,
 BLOCK_BYTES = 1 << 23  # or bytes of its transcripts' pairs
 _STRIDE = 32
 _SEAM = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_WORD = re.compile(r"[!-~\w](?:.*[!-~\w])?\Z", re.S)
+_TOGETHER = 1000  # words
 _SPACE = "▁"
 
 
@@ -120,7 +122,11 @@ def joined(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
 
 
 def windows(text: str) -> list[str]:
-    """The text cut at single spaces between words, where no token of either side crosses and both begin a new one."""
+    """The text in parts of about ``WINDOW`` code points, cut in front of a single space between words.
+
+    There no token of either side crosses, and both begin a new one: the byte-level one splits in front of such a space, and no
+    piece has a space behind another character.
+    """
     if len(text) <= WINDOW:
         return [text]
     out, at = [], 0
@@ -258,66 +264,118 @@ class TextLinks:
     pairs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     pending: int = 0
 
-    def add(self, exact: bool, spoken: bytes, counts: list[int], pairs: np.ndarray) -> None:
+    def add(self, exact: bool, spoken: Iterable[bytes], counts: list[int], pairs: np.ndarray, times: np.ndarray) -> None:
+        """The next part of the text; ``spoken`` has the groups of its words."""
         self.exact = self.exact and exact
         if not self.exact:
             self.counts, self.pairs, self.pending = [0, 0, 0, 0], [], 0
             return
         if self.counts[0]:
             self.digest.update(b";")
-        self.digest.update(spoken[:-1])
+        self.digest.update(b";".join(spoken))
         self.counts = [x + y for x, y in zip(self.counts, counts)]
-        self.pairs.append((pairs, np.ones(len(pairs), np.int64)))
+        self.pairs.append((pairs, times))
         self.pending += len(pairs)
         if self.pending > BLOCK:
             self.pairs, self.pending = [_counted(self.pairs)], 0
 
 
-def align_texts(texts: list[str | None], t: Tokenizers, digits: np.ndarray) -> Iterator[TextLinks]:
-    """Each text that has tokens, in order. A text that either side does not give back byte for byte comes with ``exact`` false."""
-    now: TextLinks | None = None
+@dataclass
+class Words:
+    """Words aligned once each: their counts of tokens (A, B), groups and links, and the id pairs of their links."""
 
-    def work(part: list[tuple[int, str]]) -> Iterator[TextLinks]:
-        nonlocal now
-        ids_a, ids_b = t.encode_a([w for _, w in part]), t.encode_b([w[1:] for _, w in part])
-        first_a, first_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64) for ids in (ids_a, ids_b))
+    exact: np.ndarray
+    counts: np.ndarray
+    spoken: list[bytes]
+    pairs: np.ndarray
+    first: np.ndarray  # where each word's pairs begin
+    place: np.ndarray  # where the words asked for stand here
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of the words with these numbers, and how often each stands there."""
+        word, n = np.unique(numbers, return_counts=True)
+        size = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.pairs[at], np.repeat(n, size)
+
+
+def align_words(words: list[str], t: Tokenizers, digits: np.ndarray) -> Words:
+    """Encode each word with a space in front by both tokenizers and align them; all words in one search.
+
+    Words that begin and end like words are encoded many at a time, joined by the spaces that no token crosses.
+    """
+    whole = [i for i, w in enumerate(words) if _WORD.match(w)]
+    odd = sorted(set(range(len(words))).difference(whole))
+    place = np.empty(len(words), np.int64)
+    place[whole + odd] = np.arange(len(words))
+    words = [words[i] for i in whole + odd]
+    parts = [" ".join(words[i:min(i + _TOGETHER, len(whole))]) for i in range(0, len(whole), _TOGETHER)] + words[len(whole):]
+    said = [b" " + w.encode() for w in words]
+    ids_a, ids_b = t.encode_a([" " + w for w in parts]), t.encode_b(parts)
+    a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+    (body_a, ends_a), (body_b, ends_b) = joined(a, t.a_bytes), joined(b, t.b_bytes)
+    edge = np.concatenate([[0], np.cumsum([len(s) for s in said])])
+    body = b"".join(said)
+    if body_a.tobytes() != body or body_b.tobytes() != body:  # some word does not come back: look at each
+        ids_a, ids_b = t.encode_a([" " + w for w in words]), t.encode_b(words)
         a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         (body_a, ends_a), (body_b, ends_b) = joined(a, t.a_bytes), joined(b, t.b_bytes)
-        said = [w.encode() for _, w in part]
-        edge = np.concatenate([[0], np.cumsum([len(s) for s in said])])
-        cut_a, cut_b = (np.concatenate([[0], ends])[first] for ends, first in ((ends_a, first_a), (ends_b, first_b)))
+        first_a, first_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64) for ids in (ids_a, ids_b))
+    else:
+        first_a, first_b = (np.concatenate([[0], np.searchsorted(ends, edge[1:], "right")]) for ends in (ends_a, ends_b))
+    cut_a, cut_b = (np.concatenate([[0], ends])[first] for ends, first in ((ends_a, first_a), (ends_b, first_b)))
+    if body_a.tobytes() == body_b.tobytes() == body and (cut_a == edge).all() and (cut_b == edge).all():
+        exact = np.ones(len(words), bool)
+    else:
         exact = np.array([body_a[cut_a[w]:cut_a[w + 1]].tobytes() == s and body_b[cut_b[w]:cut_b[w + 1]].tobytes() == s for w, s in enumerate(said)])
-        # windows that do not come back are left out, so that both sides of all others end together
-        keep_a, keep_b = (np.repeat(exact, np.diff(first)) for first in (first_a, first_b))
-        ends_a = (ends_a - np.repeat(cut_a[:-1] - edge[:-1], np.diff(first_a)))[keep_a]
-        ends_b = (ends_b - np.repeat(cut_b[:-1] - edge[:-1], np.diff(first_b)))[keep_b]
-        a, b = a[keep_a], b[keep_b]
-        first_a, first_b = (np.concatenate([[0], np.cumsum(np.where(exact, np.diff(first), 0))]) for first in (first_a, first_b))
-        found = align(ends_a, ends_b, first_a, first_b)
-        spoken = group_text(a, b, found, first_a, first_b, digits)
-        groups = np.concatenate([[0], np.cumsum(found.closes_a)])[first_a]
-        order = np.argsort(found.link_a, kind="stable")
-        pairs = (a[found.link_a] * t.sizes[1] + b[found.link_b])[order]
-        links = np.searchsorted(found.link_a[order], first_a)
-        edges = (first_a, first_b, groups, links)
-        for w, (row, _) in enumerate(part):
+    # words that do not come back are left out, so that both sides of all others end together
+    keep_a, keep_b = (np.repeat(exact, np.diff(first)) for first in (first_a, first_b))
+    ends_a = (ends_a - np.repeat(cut_a[:-1] - edge[:-1], np.diff(first_a)))[keep_a]
+    ends_b = (ends_b - np.repeat(cut_b[:-1] - edge[:-1], np.diff(first_b)))[keep_b]
+    a, b = a[keep_a], b[keep_b]
+    first_a, first_b = (np.concatenate([[0], np.cumsum(np.where(exact, np.diff(first), 0))]) for first in (first_a, first_b))
+    found = align(ends_a, ends_b, first_a, first_b)
+    spoken = [x[:-1] for x in group_text(a, b, found, first_a, first_b, digits)]
+    groups = np.concatenate([[0], np.cumsum(found.closes_a)])[first_a]
+    order = np.argsort(found.link_a, kind="stable")
+    pairs = (a[found.link_a] * t.sizes[1] + b[found.link_b])[order]
+    links = np.searchsorted(found.link_a[order], first_a)
+    return Words(exact, np.stack([np.diff(x) for x in (first_a, first_b, groups, links)], axis=1), spoken, pairs, links, place)
+
+
+def align_texts(texts: list[str | None], t: Tokenizers, digits: np.ndarray) -> Iterator[TextLinks]:
+    """Each text that has tokens, in order. A text that either side does not give back byte for byte comes with ``exact`` false.
+
+    Texts are cut at all places that no token crosses, and words that occur again in a part of the texts are aligned once.
+    """
+    now: TextLinks | None = None
+    known: dict[str, int] = {}
+    held: list[tuple[int, np.ndarray]] = []
+
+    def work() -> Iterator[TextLinks]:
+        nonlocal now
+        words = align_words(list(known), t, digits)
+        for row, numbers in held:
             if now is None or now.row != row:
                 if now is not None:
                     yield now
                 now = TextLinks(row)
-            now.add(bool(exact[w]), spoken[w], [int(e[w + 1] - e[w]) for e in edges], pairs[links[w]:links[w + 1]])
+            numbers = words.place[numbers]
+            now.add(bool(words.exact[numbers].all()), (words.spoken[i] for i in numbers.tolist()), words.counts[numbers].sum(axis=0).tolist(),
+                    *words.of(numbers))
+        known.clear()
+        held.clear()
 
-    held: list[tuple[int, str]] = []
     size = 0
     for row, text in enumerate(texts):
         for w in windows(" " + text) if text else ():
             if held and size + len(w) > PIECE:
-                yield from work(held)
-                held, size = [], 0
-            held.append((row, w))
+                yield from work()
+                size = 0
+            held.append((row, np.array([known.setdefault(x, len(known)) for x in _SEAM.split(w[1:])])))
             size += len(w)
     if held:
-        yield from work(held)
+        yield from work()
     if now is not None:
         yield now
 
@@ -392,7 +450,7 @@ def aligned(transcripts: DataFrame, key: str, text: str, byte_level: str, piece_
         for batch in batches:
             of = batch.column(0).type
             _, offsets = buffers(batch.column(1))
-            for first, last in pieces(offsets, 1 << 20):
+            for first, last in pieces(offsets, 1 << 22):
                 n = last - first
                 rows: list[tuple] = [(None, 0, 0, 0, 0, "", None, None)] * n
                 for o in align_texts(batch.column(1).slice(first, n).to_pylist(), t, digits):
